@@ -3,14 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontam import contamination
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .records import token_records
 from .sharding import kd_shards
 from .shared import table
 
 
+#: Weights of the mixture; names that aren't listed weigh 1.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 3}}
+#: A source's domain: a fixed deal of the sources, as the documents name none themselves.
+DOMAIN = F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(4)).cast("string"))
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture as large as the table itself, of at most two epochs of each source: doc_id, source, lang, epoch, mix_tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, Fraction(1), DOMAIN, MIX_WEIGHTS, epochs=2, seed="mix-1").select("doc_id", "lang", "source", "epoch", "mix_tokens")
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,11 +47,25 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op5_mixing": op5_mixing,
+    "op7_token_records": op7_token_records,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        k AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS key, least(len(w), 10) AS n FROM b, unnest(range(1, greatest(len(w) - 8, 2))) AS t(s) WHERE len(w) > 0),
+        p AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS key FROM d, unnest(range(1, len(w) + 1)) AS t(s), (SELECT DISTINCT n FROM k) WHERE s + n - 1 <= len(w)),
+        m AS (SELECT DISTINCT p.doc_id, p.s, p.n, k.item_id FROM p JOIN k USING (key, n)),
+        h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM m, unnest(range(s, s + n)) AS t(x) GROUP BY doc_id),
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+    """,
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
