@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .decontam import contamination
 from .exact_dedup import exact_dedup
+from .kneser_ney import lm_scores
 from .mixing import mix
 from .records import token_records
 from .sharding import kd_shards
@@ -46,12 +47,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op5_mixing": op5_mixing,
     "op7_token_records": op7_token_records,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
