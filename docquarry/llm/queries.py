@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .decontam import contamination
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .kneser_ney import lm_scores
 from .mixing import mix
 from .records import token_records
@@ -35,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, Fraction(1), DOMAIN, MIX_WEIGHTS, epochs=2, seed="mix-1").select("doc_id", "lang", "source", "epoch", "mix_tokens")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
@@ -54,6 +59,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op5_mixing": op5_mixing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_records": op7_token_records,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
