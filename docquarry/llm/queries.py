@@ -17,6 +17,7 @@ from .mixing import mix
 from .records import token_records
 from .sharding import kd_shards
 from .shared import table
+from .toxicity import toxicity
 
 
 #: Weights of the mixture; names that aren't listed weigh 1.
@@ -30,6 +31,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture as large as the table itself, of at most two epochs of each source: doc_id, source, lang, epoch, mix_tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +63,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op5_mixing": op5_mixing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_records": op7_token_records,
