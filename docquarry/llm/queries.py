@@ -13,6 +13,7 @@ from .decontam import contamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .kneser_ney import lm_scores
+from .langid import identify
 from .mixing import mix
 from .records import token_records
 from .sharding import kd_shards
@@ -27,6 +28,10 @@ DOMAIN = F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
 
@@ -62,6 +67,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op5_mixing": op5_mixing,
