@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .decontam import contamination
 from .exact_dedup import exact_dedup
+from .html_extract import main_text
 from .jaccard_join import jaccard_components
 from .kneser_ney import lm_scores
 from .langid import identify
@@ -40,6 +41,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture as large as the table itself, of at most two epochs of each source: doc_id, source, lang, epoch, mix_tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_html_text": op4_html_text,
     "op5_mixing": op5_mixing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_records": op7_token_records,
