@@ -204,7 +204,7 @@ def join(base: Column, ref: Column) -> Column:
     return (
         F.when(ref == "", base).when(F.regexp_extract(ref, PARTS, 1) != "", ref).when(F.startswith(ref, F.lit("//")), F.concat(F.regexp_extract(base, PARTS, 1), ref))
         .when(F.startswith(p, F.lit("/")), F.concat(root, _dots(p), tail))
-        .when((p == "") & F.startswith(ref, F.lit("?")), F.concat(root, base_path, tail))
+        .when((p == "") & F.startswith(ref, F.lit("?")), F.concat(root, F.regexp_extract(base, PARTS, 5), tail))
         .when(p == "", F.concat(strip_fragment(base), tail)).otherwise(F.concat(root, _dots(merged), tail))
     )
 
