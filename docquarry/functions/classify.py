@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .names import disposition_name
-from .text import text
+from .text import let, text
 from .url import suffix, suffix_of
 
 # Extensions of content types without a better hint.
@@ -24,9 +24,12 @@ def starts_with(body: Column, magic: bytes) -> Column:
 def response_type(url: Column, content_type: Column, body: Column, disposition: Column) -> Column:
     """struct(file_type, ext); the first rule that fits decides."""
     whole = F.lower(text(content_type))
-    ct = F.trim(F.regexp_extract(whole, r"^([^;]*)", 1))
-    cd, us = suffix_of(disposition_name(disposition)), suffix(url)
-    body = F.coalesce(body, F.lit(b""))
+    known = F.struct(whole.alias("whole"), F.trim(F.regexp_extract(whole, r"^([^;]*)", 1)).alias("ct"), suffix_of(disposition_name(disposition)).alias("cd"), suffix(url).alias("us"), F.coalesce(body, F.lit(b"")).alias("body"))
+    return let(known, _decide)
+
+
+def _decide(k: Column) -> Column:
+    whole, ct, cd, us, body = (k[n] for n in ("whole", "ct", "cd", "us", "body"))
     # Bytes as characters of one byte each; hex keeps ASCII letters comparable without decoding errors.
     head = F.hex(F.substring(body, 1, 500))
     # ASCII letters in either case, byte by byte.

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lexicons import ALLOWED_HOSTS, BASE_URL, BINARY_SUFFIXES, DOCUMENT_SUFFIXES, FOLLOW_WORDS, GENERIC_PATHS, SECTION_ITEMS, SECTION_NAMES, YEARS
-from .text import any_of, safe_name, text
+from .text import any_of, let, safe_name, text
 
 PARTS = r"(?s)^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
 PUBLICATION = "publication.pravo.gov.ru"
@@ -106,10 +106,9 @@ def eo_number(u: Column) -> Column:
 
 def candidates(u: Column) -> Column:
     """The URLs to try, in order: publication forms by http and https, then the URL itself by http and https."""
-    eo = eo_number(u)
-    forms = [F.concat(F.lit(f"{s}://{PUBLICATION}/{p}"), eo) for s in ("http", "https") for p in ("file/pdf?eoNumber=", "document/", "Document/View/")]
+    forms = F.array(*(F.lit(f"{s}://{PUBLICATION}/{p}") for s in ("http", "https") for p in ("file/pdf?eoNumber=", "document/", "Document/View/")))
     own = F.array(force_scheme(u, "http"), force_scheme(u, "https"))
-    return F.array_distinct(F.when(eo != "", F.concat(F.array(*forms), own)).otherwise(own))
+    return let(eo_number(u), lambda eo: F.array_distinct(F.concat(F.when(eo != "", F.transform(forms, lambda f: F.concat(f, eo))).otherwise(F.array().cast("array<string>")), own)))
 
 
 def doc_itself(u: Column) -> Column:
