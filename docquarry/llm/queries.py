@@ -6,7 +6,7 @@ from collections.abc import Callable
 from fractions import Fraction
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import contamination
@@ -24,11 +24,14 @@ from .toxicity import toxicity
 
 #: Weights of the mixture; names that aren't listed weigh 1.
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 3}}
-#: A source's domain: a fixed deal of the sources, as the documents name none themselves.
-DOMAIN = F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(4)).cast("string"))
 TOKENIZER = "word_bpe_49k.json"
 
 
+def domain() -> Column:
+    """A source's domain: a fixed deal of the sources, as the documents name none themselves."""
+    return F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(4)).cast("string"))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -48,7 +51,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture as large as the table itself, of at most two epochs of each source: doc_id, source, lang, epoch, mix_tokens."""
     docs = table(spark, sf_dir, "documents")
-    return mix(docs, Fraction(1), DOMAIN, MIX_WEIGHTS, epochs=2, seed="mix-1").select("doc_id", "lang", "source", "epoch", "mix_tokens")
+    return mix(docs, Fraction(1), domain(), MIX_WEIGHTS, epochs=2, seed="mix-1").select("doc_id", "lang", "source", "epoch", "mix_tokens")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +99,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
     """,
+    "op6_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.reached) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
+    """,
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
