@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docquarry.llm.decontam import contamination
 from docquarry.llm.jaccard_join import jaccard_components
 from docquarry.llm.mixing import mix
-from docquarry.llm.queries import DOMAIN, MIX_WEIGHTS, TOKENIZER
+from docquarry.llm.queries import MIX_WEIGHTS, TOKENIZER, domain
 from docquarry.llm.records import token_records
 from docquarry.llm.shared import materialise, small, table
 from docquarry.llm.toxicity import without_toxic
@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, MIXED, DOMAIN, MIX_WEIGHTS, epochs=1, seed="mix-1").select(docs.columns)
+    return mix(docs, MIXED, domain(), MIX_WEIGHTS, epochs=1, seed="mix-1").select(docs.columns)
 
 
 def records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
