@@ -190,3 +190,27 @@ ORACLES: dict[str, str] = {
         b AS (SELECT item, min(k) FILTER (ok) AS hit FROM n GROUP BY item), f AS (SELECT n.item, n.error, n.k, row_number() OVER (PARTITION BY n.item ORDER BY k DESC) AS back FROM n JOIN b USING (item) WHERE NOT ok AND (hit IS NULL OR k < hit))
         SELECT b.item, (SELECT url FROM n WHERE n.item = b.item AND n.k = b.hit) AS url, coalesce((SELECT string_agg(error, ' | ' ORDER BY k) FROM f WHERE f.item = b.item AND back <= 6), '') AS errors, CASE WHEN hit IS NULL THEN 'ERROR' ELSE 'OK' END AS status FROM b""",
 }
+
+#: The character references that the pages hold, cut-off ones too.
+_plain = lambda x: f"regexp_replace(regexp_replace({x}, '&amp;?', '&', 'g'), '&quot;?', '\"', 'g')"
+ORACLES |= {
+    "search_urls": f"""WITH q AS ({values(cases.QUERIES, 'query')}), e AS (SELECT query, replace(url_encode(trim(query)), '%2F', '/') AS path, replace(url_encode(trim(query)), '%20', '+') AS plus FROM q),
+        c AS (SELECT query, p, k, CASE k WHEN 0 THEN '{BASE_URL}/search/node/' || path || CASE WHEN p > 0 THEN '?page=' || p ELSE '' END WHEN 1 THEN '{BASE_URL}/?do=search&subaction=search&story=' || plus || CASE WHEN p > 0 THEN '&page=' || p ELSE '' END
+            ELSE '{BASE_URL}/index.php?do=search&subaction=search&story=' || plus || CASE WHEN p > 0 THEN '&page=' || p ELSE '' END END AS url FROM e, range(3) AS a(p), range(3) AS b(k))
+        SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY p, k) - 1 AS INTEGER) AS ord, url FROM c""",
+    "content_disposition": f"""WITH r AS ({values(cases.HEADERS, 'header')}), x AS (SELECT header, url_decode(trim(regexp_extract(header, '(?i);\\s*filename\\s*=\\s*([^;]*)', 1), '" ')) AS plain, url_decode(regexp_extract(header, '(?i)filename\\*=[^'']*''''([^;]+)', 1)) AS coded FROM r)
+        SELECT header, CASE WHEN plain <> '' THEN {safe("plain", 100)} WHEN coded <> '' THEN {safe("coded", 100)} ELSE '' END AS name FROM x""",
+    "response_type": f"""WITH r AS ({values(cases.TYPES, 'url, content_type, body, disposition')}), x AS (SELECT *, lower(content_type) AS whole, trim(split_part(lower(content_type), ';', 1)) AS ct, lower(left(body, 500)) AS head,
+            lower(regexp_extract(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '[^/](\\.[^./]+)$', 1)) AS us, lower(regexp_extract(trim(regexp_extract(disposition, 'filename=([^;]*)', 1), '" '), '[^/](\\.[^./]+)$', 1)) AS cd FROM r),
+        y AS (SELECT *, coalesce(nullif(cd, ''), us) AS e FROM x),
+        z AS (SELECT *, CASE WHEN starts_with(body, '%PDF') OR contains(whole, 'pdf') THEN 'PDF' WHEN ct IN ('text/html', 'application/xhtml+xml') OR contains(head, '<html') OR contains(head, '<!doctype html') THEN 'HTML_TEXT'
+            WHEN contains(ct, 'rtf') OR starts_with(body, '{{\\rtf') OR us = '.rtf' OR cd = '.rtf' THEN 'WORD_RTF' WHEN us IN ('.doc', '.docx') OR cd IN ('.doc', '.docx') OR contains(ct, 'word') THEN 'WORD_DOC'
+            WHEN us IN ('.xls', '.xlsx', '.csv') OR cd IN ('.xls', '.xlsx', '.csv') OR contains(ct, 'excel') OR contains(ct, 'spreadsheet') THEN 'EXCEL_TABLE' WHEN starts_with(body, 'PK' || chr(3) || chr(4)) THEN 'ZIP_OR_OFFICE' WHEN starts_with(ct, 'text/') THEN 'TEXT' ELSE 'BINARY_FILE' END AS file_type FROM y)
+        SELECT url, content_type, hex(encode(body)) AS body, disposition, file_type, CASE file_type WHEN 'PDF' THEN '.pdf' WHEN 'HTML_TEXT' THEN '.txt' WHEN 'WORD_RTF' THEN '.rtf' WHEN 'WORD_DOC' THEN coalesce(nullif(e, ''), '.docx') WHEN 'EXCEL_TABLE' THEN coalesce(nullif(e, ''), '.xlsx')
+            WHEN 'ZIP_OR_OFFICE' THEN coalesce(nullif(e, ''), '.zip') WHEN 'TEXT' THEN '.txt' ELSE CASE WHEN e = '' OR length(e) > 10 THEN CASE ct WHEN 'image/png' THEN '.png' ELSE '.bin' END ELSE e END END AS ext FROM z""",
+    "bad_links": f"""WITH {PARTS}, t AS (SELECT url, suffix, regexp_replace(lower(url), '^https://', 'http://') AS url_low, lower(trim(regexp_replace('title ' || left(url, 12), '\\s+', ' ', 'g'))) AS title_low, low AS path_low, lower('title ' || left(url, 12) || ' ' || url) AS txt FROM n)
+        SELECT url, length(title_low) < 3 OR {anyof("url_low", BAD_URL_PARTS)} OR title_low IN ({_in(BAD_TITLES)}) OR (NOT (regexp_matches(path_low, '/sp[0-9]') OR regexp_matches(title_low, '(^|[^\\p{{L}}\\p{{N}}_])сп\\s*[0-9]')) AND {SNIP}) AS bad,
+            CASE WHEN regexp_matches(txt, '(^|[^\\p{{L}}\\p{{N}}_])сп\\s*[0-9]|/sp[0-9]') THEN 'СП' WHEN regexp_matches(txt, '(^|[^\\p{{L}}\\p{{N}}_])(гост|gost)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'ГОСТ' WHEN suffix = '.pdf' THEN 'PDF' WHEN suffix IN ('.doc', '.docx', '.rtf') THEN 'WORD' WHEN suffix IN ('.xls', '.xlsx') THEN 'EXCEL' ELSE 'HTML' END AS document_type FROM t""",
+    "decoded_pages": "SELECT page_id, left(html, 2000) AS text, 'utf-8' AS charset FROM pages",
+    "page_titles": f"SELECT page_id, {norm(_plain('''regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)'''))} AS title FROM pages",
+}
