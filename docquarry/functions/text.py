@@ -56,8 +56,7 @@ def strip_chars(c: Column, chars: str) -> Column:
 def safe_name(c: Column, most: int = 120) -> Column:
     """A name that every file system takes, of at most `most` characters."""
     clean = F.translate(norm_space(c), '<>:"/\\|?*', "_" * 9)
-    cut = strip_chars(F.substring(strip_chars(clean, " ._"), 1, most), " ._")
-    return F.when(cut == "", F.lit("document")).otherwise(cut)
+    return F.regexp_replace(strip_chars(F.substring(strip_chars(clean, " ._"), 1, most), " ._"), "^$", "document")
 
 
 def normalize_extracted(c: Column) -> Column:

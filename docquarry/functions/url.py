@@ -130,16 +130,20 @@ def doc_itself(u: Column) -> Column:
 
 
 def preferred_content(u: Column) -> Column:
-    eo = eo_number(u)
-    return F.when(eo != "", F.concat(F.lit(f"http://{PUBLICATION}/file/pdf?eoNumber="), eo)).otherwise(doc_itself(u))
+    return let(eo_number(u), lambda eo: F.when(eo != "", F.concat(F.lit(f"http://{PUBLICATION}/file/pdf?eoNumber="), eo)).otherwise(doc_itself(u)))
 
 
 def doc_id(u: Column) -> Column:
     """An id that the URL itself names, or empty."""
     named = F.coalesce(F.nullif(query_value(u, "eoNumber"), F.lit("")), query_value(u, "nd"))
     last = unquote(F.regexp_extract(F.regexp_replace(path(u), r"/+$", ""), r"([^/]*)$", 1))
-    stem = F.when(last.rlike(r"^.+\.[^.]+$"), F.regexp_replace(last, r"\.[^.]+$", "")).otherwise(last)
-    return F.when(named != "", safe_name(named, 60)).when(F.contains(last, F.lit(".")), safe_name(stem, 60)).when(last.rlike(r"^[0-9A-Za-z_-]{6,}$"), safe_name(last, 60)).otherwise("")
+
+    def choose(k: Column) -> Column:
+        named, last = k["named"], k["last"]
+        stem = F.when(last.rlike(r"^.+\.[^.]+$"), F.regexp_replace(last, r"\.[^.]+$", "")).otherwise(last)
+        return F.when(named != "", safe_name(named, 60)).when(F.contains(last, F.lit(".")), safe_name(stem, 60)).when(last.rlike(r"^[0-9A-Za-z_-]{6,}$"), safe_name(last, 60)).otherwise("")
+
+    return let(F.struct(named.alias("named"), last.alias("last")), choose)
 
 
 def is_direct_document(u: Column, suffixes: Iterable[str] = DOCUMENT_SUFFIXES) -> Column:
@@ -163,6 +167,11 @@ def is_generic(u: Column, table: Iterable[tuple[str, str]] = GENERIC_PATHS) -> C
     return search | ((h == PUBLICATION) & (p == "/search")) | ((h == "vsrf.ru") & is_section(p)) | ((q == "") & place.isin(*(f"{a} {b}" for a, b in table)))
 
 
+def requires_link_target(u: Column, allowed: Column, allow_generic_pages: bool = False) -> Column:
+    """Whether an item's own page doesn't do, because it is a portal that isn't wanted for itself."""
+    return is_generic(u) & ~allowed & F.lit(not allow_generic_pages)
+
+
 def is_followable(u: Column, title: Column, base: Column, words: Iterable[str] = FOLLOW_WORDS) -> Column:
     h, p = normalized_host(u), F.lower(path(u))
     nd = pravo_nd(u)

@@ -57,3 +57,20 @@ def numbered_children(links: DataFrame, key: str, num: Column) -> DataFrame:
     """Adds child_num: the parent's number, a point, and the link's place in two digits at least."""
     place = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
     return links.withColumn("child_num", F.btrim(F.concat(num, F.lit("."), F.format_string("%02d", place)), F.lit(".")))
+
+
+def planned(links: DataFrame, navigation: Column, key: str = "page_id", max_chain: int = 0, max_links: int = 0) -> DataFrame:
+    """The links that a page's crawl tries, in place: a portal's all, direct documents first, at most max_chain; of other
+    pages the direct documents alone, in page order, at most max_links. 0 is no limit."""
+    by_rank = Window.partitionBy(key).orderBy(tier(F.col("url")), F.length("title"), "url", "ord")
+    portal = links.where(navigation).withColumn("place", F.row_number().over(by_rank))
+    other = links.where(~navigation & U.is_direct_document(F.col("url"))).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("ord")))
+    cut = lambda df, n: df.where(F.col("place") <= n) if n else df
+    return cut(portal, max_chain).unionByName(cut(other, max_links))
+
+
+def summary(links: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, text: a line for each link, with its title if it has one."""
+    line = F.concat(F.lit("- "), F.when(link_text(F.col("title"), 180) != "", F.concat(link_text(F.col("title"), 180), F.lit(": "))).otherwise(""), F.col("url"))
+    rows = links.where(F.coalesce("url", F.lit("")) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("_l"))
+    return rows.select(key, F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))

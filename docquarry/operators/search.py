@@ -70,3 +70,19 @@ def response(query: str, page: DataFrame, reports: DataFrame, found: DataFrame,
     # Three tables of one row each.
     row = totals(found, iteration, limit).crossJoin(F.broadcast(pages)).crossJoin(F.broadcast(docs))
     return row.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in head.items()), *(F.col(c) for c in row.columns)), {"pretty": "true"}).alias("json"))
+
+
+def direct_candidates(responses: DataFrame, words: Column, min_score: float = 0.10, hosts: Iterable[str] | None = ALLOWED_HOSTS) -> DataFrame:
+    """responses: page_ord, url, title, text of pages that the query itself names. Candidates of mode direct, whose
+    snippet is the beginning of the text; their least score is their own."""
+    rows = responses.select("page_ord", F.lit(0).alias("anchor_ord"), F.lit("direct").alias("mode"), "url", "title", F.left(norm_space(F.col("text")), F.lit(500)).alias("snippet"))
+    return candidates(rows, words, min_score, hosts)
+
+
+def merged(*phases: DataFrame) -> DataFrame:
+    """Candidates of several phases; the first of each URL stays, by phase and place."""
+    rows = phases[0]
+    for p in phases[1:]:
+        rows = rows.unionByName(p)
+    first = Window.partitionBy("url").orderBy("mode_ord", "page_ord", "anchor_ord")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")

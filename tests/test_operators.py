@@ -145,3 +145,36 @@ def test_stream_cleans_each_url_once(spark, tmp_path):
     out = str(tmp_path / "out")
     landing.start(landing.cleaned(landing.landing(spark, str(tmp_path / "in"))), lambda df, _: df.write.mode("append").parquet(out), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["key"] for r in spark.read.parquet(out).collect()) == ["http://a.org/x", "http://b.org/"]
+
+
+def test_acquire(spark):
+    from docquarry.plans.acquire import Options, acquire
+
+    items = spark.createDataFrame([(1, "1", "Закон", "a\\b", "https://a.org/law"), (2, "2", "Файл", "a", "http://a.org/x.pdf"), (3, "", "Нет", "", "http://a.org/none"), (4, "4", "Портал", "x", "http://pravo.gov.ru/"), (5, "5", "Битый", "x", "http://a.org/bad.pdf")], "id long, num string, title string, folder string, original_url string")
+    law = "<html><body><p>Федеральный закон о проверке</p></body></html>".encode("cp1251")
+    rows = [("https://a.org/law", "https://a.org/law", 200, "text/html", None, None, law), ("http://a.org/law", None, 500, None, None, None, None), ("http://a.org/x.pdf", None, 200, "application/pdf", None, None, b"%PDF-1.4"), ("http://pravo.gov.ru/", None, 200, "text/html", None, None, b"<html>x</html>"), ("http://a.org/bad.pdf", None, 200, "application/pdf", None, None, b"oops")]
+    resp = spark.createDataFrame(rows, "url string, final_url string, http_status int, content_type string, content_disposition string, http_encoding string, body binary")
+    got = {r["id"]: r for r in acquire(items, resp).collect()}
+    assert {i: r["status"] for i, r in got.items()} == {1: "OK_HTML_TEXT", 2: "OK_PDF", 3: "ERROR", 4: "ERROR_NO_LINKED_DOCUMENTS", 5: "ERROR"}
+    assert got[1]["text"] == "Федеральный закон о проверке\n" and got[1]["saved_to"] == "/archive/a/b/1_Закон.txt" and got[1]["encoding"] in ("cp1251", "windows-1251")
+    old = spark.createDataFrame([("/archive/a/b/1_Закон.txt", "﻿текст"), ("/archive/a/2_Файл_x.pdf", None)], "saved_to string, text string")
+    assert {r["id"]: r["status"] for r in acquire(items, resp, old).collect()}[1] == "SKIPPED_EXISTS"
+    assert {r["status"] for r in acquire(items, resp, None, Options(dry_run=True)).collect()} == {"DRY_RUN"}
+
+
+def test_html_files(spark, tmp_path):
+    from docquarry.sources import files
+
+    (tmp_path / "a.html").write_bytes("﻿<p>Приказ о файлах</p>".encode())
+    got = files.cleaned_files(files.html_files(spark, str(tmp_path))).collect()
+    assert [(r["target"].rpartition("/")[2], r["text"]) for r in got] == [("a.clean.txt", "Приказ о файлах\n")]
+
+
+def test_planned_links(spark):
+    from docquarry.operators import links
+
+    rows = [(1, 0, "http://a.org/page", "page"), (1, 1, "http://a.org/x.pdf", "file"), (1, 2, "http://pravo.gov.ru/", "p"), (2, 0, "http://a.org/page", "page"), (2, 1, "http://a.org/y.pdf", "")]
+    df = spark.createDataFrame(rows, "page_id long, ord int, url string, title string")
+    got = links.planned(df, F.col("page_id") == 1).orderBy("page_id", "place").collect()
+    assert [(r["page_id"], r["ord"]) for r in got] == [(1, 1), (1, 0), (1, 2), (2, 1)]
+    assert {r["page_id"]: r["text"] for r in links.summary(df).collect()}[2] == "- page: http://a.org/page\n- http://a.org/y.pdf"
