@@ -72,12 +72,16 @@ def phrase_matches(items: DataFrame, docs: DataFrame, size: int = 10, rarest: in
     """
     rare, n_rare, rare_terms, n_terms = plan(items, docs, size, rarest)
     index = materialise(postings(docs, rare_terms, n_terms, size), "postings")
-    shifted = index.join(small(rare, n_rare, 60 + 12 * size), "term").withColumn("start", F.col("pos") - F.col("off")).where(F.col("start") >= 0)
-    lists = shifted.groupBy("doc_id", "item_id", "key", "len", "start").agg(
-        F.count_distinct("role").alias("roles"), F.min(F.when(F.col("role") == 1, F.struct("lead", "off", "context"))).alias("at"))
-    both = lists.where((F.col("roles") == F.least(F.lit(rarest), F.col("len"))))
-    found = F.array_join(F.slice(F.split("at.context", " "), F.col("at.lead") - F.col("at.off") + 1, F.col("len")), " ")
-    return both.where(found == F.col("key")).select("doc_id", "item_id", "start", "len")
+    rare = rare.withColumn("w", F.xxhash64("item_id", "key"))
+    every = F.expr(f"shiftleft(1, least({rarest}, len)) - 1")  # a bit for each of the window's rarest terms
+    lists = rare.select("term", "w", "off", F.expr("shiftleft(1, role - 1)").alias("bit"), every.alias("every"))
+    shifted = index.select("term", "doc_id", "pos").join(small(lists, n_rare, 48), "term").select("doc_id", "w", (F.col("pos") - F.col("off")).alias("start"), "bit", "every").where("start >= 0")
+    met = shifted.groupBy("doc_id", "w", "start", "every").agg(F.bit_or("bit").alias("bits")).where("bits = every").select("doc_id", "w", "start")
+    both = materialise(met, "intersections")
+    first = rare.where("role = 1").select("item_id", "key", "len", "w", "off", "term")
+    anchors = index.join(small(first, n_rare, 60 + 12 * size), "term").withColumn("start", F.col("pos") - F.col("off"))
+    found = F.array_join(F.slice(F.split("context", " "), F.greatest(F.col("lead") - F.col("off") + 1, F.lit(1)), F.col("len")), " ")
+    return anchors.where((F.col("start") >= 0) & (found == F.col("key"))).join(small(both, both.count(), 24), ["doc_id", "w", "start"], "left_semi").select("doc_id", "item_id", "start", "len")
 
 
 def proximity_matches(items: DataFrame, docs: DataFrame, size: int = 10, rarest: int = 2, slop: int = 3) -> DataFrame:
