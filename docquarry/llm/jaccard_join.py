@@ -29,7 +29,7 @@ from .shared import materialise, shuffle_parts, small
 U = np.uint64
 NUM, DEN = 90, 100
 SHINGLE = 3
-BATCH = 4 << 20
+BATCH = 2 << 20
 SKETCH = 4  #: longs of a parity sketch
 
 
