@@ -375,4 +375,4 @@ def page_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def decoded_pages(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.decode(_t(spark, d, "pages").select("page_id", F.encode(F.left("html", F.lit(2000)), "utf-8").alias("body")), "page_id")
+    return encoding.decode(_t(spark, d, "pages").select("page_id", F.encode("html", "utf-8").alias("body")), "page_id")

@@ -178,3 +178,13 @@ def test_planned_links(spark):
     got = links.planned(df, F.col("page_id") == 1).orderBy("page_id", "place").collect()
     assert [(r["page_id"], r["ord"]) for r in got] == [(1, 1), (1, 0), (1, 2), (2, 1)]
     assert {r["page_id"]: r["text"] for r in links.summary(df).collect()}[2] == "- page: http://a.org/page\n- http://a.org/y.pdf"
+
+
+def test_decoded_pages_are_whole(spark, tmp_path):
+    """Against brute force: pages are valid UTF-8, so each comes back as it is, beyond 2,000 characters too."""
+    from docquarry.plans.queries import QUERIES
+
+    pages = {1: "<p>краткая</p>", 2: "<p>" + "длинная страница " * 500 + "конец</p>", 3: "x" * 2001, 4: ""}
+    spark.createDataFrame(list(pages.items()), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["charset"]) for r in QUERIES["decoded_pages"](spark, str(tmp_path)).collect()}
+    assert got == {k: (t, "utf-8") for k, t in pages.items()}
