@@ -19,6 +19,8 @@ from docquarry.llm.records import token_records
 from docquarry.llm.shared import materialise, small, table
 from docquarry.llm.toxicity import without_toxic
 
+#: Near copies: words of a shingle, and the least Jaccard similarity as a fraction.
+NEAR = {"size": 5, "num": 80, "den": 100}
 #: Part of the tokens that the mixture takes.
 MIXED = Fraction(9, 10)
 
@@ -33,7 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard_components(docs).where("component_id <> doc_id").select("doc_id"))
+    return _without(docs, jaccard_components(docs, **NEAR).where("component_id <> doc_id").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

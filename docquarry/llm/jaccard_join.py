@@ -76,10 +76,10 @@ def allot(hi: int, docs: int, num: int = NUM, den: int = DEN) -> tuple[int, int]
     return best[1], best[2]
 
 
-def _sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sizes(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for i, j in words.batches(batch["text"], BATCH):
-            row, h = shingle_sets(batch["text"].slice(i, j - i))
+            row, h = shingle_sets(batch["text"].slice(i, j - i), size)
             n = np.bincount(row, minlength=j - i)
             prints = []
             for salt in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)):
@@ -123,42 +123,42 @@ def signatures(row: np.ndarray, h: np.ndarray, rows: int, lows: np.ndarray, plan
     return sig[order], np.bincount(owner, minlength=rows)
 
 
-def _signed(rows: Iterator[pa.RecordBatch], lows: np.ndarray, plans: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def _signed(rows: Iterator[pa.RecordBatch], size: int, lows: np.ndarray, plans: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for i, j in words.batches(batch["text"], BATCH):
-            row, h = shingle_sets(batch["text"].slice(i, j - i))
+            row, h = shingle_sets(batch["text"].slice(i, j - i), size)
             sig, counts = signatures(row, h, j - i, lows, plans)
             n = np.bincount(row, minlength=j - i).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(n), _lists(sig, counts)], names=["id", "n", "sigs"])
 
 
-def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for i, j in words.batches(batch["text"], BATCH):
-            row, h = shingle_sets(batch["text"].slice(i, j - i))
+            row, h = shingle_sets(batch["text"].slice(i, j - i), size)
             bits = (words.mix(h ^ U(0x2545F4914F6CDD1D)) % U(64 * SKETCH)).astype(np.int64)
             odd = np.bincount(row * 64 * SKETCH + bits, minlength=(j - i) * 64 * SKETCH).astype(np.uint8) & 1
             sketch = np.packbits(odd, bitorder="little").view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), _lists(h, np.bincount(row, minlength=j - i)), _lists(sketch, np.full(j - i, SKETCH))], names=["id", "shingles", "sketch"])
 
 
-def _close(n: Column, m: Column) -> Column:
-    return F.least(n, m) * DEN >= F.greatest(n, m) * NUM
+def _close(n: Column, m: Column, num: int, den: int) -> Column:
+    return F.least(n, m) * den >= F.greatest(n, m) * num
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets really reach the threshold."""
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    return materialise(pairs.select("a", "b").join(x, "a").join(y, "b").where(both * DEN >= (F.size("x") + F.size("y") - both) * NUM).select("a", "b"), "links")
+    return materialise(pairs.select("a", "b").join(x, "a").join(y, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b"), "links")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, class_id.
 
     Lower case is made of A-Z alone; words are runs of other bytes than space and U+0009 to U+000D. Documents link when
-    100 * intersection >= 90 * union of their sets of 3-word shingles; component_id is the smallest doc_id that links
+    den * intersection >= num * union of their sets of `size`-word shingles; component_id is the smallest doc_id that links
     reach. class_id: the smallest doc_id with the same set. Texts that are null, empty or without words have no shingle
     and no link. Rows that share an id are one node; a null id is linked with nothing. Shingles are told apart by
     64-bit hashes, sets by 128 bits. Very long texts are taken whole. An empty table gives an empty result. Extra
@@ -167,7 +167,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    light = materialise(docs.mapInArrow(_sizes, f"doc_id {kind}, n long, fp1 long, fp2 long"), "set-sizes")
+    light = materialise(docs.mapInArrow(lambda it: _sizes(it, size), f"doc_id {kind}, n long, fp1 long, fp2 long"), "set-sizes")
     full = light.where("n > 0 and doc_id is not null")
     top = full.agg(F.max("n")).first()[0]
     if top is None:
@@ -177,14 +177,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     n_several = several.count()
     known = materialise(light.join(small(several, n_several, 48), ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id")), "members")
     others = known.where("class_id is not null and class_id <> doc_id").select(F.col("doc_id").alias("id"))
-    lows = bands(top)
+    lows = bands(top, num, den)
     # Documents of each group: those of its band and of the band below.
     edges = F.array(*(F.lit(int(x)) for x in lows))
     sizes = known.where("n > 0").groupBy("n").count()
     per_band = dict(sizes.groupBy((F.size(F.filter(edges, lambda x: x <= F.col("n"))) - 1).alias("band")).agg(F.sum("count")).collect())
-    ends = [*(lows[1:] - 1).tolist(), int(lows[-1] * DEN // NUM), int(lows[-1] * DEN * DEN // NUM // NUM)]
-    plans = [allot(hi, per_band.get(b, 0) + per_band.get(b - 1, 0)) for b, hi in enumerate(ends)]
-    signed = docs.where("doc_id is not null").mapInArrow(lambda it: _signed(it, lows, plans), f"id {kind}, n long, sigs array<long>")
+    ends = [*(lows[1:] - 1).tolist(), int(lows[-1] * den // num), int(lows[-1] * den * den // num // num)]
+    plans = [allot(hi, per_band.get(b, 0) + per_band.get(b - 1, 0), num, den) for b, hi in enumerate(ends)]
+    signed = docs.where("doc_id is not null").mapInArrow(lambda it: _signed(it, size, lows, plans), f"id {kind}, n long, sigs array<long>")
     signed = signed.join(small(others, others.count(), 16), "id", "left_anti")
     sigs = signed.select("id", "n", F.explode("sigs").alias("sig")).repartition(max(shuffle_parts(spark), 1), "sig")
     shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -194,16 +194,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     ids = members.select("id").distinct()
     n_ids = ids.count()
     wanted = docs.join(small(ids, n_ids, 16), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = materialise(wanted.mapInArrow(_sets, f"id {kind}, shingles array<long>, sketch array<long>"), "sets")
+    sets = materialise(wanted.mapInArrow(lambda it: _sets(it, size), f"id {kind}, shingles array<long>, sketch array<long>"), "sets")
     central = F.max(F.struct("degree", "id", "n"))
 
     def stars(rows: DataFrame) -> DataFrame:
         hubs = rows.groupBy("sig").agg(central.alias("hub"))
-        return rows.join(hubs, "sig").where((F.col("id") != F.col("hub.id")) & _close(F.col("n"), F.col("hub.n")))
+        return rows.join(hubs, "sig").where((F.col("id") != F.col("hub.id")) & _close(F.col("n"), F.col("hub.n"), num, den))
 
     first = stars(members).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
     best = first.groupBy(F.col("id").alias("b")).agg(F.max_by("hub", F.struct("times", "hub")).alias("a"))
-    links = _verified(best, sets)
+    links = _verified(best, sets, num, den)
     comps = components(links)
 
     def apart(comps: DataFrame) -> DataFrame:
@@ -215,18 +215,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     left = apart(comps)
     if not left.isEmpty():
         hubs = left.groupBy("sig").agg(F.max(F.struct("degree", "id", "n", "comp")).alias("hub"))
-        again = left.join(hubs, "sig").where((F.col("comp") != F.col("hub.comp")) & _close(F.col("n"), F.col("hub.n")))
+        again = left.join(hubs, "sig").where((F.col("comp") != F.col("hub.comp")) & _close(F.col("n"), F.col("hub.n"), num, den))
         pairs = again.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-        links = links.union(_verified(pairs, sets))
+        links = links.union(_verified(pairs, sets, num, den))
         comps = components(links)
         left = apart(comps)
     if not left.isEmpty():
         drawn = left.join(sets.select("id", "sketch"), "id")
         x, y = (drawn.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "comp", "sketch"))) for k in ("a", "b"))
         differ = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH)), F.lit(0))
-        fits = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _close(F.col("n_a"), F.col("n_b")) & (differ * (DEN + NUM) <= (F.col("n_a") + F.col("n_b")) * (DEN - NUM))
+        fits = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _close(F.col("n_a"), F.col("n_b"), num, den) & (differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
         pairs = x.join(y, (x["sig"] == y["sig"]) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        links = links.union(_verified(pairs, sets))
+        links = links.union(_verified(pairs, sets, num, den))
         comps = components(links)
     node = F.coalesce("class_id", "doc_id")
     found = comps.select(F.col("id").alias("node"), "comp")

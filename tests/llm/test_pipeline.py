@@ -1,6 +1,7 @@
 """The pipeline stage by stage, against brute-force versions of what each stage keeps."""
 
 import os
+import re
 
 import corpus_pipeline
 import pytest
@@ -63,3 +64,19 @@ def test_run_gives_the_last_stage(spark, sf_dir, stages):
     got = {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == {tuple(r) for r in stages[-1].collect()}
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_near_copies_go_from_four_fifths_of_five_word_shingles(spark):
+    """Brute force by hand: 196 of 236 shingles, 9 of 9 + 2 * 5 of a short text (too few), 45 of 55 by one changed word."""
+    long, short, medium = ([f"{k}{i}" for i in range(n)] for k, n in (("a", 200), ("b", 18), ("c", 54)))
+    changed = lambda w, at: [*w[:at], "new", *w[at + 1 :]]
+    rows = [long, [*long, *(f"d{i}" for i in range(40))], short, changed(short, 9), medium, changed(medium, 27)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    kept = corpus_pipeline.jaccard_join(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4]
+
+
+def test_kept_texts_are_apart_by_brute_force(stages):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, t in texts(stages[2]).items() if (w := [x for x in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))])}
+    ids = sorted(sets)
+    assert not [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
