@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,6 +77,11 @@ def features(nodes: list[Node]) -> np.ndarray:
     total = max(text[0], 1.0)
     above: list[set[int]] = []
     articles = np.zeros(n)
+    places, alike = np.zeros(n, np.int64), np.ones(n, np.int64)  # among siblings: the node's place, and how many have its tag
+    for x in nodes:
+        same = Counter(s.tag for s in x.children)
+        for k, s in enumerate(x.children):
+            places[at[id(s)]], alike[at[id(s)]] = k, same[s.tag]
     for i, x in enumerate(nodes):
         mine = groups(x)
         p = at[id(x.parent)] if x.parent is not None else -1
@@ -90,9 +96,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             out[i, k_tags + k_words + g] = 1
         sib = x.parent.children if x.parent is not None else [x]
         first = at[id(sib[0])]
-        place = 0
-        if len(sib) > 1:
-            place = next(k for k, s in enumerate(sib) if s is x) if len(sib) < 64 else 0
+        place = int(places[i])
         before, after = (sib[place - 1] if place else None), (sib[place + 1] if place + 1 < len(sib) else None)
         f = out[i, k_tags + 2 * k_words :]
         f[0], f[1], f[2] = x.depth, np.log1p(text[i]), np.log1p(own[i])
@@ -108,7 +112,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         f[14] = articles[i]
         f[15] = links[p] / max(text[p], 1) if p >= 0 else 0
         f[16] = np.log1p(text[p]) if p >= 0 else 0
-        f[17] = sum(s.tag == x.tag for s in sib) if len(sib) < 64 else 64
+        f[17] = alike[i]
         f[18] = tags[i]
         f[19] = nodes[first].tag == x.tag
     return out

@@ -469,3 +469,15 @@ def test_invented_pages_held_out():
         at = {id(n): k for k, n in enumerate(nodes)}
         assert all(keep[at[id(n.parent)]] for n, ok in zip(nodes, keep, strict=True) if ok and n.parent is not None)
     assert right >= 0.98 * total
+
+
+@pytest.mark.parametrize("size", [5, 63, 64, 150])
+def test_sibling_features_at_every_size(size):
+    tags = ["p" if k % 3 else "div" for k in range(size)]
+    body = "".join(f"<{t}>{'x' * (k + 1)}</{t}>" for k, t in enumerate(tags))
+    nodes = html_extract.walk(html_extract.parse(f"<body>{body}</body>"))
+    f = html_extract.features(nodes)[1:, len(html_extract.TAGS) + 2 * len(html_extract.WORDS) :]
+    text = [math.log1p(k + 1) for k in range(size)]
+    assert np.allclose(f[:, 10], size) and np.allclose(f[:, 11], np.arange(size) / (size - 1))
+    assert np.allclose(f[:, 12], [-1, *text[:-1]]) and np.allclose(f[:, 13], [*text[1:], -1])
+    assert f[:, 17].tolist() == [tags.count(t) for t in tags]
