@@ -3,6 +3,8 @@
 restore_word() finds the likeliest original of a word: the word spans a lattice with the ways in which each run of equal
 characters may have come about, and Viterbi's algorithm finds the cheapest path under the channel's costs and a
 character bigram model. Only words that look noisy are decoded; all others are their own original.
+
+respaced() does the same for a run of short tokens, whose spaces are optional elements of the lattice.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i",
 }
 SWAP, DROP, TWICE, ONCE = 0.7, 8.0, 1.5, 0.7  #: costs in nats: look-alike, dropped sign, kept pair of a long run, undone pair
+SHORT, GLUE = 3, 2.0  #: most characters of a short token; cost in nats of a space put into a word, if not between single characters
 END = "\n"
 NOISY = re.compile(r"[^\W\d_][^\s]*?(?:[^\w\s,.;:?\"')\]*&%#!-]|\d)|(?:[^\w\s,.;:?\"'(\[*&%#-]|\d)[^\s]*?[^\W\d_]|([^\W\d_])\1\1|[^\W\d_](?:([*._\-!])[^\W\d_]){2,}|[^\W\d_]!+[^\W\d_]")
 EDGE = re.compile(r"^[^\w@$€£|(<+¡!]+|([^\w\s])\1{2,}$|[^\w@$€£|]+$")
@@ -76,44 +79,88 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore_word(word: str, model: CharModel) -> str:
-    """The likeliest original of a lower-case word."""
-    if not NOISY.search(word):
-        return word
-    bare = EDGE.sub("", EDGE.sub("", word))
-    bare = spaced_out(bare) or bare
-    best: dict[str, tuple[float, str]] = {END: (0.0, "")}
-    for ways in lattice(bare):
-        step: dict[str, tuple[float, str]] = {}
-        for last, (cost, text) in best.items():
+def viterbi(parts: list[list[tuple[str, float]]], model: CharModel) -> str:
+    """What the cheapest path through the parts spells. Paths are kept as linked pairs, so that long ones take no copies."""
+    best: dict[str, tuple[float, tuple | None]] = {END: (0.0, None)}
+    for ways in parts:
+        step: dict[str, tuple[float, tuple | None]] = {}
+        for last, (cost, path) in best.items():
             for out, price in ways:
                 total, at = cost + price, last
                 for c in out:
                     total += model(at, c)
                     at = c
                 if at not in step or total < step[at][0]:
-                    step[at] = (total, text + out)
+                    step[at] = (total, (path, out) if out else path)
         best = step
-    return min((cost + model(last, END), text) for last, (cost, text) in best.items())[1]
+    _, _, path = min((cost + model(last, END), last, path) for last, (cost, path) in best.items())
+    out: list[str] = []
+    while path is not None:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def restore_word(word: str, model: CharModel) -> str:
+    """The likeliest original of a lower-case word."""
+    if not NOISY.search(word):
+        return word
+    bare = EDGE.sub("", EDGE.sub("", word))
+    bare = spaced_out(bare) or bare
+    return viterbi(lattice(bare), model)
+
+
+def short(word: str) -> str:
+    """A lower-case token without the signs at its edges, if it is a single character or at most SHORT that hold a letter;
+    otherwise nothing."""
+    bare = word if len(word) == 1 else EDGE.sub("", EDGE.sub("", word))
+    if 0 < len(bare) <= SHORT and all(c.isalpha() or c in LEET for c in bare) and (len(bare) == 1 or any(c.isalpha() for c in bare)):
+        return bare
+    return ""
+
+
+def glued(a: str, b: str, price: float, model: CharModel) -> bool:
+    """Whether no space is likelier than one between the letters a and b."""
+    return price + model(a, b) < model(a, END) + model(END, b)
+
+
+def respaced(tokens: tuple[str, ...], model: CharModel) -> list[str]:
+    """The likeliest words of a run of short tokens: every space is one of the text, or was put into a word."""
+    parts: list[list[tuple[str, float]]] = []
+    k = 0
+    while k < len(tokens):
+        n = 1
+        while len(tokens[k]) == 1 and k + n < len(tokens) and tokens[k + n] == tokens[k]:
+            n += 1
+        group = lattice(tokens[k] * n)
+        if n > 1:
+            group[0] = group[0] + [(x + END + x, cost) for x, cost in group[0] if len(x) == 1]
+        if k:
+            parts.append([("", 0.0 if len(tokens[k - 1]) == len(tokens[k]) == 1 else GLUE), (END, 0.0)])
+        parts += group
+        k += n
+    return [w for w in viterbi(parts, model).split(END) if w]
 
 
 def restorer(model: CharModel):
-    return lru_cache(50_000)(lambda w: restore_word(w, model))
+    one = lru_cache(50_000)(lambda w: restore_word(w, model))
+    one.model = model
+    return one
 
 
 def restore(text: str | None, model: CharModel) -> str:
-    """The restored text, in lower case: words decoded, and runs of three or more single characters put together."""
+    """The restored text, in lower case: words decoded, and runs of short tokens put together where that is likelier."""
     out: list[str] = []
-    run: list[str] = []
+    run: list[tuple[str, str]] = []
     one = restorer(model)
 
     def flush() -> None:
-        out.extend([one("".join(run))] if len(run) > 2 else run)
+        out.extend(respaced(tuple(b for _, b in run), model) if len(run) > 1 and any(c.isalpha() for _, b in run for c in b) else [one(w) for w, _ in run])
         run.clear()
 
     for w in (text or "").lower().split():
-        if len(w) == 1 and (w.isalpha() or w in LEET):
-            run.append(w)
+        if bare := short(w):
+            run.append((w, bare))
         else:
             flush()
             out.append(one(w))

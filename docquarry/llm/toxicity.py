@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .channel import LEET, CharModel, bigrams, restorer
+from .channel import GLUE, NOISY, SHORT, CharModel, bigrams, glued, respaced, restorer, short
 from .shared import fold, materialise
 
 U = np.uint64
@@ -83,6 +85,59 @@ def _trim(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return np.where(none, start, at[np.minimum(lo, len(at) - 1)]), np.where(none, end, at[np.maximum(hi - 1, 0)] + 1)
 
 
+_bare = lru_cache(50_000)(short)
+
+
+def _unspaced(data: np.ndarray, w: words.Words, start: np.ndarray, end: np.ndarray, back: np.ndarray, restored) -> list[tuple[int, str]]:
+    """(row, word) of the words that runs of short tokens spell.
+
+    Between letters that are certain, the lattice's choice depends on the two letters next to the space alone, so one
+    look at each pair of letters decides; runs with look-alikes or single characters in a row are decoded. Where three or
+    more of those follow each other, bigrams tell little of where a word begins, so each place of what is decoded
+    gives the beginnings of a word, as if a space stood before it.
+    """
+    model: CharModel = restored.model
+    lo, hi = _trim(data, start, end)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    bare = [""] * len(start)
+    for i in np.flatnonzero(chars[hi] - chars[lo] <= SHORT).tolist():
+        bare[i] = _bare(data[start[i] : end[i]].tobytes().decode("utf-8", "replace").lower())
+    size = np.array([len(b) for b in bare], np.int64)[back] if len(bare) else np.zeros(0, np.int64)
+    at = np.flatnonzero(size > 0)
+    if len(at) < 2:
+        return []
+    first, last = (np.array([ord(b[k]) if b else 0 for b in bare], np.int64)[back] for k in (0, -1))
+    sure = np.array([b.isalpha() for b in bare], bool)[back]
+    runs = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (np.diff(w.doc[at]) != 0)) + 1, [len(at)]])
+    run_of = np.repeat(np.arange(len(runs) - 1), np.diff(runs))
+    inner = np.flatnonzero(run_of[1:] == run_of[:-1])  # places in `at` before a space within a run
+    left, right = at[inner], at[inner + 1]
+    single = (size[left] == 1) & (size[right] == 1)
+    unsure = np.bincount(run_of[~sure[at]], minlength=len(runs) - 1) > 0
+    letters = np.bincount(run_of[sure[at] | (size[at] > 1)], minlength=len(runs) - 1) > 0
+    hard = (unsure | (np.bincount(run_of[inner[single]], minlength=len(runs) - 1) > 1)) & letters & (np.diff(runs) > 1)
+    out: set[tuple[int, str]] = set()
+    easy = ~(hard | unsure)[run_of[inner]]
+    left, right, inner, single = left[easy], right[easy], inner[easy], single[easy]
+    kinds, which = np.unique((last[left] << 22) | (first[right] << 1) | single, return_inverse=True)
+    joins = np.array([glued(chr(k >> 22), chr((k >> 1) & 0x1FFFFF), 0.0 if k & 1 else GLUE, model) for k in kinds.tolist()], bool)[which]
+    ends = inner[joins]
+    for piece in np.split(ends, np.flatnonzero(np.diff(ends) != 1) + 1) if len(ends) else ():
+        out.add((int(w.doc[at[piece[0]]]), "".join(bare[back[j]] for j in at[piece[0] : piece[-1] + 2].tolist())))
+    reach = PREFIXES[-1]
+    for r in np.flatnonzero(hard).tolist():
+        tokens = [bare[i] for i in back[at[runs[r] : runs[r + 1]]].tolist()]
+        doc = int(w.doc[at[runs[r]]])
+        out.update((doc, x) for x in respaced(tuple(tokens), model))
+        for one, group in groupby(tokens, lambda t: len(t) == 1):
+            spelled = "".join(group) if one else ""
+            if len(spelled) > 2 and any(c.isalpha() for c in spelled):
+                whole = restored(spelled) if NOISY.search(spelled) else spelled
+                out.add((doc, whole))
+                out.update((doc, whole[k : k + reach]) for k in range(len(whole) - PREFIXES[0] + 1))
+    return list(out)
+
+
 def doc_features(texts: pa.Array, restored) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) pairs, distinct: every feature that a text's words, as written or restored, have."""
     data, offsets = words.buffers(texts)
@@ -103,13 +158,7 @@ def doc_features(texts: pa.Array, restored) -> tuple[np.ndarray, np.ndarray]:
             keys = np.array(sorted(decoded))
             at = np.flatnonzero(np.isin(back, keys))
             extra += [(int(w.doc[j]), decoded[int(back[j])]) for j in at]
-        single = np.flatnonzero((w.end - w.start == 1) & (_PLAIN[data[np.minimum(w.start, max(len(data) - 1, 0))]] | np.isin(data[np.minimum(w.start, max(len(data) - 1, 0))], [ord(c) for c in LEET if c.isascii()]))) if len(data) else np.zeros(0, int)
-        if len(single):
-            cut = np.flatnonzero((np.diff(single) != 1) | (np.diff(w.doc[single]) != 0)) + 1
-            for run in np.split(single, cut):
-                if len(run) > 2:
-                    word = data[w.start[run]].tobytes().decode("utf-8", "replace").lower()
-                    extra.append((int(w.doc[run[0]]), restored(word)))
+        extra += _unspaced(data, w, start, end, back, restored)
         if extra:
             extra = sorted(set(extra))
             texts_ = [x.encode() for _, x in extra]

@@ -481,3 +481,29 @@ def test_sibling_features_at_every_size(size):
     assert np.allclose(f[:, 10], size) and np.allclose(f[:, 11], np.arange(size) / (size - 1))
     assert np.allclose(f[:, 12], [-1, *text[:-1]]) and np.allclose(f[:, 13], [*text[1:], -1])
     assert f[:, 17].tolist() == [tags.count(t) for t in tags]
+
+
+def test_channel_puts_spaces_into_its_lattice():
+    good = "the plain text of a page with words such as idiot moron trash stupid loser and others idiöt likewise".split()
+    m = channel.CharModel(channel.bigrams(good, [50] * len(good)))
+    assert channel.restore("here is m o r o n, there", m) == "here is moron there"
+    assert channel.restore("mo ron", m) == "moron" and channel.restore("i d i ö t", m) == "idiöt" and channel.restore("m. 0. r. 0. n.", m) == "moron"
+    assert channel.restore("text of a page", m) == "text of a page"
+
+
+@pytest.mark.parametrize("text", ["such a m o r o n here", "m o r o n i d i o t t r a s h", "with mo ron here", "the i d i ö t here", "M, o, r, o, n!", "m 0 r 0 n", "m o r r r o n"])
+def test_spaced_words_give_their_features(text):
+    good = "the plain text of a page with words such as idiot moron trash stupid loser and others idiöt likewise".split()
+    restored = channel.restorer(channel.CharModel(channel.bigrams(good, [50] * len(good))))
+    features = lambda t, r: set(toxicity.doc_features(pa.array([t]), r)[1].tolist())
+    got = features(text, restored)
+    for word in ("idiöt",) if "ö" in text else ("idiot", "moron", "trash") if "t r a" in text else ("moron",):
+        want = {k for k in features(word, None) if k not in features(word[:2], None)}
+        assert want & features(word + "x", None) <= got  # every beginning of the word
+
+
+def test_ordinary_short_words_stay_apart():
+    good = "the plain text of a page with words such as idiot moron trash stupid loser and others likewise".split()
+    restored = channel.restorer(channel.CharModel(channel.bigrams(good, [50] * len(good))))
+    text = pa.array(["text of a page such as the others", None, "", "1 2 3 4", "plain"])
+    assert [x.tolist() for x in toxicity.doc_features(text, restored)] == [x.tolist() for x in toxicity.doc_features(text, None)]
