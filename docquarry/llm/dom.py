@@ -2,7 +2,8 @@
 
 Unclosed elements end where the HTML rules for p, li, dd, dt, tr, td, th and option end them, or with their parent; end
 tags without a start are ignored. Inline elements belong to the block around them; br and hr part two pieces of text.
-Scripts, styles, templates, comments, heads and form controls have no text at all.
+Scripts, styles, templates, comments, heads and form controls have no text at all; a button or select without an end
+tag ends at the next block. Elements of svg and math count as inline.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from dataclasses import dataclass, field
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg object math select button canvas audio video".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style textarea title template iframe".split())
+CONTROLS = frozenset("button select".split())
+FOREIGN = frozenset("svg math".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img noscript object canvas audio video svg math".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = frozenset("table ul ol dl body html".split())
@@ -46,6 +49,7 @@ def parse(page: str) -> Node:
     root = Node("html", "", None, 0)
     at, piece, place = root, [], 0
     in_link = 0
+    mute = foreign = False
     pos, end = 0, len(page)
 
     def flush() -> None:
@@ -60,9 +64,10 @@ def parse(page: str) -> Node:
     while pos < end:
         m = TOKEN.search(page, pos)
         if m is None:
-            piece.append(page[pos:])
+            if not mute:
+                piece.append(page[pos:])
             break
-        if m.start() > pos:
+        if m.start() > pos and not mute:
             text = page[pos : m.start()]
             piece.append(text)
             if in_link:
@@ -76,6 +81,21 @@ def parse(page: str) -> Node:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, pos)
                 pos = close.end() if close else end
             continue
+        if tag in CONTROLS:
+            mute = False
+            if not m[1]:
+                close = re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, pos)
+                if close and close[1]:
+                    pos = close.end()
+                else:
+                    mute = True
+            continue
+        if tag in FOREIGN:
+            foreign = not m[1] and not m[3].rstrip().endswith("/")
+        elif foreign and tag not in CLOSES_P and tag not in CLOSED_BY and tag not in SCOPE:
+            continue
+        if mute and tag in ("option", "optgroup"):
+            continue
         if tag in ("html", "body", "head"):
             flush()
             if tag == "body" and not m[1]:
@@ -87,6 +107,7 @@ def parse(page: str) -> Node:
                 in_link = 0 if m[1] else 1
             continue
         flush()
+        mute = foreign = False
         if tag in VOID:
             continue
         if m[1]:

@@ -507,3 +507,14 @@ def test_ordinary_short_words_stay_apart():
     restored = channel.restorer(channel.CharModel(channel.bigrams(good, [50] * len(good))))
     text = pa.array(["text of a page such as the others", None, "", "1 2 3 4", "plain"])
     assert [x.tolist() for x in toxicity.doc_features(text, restored)] == [x.tolist() for x in toxicity.doc_features(text, None)]
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<article><p>one<button>Go<p>two</p></article><p>three", ["one", "two", "three"]), ("<p>one <object data='x'>two</object> <object>three</p><p>four", ["one two three", "four"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["so x=1 holds"]), ("<p>a<noscript>b</noscript>c", ["abc"]), ("<p>a<button>Go</button><select><option>x</select>b", ["ab"]),
+    ("<p>a<svg><path d='M0'/><title>t</title></svg>b</p><svg><g><p>c", ["ab", "c"]), ("<select><option>x<option>y<div>a</div>b", ["a", "b"]), ("<p>a<video src=x>b<p>c<script>var x", ["ab", "c"]),
+])
+def test_text_after_unclosed_elements_stays(page, texts):
+    from docquarry.llm.dom import parse, walk
+
+    assert [t for _, t in sorted(x for n in walk(parse(page)) for x in n.texts)] == texts
