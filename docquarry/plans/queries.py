@@ -238,6 +238,16 @@ def links_followable(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("base", "url", url.is_followable(F.col("url"), F.lit("Федеральный закон о документах и материалах"), F.col("base")).alias("follow"))
 
 
+@register
+def links_followed(spark: SparkSession, d: str) -> DataFrame:
+    """links.followable over the links of all pages, and over the literal URLs as links of two more pages, -1 and -2."""
+    cols = ("page_id", "base", "ord", "url", "title")
+    rows = tuple((-1 - n, b, k, u, "Федеральный закон о документах и материалах") for n, b in enumerate(("http://vsrf.ru/documents", "http://example.org/")) for k, u in enumerate(cases.URLS))
+    literal = cases.frame(spark, rows, "page_id long, base string, ord int, url string, title string")
+    found = links.followable(links.anchors(_t(spark, d, "pages")).select(*cols).union(literal))
+    return found.select("page_id", "ord", "url", "title", "link_key")
+
+
 @register
 def query_words(spark: SparkSession, d: str) -> DataFrame:
     return cases.frame(spark, cases.QUERIES, "query string").select("query", F.array_join(query.query_words(F.col("query")), " ").alias("words"))

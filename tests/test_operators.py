@@ -188,3 +188,14 @@ def test_decoded_pages_are_whole(spark, tmp_path):
     spark.createDataFrame(list(pages.items()), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: (r["text"], r["charset"]) for r in QUERIES["decoded_pages"](spark, str(tmp_path)).collect()}
     assert got == {k: (t, "utf-8") for k, t in pages.items()}
+
+
+def test_links_followed_takes_links_of_pages(spark, tmp_path):
+    from docquarry.plans.queries import QUERIES
+
+    link = lambda u, t: f"<a href='{u}'>{t}</a>"
+    html = link("/a.pdf", "Приказ о документах") + link("/a.pdf#x", "Другое название") + link("/b.pdf", "") + link("javascript:void(0)", "x")
+    spark.createDataFrame([(7, "http://vsrf.ru/documents", html), (8, "http://vsrf.ru/", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["links_followed"](spark, str(tmp_path)).collect()
+    assert sorted((r["ord"], r["url"], r["title"]) for r in got if r["page_id"] == 7) == [(0, "http://vsrf.ru/a.pdf", "Приказ о документах"), (2, "http://vsrf.ru/b.pdf", "b")]
+    assert {r["page_id"] for r in got} >= {-1, 7}
