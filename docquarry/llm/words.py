@@ -1,44 +1,34 @@
 """White-space words of many texts at once, in numpy over Arrow's buffers: hashes instead of strings.
 
-The hash of a word is a polynomial in its bytes modulo 2^64, from prefix sums, then mixed. Two different words share
-one with a probability near 2^-64 each; users that need certainty compare the texts themselves.
+The hash of a word is folded over its bytes, eight at a time, each step a bijection of 64-bit numbers; words of more than
+LONG bytes take a cryptographic digest. Words of one length up to eight bytes never share a hash; others do with a
+probability near 2^-64 for a pair. Users that need certainty compare the bytes with same().
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 PIECE = 1 << 20
-BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
+LONG = 256
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, U)
-    done = 1
-    while done < n:
-        step = U(pow(base, done, 1 << 64))
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * step
-        done += more
-    return out
-
-
 _CACHE: dict[str, np.ndarray] = {}
 
 
-def powers() -> tuple[np.ndarray, np.ndarray]:
+def masks() -> np.ndarray:
+    """For 0 to 8 bytes: the bits that a lane of so many bytes takes."""
     if not _CACHE:
-        _CACHE["up"] = _powers(BASE, PIECE + 1)
-        _CACHE["down"] = _powers(pow(BASE, -1, 1 << 64), PIECE + 1)
-    return _CACHE["up"], _CACHE["down"]
+        _CACHE["masks"] = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+    return _CACHE["masks"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +46,48 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * U(0x9E3779B97F4A7C15) + (b ^ U(0xD6E8FEB86659FD93)))
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes."""
+    lane, mask = lanes(data), masks()
+    n = end - start
+    h = mix(n.astype(U) + U(0x9E3779B97F4A7C15))
+    long = n > LONG
+    live = np.flatnonzero(~long & (n > 0))
+    k = 0
+    while len(live):
+        h[live] = mix(h[live] ^ (lane[start[live] + k] & mask[np.minimum(n[live] - k, 8)]))
+        k += 8
+        live = live[n[live] > k]
+    for i in np.flatnonzero(long).tolist():
+        h[i] = int.from_bytes(blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def same(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether each span of data has the same bytes as the span of other at its place."""
+    a, b, mask = lanes(data), lanes(other), masks()
+    n = end - start
+    out = n == end2 - start2
+    live = np.flatnonzero(out & (n > 0) & (n <= LONG))
+    k = 0
+    while len(live):
+        equal = (a[start[live] + k] ^ b[start2[live] + k]) & mask[np.minimum(n[live] - k, 8)] == 0
+        out[live[~equal]] = False
+        live = live[equal]
+        k += 8
+        live = live[n[live] > k]
+    for i in np.flatnonzero(out & (n > LONG)).tolist():
+        out[i] = np.array_equal(data[start[i] : end[i]], other[start2[i] : end2[i]])
+    return out
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after another, and n + 1 offsets. A null text has no bytes."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -106,15 +138,11 @@ def cuts(data: np.ndarray, offsets: np.ndarray, most: int) -> list[int]:
 
 def split(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     """Words are runs of bytes other than space and U+0009 to U+000D. lower: A-Z count as a-z."""
-    value = ((LOWER if lower else np.arange(256)).astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)
-    up, down = powers()
     at, parts = 0, []
     begins = np.unique(offsets[:-1])
     for end in cuts(data, offsets, PIECE):
-        b = data[at:end]
+        b = LOWER[data[at:end]] if lower else data[at:end]
         n = len(b)
-        if n > PIECE:
-            up, down = _powers(BASE, n + 1), _powers(pow(BASE, -1, 1 << 64), n + 1)
         word = ~SPACE[b]
         edge = np.zeros(n + 1, bool)
         edge[begins[np.searchsorted(begins, at) : np.searchsorted(begins, end)] - at] = True
@@ -127,10 +155,7 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
         after[:-1] = ~word[1:]
         after[-1:] = True
         e = np.flatnonzero(word & (after | edge[1:])) + 1
-        sums = np.zeros(n + 1, U)
-        np.cumsum(value[b] * up[:n], out=sums[1:])
-        h = (sums[e] - sums[s]) * down[s]
-        parts.append((mix(h + (e - s).astype(U)), s + at, e + at))
+        parts.append((span_hashes(b, s, e), s + at, e + at))
         at = end
     if parts:
         h, s, e = (np.concatenate([p[k] for p in parts]) for k in range(3))
