@@ -23,6 +23,7 @@ SWAP, DROP, TWICE, ONCE = 0.7, 8.0, 1.5, 0.7  #: costs in nats: look-alike, drop
 SHORT, GLUE = 3, 2.0  #: most characters of a short token; cost in nats of a space put into a word, if not between single characters
 END = "\n"
 NOISY = re.compile(r"[^\W\d_][^\s]*?(?:[^\w\s,.;:?\"')\]*&%#!-]|\d)|(?:[^\w\s,.;:?\"'(\[*&%#-]|\d)[^\s]*?[^\W\d_]|([^\W\d_])\1\1|[^\W\d_](?:([*._\-!])[^\W\d_]){2,}|[^\W\d_]!+[^\W\d_]")
+LETTERLESS = re.compile(r"[0-9@$!|+€£(<¡]+[@$!|+€£¡][0-9@$!|+€£(<¡]+")
 EDGE = re.compile(r"^[^\w@$€£|(<+¡!]+|([^\w\s])\1{2,}$|[^\w@$€£|]+$")
 
 
@@ -58,6 +59,59 @@ def bigrams(words: list[str], times: list[int]) -> dict[tuple[str, str], int]:
     return out
 
 
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """For each code point: 1 a letter, 2 what may stand beside a word, 0 any other."""
+    out = np.array([chr(c).isalpha() for c in range(0x110000)], np.uint8)
+    out[[c for c in range(0x3100) if chr(c).isspace() or chr(c) in ".,;:?\"'()[]-\u201c\u201d\u2018\u2019\u2013\u2014\u3002\u3001"]] = 2
+    return out
+
+
+class PairCounter:
+    """Counts of character bigrams within words, END at their edges. A word is a run of letters in lower case between
+    spaces, punctuation or the text's ends, so that words with look-alikes in them don't count."""
+
+    def __init__(self) -> None:
+        self.place = np.full(0x110000, -1, np.int32)
+        self.place[ord(END)] = 0
+        self.chars = [ord(END)]
+        self.counts = np.zeros((1, 1), np.int64)
+        self.rare: dict[tuple[int, int], int] = {}
+
+    def add(self, text: str) -> None:
+        c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = _kinds()[c]
+        letter = kind == 1
+        begin = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+        end = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+        clean = (kind[begin - 1] == 2) & (kind[end] == 2)
+        begin, end = begin[clean], end[clean]
+        inside = np.zeros(len(c) + 1, np.int8)
+        inside[begin] = 1
+        inside[end] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        for x in np.unique(c[inside & (self.place[c] < 0)]).tolist():
+            self.place[x] = len(self.chars)
+            self.chars.append(x)
+        at = np.where(inside, self.place[c], 0)
+        pairs = inside[1:] | inside[:-1]
+        a, b = at[:-1][pairs], at[1:][pairs]
+        n = min(len(self.chars), 1024)
+        if n > len(self.counts):
+            grown = np.zeros((n, n), np.int64)
+            grown[: len(self.counts), : len(self.counts)] = self.counts
+            self.counts = grown
+        some = (a < n) & (b < n)
+        self.counts += np.bincount(a[some].astype(np.int64) * n + b[some], minlength=n * n).reshape(n, n)
+        for x, y in zip(a[~some].tolist(), b[~some].tolist(), strict=True):
+            self.rare[x, y] = self.rare.get((x, y), 0) + 1
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        x, y = np.nonzero(self.counts)
+        found = [*zip(x.tolist(), y.tolist(), self.counts[x, y].tolist(), strict=True), *((a, b, n) for (a, b), n in self.rare.items())]
+        return [(chr(self.chars[a]), chr(self.chars[b]), n) for a, b, n in found]
+
+
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each run of equal characters: (what it may have been, cost)."""
     out = []
@@ -103,7 +157,7 @@ def viterbi(parts: list[list[tuple[str, float]]], model: CharModel) -> str:
 
 def restore_word(word: str, model: CharModel) -> str:
     """The likeliest original of a lower-case word."""
-    if not NOISY.search(word):
+    if not NOISY.search(word) and not LETTERLESS.fullmatch(word):
         return word
     bare = EDGE.sub("", EDGE.sub("", word))
     bare = spaced_out(bare) or bare

@@ -1,9 +1,9 @@
-"""Toxicity of texts: the noisy channel restores what is written, then a logistic model scores the restored words.
+"""Toxicity of texts: the noisy channel restores what is written, then a logistic model scores the restored text.
 
-Features are words and the beginnings of words, hashed to 2 ** BITS buckets; a text has a feature or not. Which of them
-tell toxic texts from others (G2 statistic) and their weights are learnt from a bounded sample of the labelled rows. The
-character model of the channel is counted on that sample's texts. Scoring looks at every word of every text, once for
-each distinct word of a batch.
+Features are words of the restored text and their beginnings, hashed to 2 ** BITS buckets; a text has a feature or not.
+Which of them tell toxic texts from others (G2 statistic) and their weights are learnt from a bounded sample of the
+labelled rows, which are restored as well. The character model of the channel is counted on all texts. Scoring looks at
+every word of every text, once for each distinct word of a batch.
 """
 
 from __future__ import annotations
@@ -14,28 +14,29 @@ from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .channel import GLUE, NOISY, SHORT, CharModel, bigrams, glued, respaced, restorer, short
+from .channel import END, GLUE, NOISY, SHORT, CharModel, PairCounter, glued, respaced, restorer, short
 from .shared import fold, materialise
 
 U = np.uint64
 BITS = 22
-BLOCK = 16  #: bits of a bucket's place within a block
 PREFIXES = (3, 4, 5, 6, 7)
 #: Most labelled rows that are learnt from: about so many are drawn by a hash of their ids.
 SAMPLE = 40_000
 #: Most features of the model, and the least G2 that makes one.
 FEATURES, LEAST_G2 = 1500, 15.0
+#: Characters that the channel's model tells apart: the most frequent ones.
+CHARS = 512
 BATCH = 1 << 20
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(97, 123), *range(65, 91), *range(128, 256)]] = True
-_SPAN = 96  #: bytes of a word that are looked at for a run of three, at once
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b"@$!|+")] = True
 
 
 @dataclass(frozen=True)
@@ -46,24 +47,19 @@ class Toxic:
     chars: CharModel
 
 
-def _feature_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _feature_hashes(lowered: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Buckets of (words x features): the whole word, then its prefixes; -1 where the word is not longer."""
     out = np.full((len(start), 1 + len(PREFIXES)), -1, np.int64)
-    h = np.full(len(start), 0xCBF29CE484222325, U)
-    n = end - start
-    longest = int(n.max(initial=0))
-    live = np.arange(len(start))
-    for k in range(longest):
-        live = live[n[live] > k]
-        h[live] = words.mix(h[live] ^ words.LOWER[data[start[live] + k]].astype(U))
-        if k + 1 in PREFIXES:
-            out[live, 1 + PREFIXES.index(k + 1)] = (words.mix(h[live] + U(k + 1)) >> U(64 - BITS)).astype(np.int64)
-    out[:, 0] = (words.mix(h ^ U(0x5851F42D4C957F2D)) >> U(64 - BITS)).astype(np.int64)
+    for k, size in enumerate((0, *PREFIXES)):
+        has = np.flatnonzero(end - start >= size)
+        h = words.span_hashes(lowered, start[has], start[has] + size if size else end[has])
+        out[has, k] = (words.mix(h ^ U(0x5851F42D4C957F2D + size)) >> U(64 - BITS)).astype(np.int64)
     return out
 
 
 def _noisy(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Words that may need decoding: they mix letters with other characters, or hold a run of three; a superset."""
+    """Words that may need decoding: they mix letters with other characters, hold a run of three, or have signs and no
+    letter; a superset."""
     plain = np.concatenate([[0], np.cumsum(_PLAIN[data])])
     letters, n = plain[end] - plain[start], end - start
     triple = np.zeros(len(data) + 1, np.int64)
@@ -71,7 +67,8 @@ def _noisy(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         triple[3:] = np.cumsum((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _PLAIN[data[2:]])
         triple[1:3] = 0
     runs = np.where(n > 2, triple[end] - triple[np.minimum(start + 2, len(data))], 0)
-    return ((letters > 0) & (letters < n)) | (runs > 0)
+    signs = np.concatenate([[0], np.cumsum(_SIGN[data])])
+    return ((letters > 0) & (letters < n)) | (runs > 0) | ((letters == 0) & (n > 2) & (signs[end] > signs[start]))
 
 
 def _trim(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +85,8 @@ def _trim(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 _bare = lru_cache(50_000)(short)
 
 
-def _unspaced(data: np.ndarray, w: words.Words, start: np.ndarray, end: np.ndarray, back: np.ndarray, restored) -> list[tuple[int, str]]:
-    """(row, word) of the words that runs of short tokens spell.
+def _unspaced(data: np.ndarray, w: words.Words, start: np.ndarray, end: np.ndarray, back: np.ndarray, restored) -> tuple[list[tuple[int, str]], np.ndarray]:
+    """(row, word) of the words that runs of short tokens spell, and which tokens they stand for.
 
     Between letters that are certain, the lattice's choice depends on the two letters next to the space alone, so one
     look at each pair of letters decides; runs with look-alikes or single characters in a row are decoded. Where three or
@@ -104,8 +101,9 @@ def _unspaced(data: np.ndarray, w: words.Words, start: np.ndarray, end: np.ndarr
         bare[i] = _bare(data[start[i] : end[i]].tobytes().decode("utf-8", "replace").lower())
     size = np.array([len(b) for b in bare], np.int64)[back] if len(bare) else np.zeros(0, np.int64)
     at = np.flatnonzero(size > 0)
+    gone = np.zeros(len(back), bool)
     if len(at) < 2:
-        return []
+        return [], gone
     first, last = (np.array([ord(b[k]) if b else 0 for b in bare], np.int64)[back] for k in (0, -1))
     sure = np.array([b.isalpha() for b in bare], bool)[back]
     runs = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (np.diff(w.doc[at]) != 0)) + 1, [len(at)]])
@@ -124,48 +122,52 @@ def _unspaced(data: np.ndarray, w: words.Words, start: np.ndarray, end: np.ndarr
     ends = inner[joins]
     for piece in np.split(ends, np.flatnonzero(np.diff(ends) != 1) + 1) if len(ends) else ():
         out.add((int(w.doc[at[piece[0]]]), "".join(bare[back[j]] for j in at[piece[0] : piece[-1] + 2].tolist())))
+        gone[at[piece[0] : piece[-1] + 2]] = True
     reach = PREFIXES[-1]
     for r in np.flatnonzero(hard).tolist():
         tokens = [bare[i] for i in back[at[runs[r] : runs[r + 1]]].tolist()]
         doc = int(w.doc[at[runs[r]]])
         out.update((doc, x) for x in respaced(tuple(tokens), model))
+        gone[at[runs[r] : runs[r + 1]]] = True
         for one, group in groupby(tokens, lambda t: len(t) == 1):
             spelled = "".join(group) if one else ""
             if len(spelled) > 2 and any(c.isalpha() for c in spelled):
                 whole = restored(spelled) if NOISY.search(spelled) else spelled
                 out.add((doc, whole))
                 out.update((doc, whole[k : k + reach]) for k in range(len(whole) - PREFIXES[0] + 1))
-    return list(out)
+    return list(out), gone
 
 
 def doc_features(texts: pa.Array, restored) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) pairs, distinct: every feature that a text's words, as written or restored, have."""
+    """(row, bucket) pairs, distinct: every feature of the words of the restored texts, or of the texts as they are
+    written if restored is None."""
     data, offsets = words.buffers(texts)
     w = words.split(data, offsets)
     uniq, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
     start, end = w.start[first], w.end[first]
-    feats = _feature_hashes(data, *_trim(data, start, end))
-    pairs = [np.stack([np.repeat(w.doc, feats.shape[1]).astype(np.int64), feats[back].ravel()])]
+    gone = np.zeros(len(w.hash), bool)  # words that others stand for in the restored text
+    extra: list[tuple[int, str]] = []
     if restored is not None:
-        extra: list[tuple[int, str]] = []
-        hot = np.flatnonzero(_noisy(data, start, end))
         decoded = {}
-        for i in hot.tolist():
+        for i in np.flatnonzero(_noisy(data, start, end)).tolist():
             word = data[start[i] : end[i]].tobytes().decode("utf-8", "replace").lower()
             if (out := restored(word)) != word and out:
                 decoded[i] = out
+        spelled, gone = _unspaced(data, w, start, end, back, restored)
         if decoded:
-            keys = np.array(sorted(decoded))
-            at = np.flatnonzero(np.isin(back, keys))
+            at = np.flatnonzero(np.isin(back, np.array(sorted(decoded))) & ~gone)
             extra += [(int(w.doc[j]), decoded[int(back[j])]) for j in at]
-        extra += _unspaced(data, w, start, end, back, restored)
-        if extra:
-            extra = sorted(set(extra))
-            texts_ = [x.encode() for _, x in extra]
-            ends = np.cumsum([len(x) for x in texts_])
-            raw = np.frombuffer(b"".join(texts_), np.uint8)
-            more = _feature_hashes(raw, *_trim(raw, ends - [len(x) for x in texts_], ends)) if len(raw) else np.zeros((0, 1), np.int64)
-            pairs.append(np.stack([np.repeat([d for d, _ in extra], more.shape[1]).astype(np.int64), more.ravel()]) if len(raw) else np.zeros((2, 0), np.int64))
+            gone[at] = True
+        extra = sorted({*extra, *spelled})
+    feats = _feature_hashes(words.LOWER[data], *_trim(data, start, end))
+    stay = ~gone
+    pairs = [np.stack([np.repeat(w.doc[stay], feats.shape[1]).astype(np.int64), feats[back[stay]].ravel()])]
+    if extra:
+        coded = [x.encode() for _, x in extra]
+        ends = np.cumsum([len(x) for x in coded])
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        more = _feature_hashes(raw, *_trim(raw, ends - [len(x) for x in coded], ends))
+        pairs.append(np.stack([np.repeat([d for d, _ in extra], more.shape[1]).astype(np.int64), more.ravel()]))
     row, bucket = np.concatenate(pairs, axis=1)
     keys = np.unique((row[bucket >= 0] << BITS) | bucket[bucket >= 0])
     return keys >> BITS, keys & ((1 << BITS) - 1)
@@ -177,66 +179,41 @@ def _pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, j - i)
 
 
-COUNTS = "block int, toxic binary, clean binary, chars string"
-
-
-def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of feature counts of this task, and character bigrams (block -1)."""
-    tally = np.zeros((2, 1 << BITS), np.uint32)
-    chars: dict[tuple[str, str], int] = {}
+def _pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Character bigrams of a task's texts: a row for each distinct one."""
+    count = PairCounter()
     for part in _pieces(rows):
-        y = part["label"].to_numpy(zero_copy_only=False) > 0
-        row, bucket = doc_features(part["text"], None)
-        for k in (0, 1):
-            tally[k] += np.bincount(bucket[y[row] == k], minlength=1 << BITS).astype(np.uint32)
         data, offsets = words.buffers(part["text"])
-        w = words.split(data, offsets)
-        uniq, first, times = np.unique(w.hash, return_index=True, return_counts=True)
-        clean = ~_noisy(data, w.start[first], w.end[first])
-        spelled = [data[s:e].tobytes().decode("utf-8", "replace").lower() for s, e in zip(w.start[first][clean].tolist(), w.end[first][clean].tolist(), strict=True)]
-        for ab, n in bigrams([s for s in spelled if s.isalpha()], [n for s, n in zip(spelled, times[clean].tolist(), strict=True) if s.isalpha()]).items():
-            chars[ab] = chars.get(ab, 0) + n
-    if chars or tally.any():
-        rows_ = [{"block": b, "toxic": pa.compress(tally[1, b << BLOCK : (b + 1) << BLOCK].tobytes(), "zstd", asbytes=True), "clean": pa.compress(tally[0, b << BLOCK : (b + 1) << BLOCK].tobytes(), "zstd", asbytes=True), "chars": None} for b in range(1 << (BITS - BLOCK))]
-        rows_.append({"block": -1, "toxic": None, "clean": None, "chars": "\t".join(f"{a}{b}{n}" for (a, b), n in chars.items())})
-        yield pa.RecordBatch.from_pylist(rows_, pa.schema([("block", pa.int32()), ("toxic", pa.binary()), ("clean", pa.binary()), ("chars", pa.string())]))
-
-
-def g2(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Likelihood ratio statistic of a feature's presence against the label."""
-    total, n = toxic + clean, n_toxic + n_clean
-    out = np.zeros(len(toxic))
-    for seen, size in ((toxic, n_toxic), (n_toxic - toxic, n_toxic), (clean, n_clean), (n_clean - clean, n_clean)):
-        expected = size * (total if seen is toxic or seen is clean else n - total) / max(n, 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out += np.where(seen > 0, 2 * seen * np.log(seen / expected), 0)
-    return out
+        if len(data):
+            count.add(b"\n".join(data[i:j].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)).decode("utf-8", "replace"))
+    a, b, n = zip(*count.rows(), strict=True) if count.rows() else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
 
-def _select(key: tuple, blocks: pd.DataFrame, n_toxic: int, n_clean: int) -> pd.DataFrame:
-    if key[0] < 0:
-        chars: dict[str, int] = {}
-        for s in blocks["chars"]:
-            for x in s.split("\t") if s else []:
-                chars[x[:2]] = chars.get(x[:2], 0) + int(x[2:])
-        return pd.DataFrame({"bucket": [-1], "g2": [0.0], "chars": ["\t".join(f"{ab}{n}" for ab, n in chars.items())]})
-    size = 4 << BLOCK
-    toxic, clean = (sum(np.frombuffer(pa.decompress(x, size, "zstd", asbytes=True), np.uint32).astype(np.int64) for x in blocks[c]) for c in ("toxic", "clean"))
-    stat = g2(toxic, clean, n_toxic, n_clean)
-    best = np.argsort(-stat, kind="stable")[:FEATURES]
-    best = best[stat[best] >= LEAST_G2]
-    return pd.DataFrame({"bucket": best + (key[0] << BLOCK), "g2": stat[best], "chars": None})
+def char_model(docs: DataFrame, chars: int = CHARS) -> CharModel:
+    """Bigrams of the `chars` most frequent characters, counted on all texts; others are unknown characters to the model."""
+    pairs = materialise(docs.select("text").mapInArrow(_pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "characters")
+    top = [r["b"] for r in pairs.where(F.col("b") != END).groupBy("b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "b").limit(chars).collect()]
+    known = [*top, END]
+    # At most (chars + 1) squared rows.
+    return CharModel({(r["a"], r["b"]): r["n"] for r in pairs.where(F.col("a").isin(known) & F.col("b").isin(known)).collect()})
 
 
-def _present(rows: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _featured(rows: Iterator[pa.RecordBatch], chars: CharModel) -> Iterator[pa.RecordBatch]:
+    restored = restorer(chars)
     for part in _pieces(rows):
-        row, bucket = doc_features(part["text"], None)
-        at = np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)
-        hit = buckets[at] == bucket
-        row, at = row[hit], at[hit]
-        counts = np.bincount(row, minlength=len(part))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(at.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([part["label"], lists], names=["label", "features"])
+        row, bucket = doc_features(part["text"], restored)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([part["label"], pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["label", "features"])
+
+
+def g2(toxic: Column, seen: Column, n_toxic: int, n: int) -> Column:
+    """Likelihood ratio statistic of a feature's presence against the label: toxic of the `seen` rows that have it are
+    among the n_toxic of all n rows."""
+    out = F.lit(0.0)
+    for got, have, size in ((toxic, seen, n_toxic), (seen - toxic, seen, n - n_toxic), (n_toxic - toxic, n - seen, n_toxic), (n - n_toxic - seen + toxic, n - seen, n - n_toxic)):
+        out += F.when(got > 0, 2 * got * F.log(got * F.lit(float(n)) / (have * F.lit(float(size))))).otherwise(0.0)
+    return out
 
 
 def logistic(x: list[np.ndarray], y: np.ndarray, n: int, steps: int = 400, decay: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -267,18 +244,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
         return None
-    got = rows.mapInArrow(_count, COUNTS).groupBy("block").applyInPandas(lambda k, b: _select(k, b, n_toxic, n_clean), "bucket int, g2 double, chars string").collect()
-    chars = {(x[0], x[1]): int(x[2:]) for r in got if r["bucket"] < 0 for x in r["chars"].split("\t") if x}
-    best = sorted((r for r in got if r["bucket"] >= 0), key=lambda r: (-r["g2"], r["bucket"]))[:FEATURES]
+    chars = char_model(docs)
+    feats = materialise(rows.mapInArrow(lambda it: _featured(it, chars), "label int, features array<int>"), "toxic-features")
+    counts = feats.select("label", F.explode("features").alias("bucket")).groupBy("bucket").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("seen"))
+    stat = counts.select("bucket", g2(F.col("toxic"), F.col("seen"), n_toxic, n_toxic + n_clean).alias("g2"))
+    best = stat.where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "bucket").limit(FEATURES).collect()
     buckets = np.array(sorted(r["bucket"] for r in best), np.int64)
     if not len(buckets):
-        return Toxic((), (), float(np.log(n_toxic / n_clean)), CharModel(chars))
-    seen = rows.mapInArrow(lambda it: _present(it, buckets), "label int, features array<int>").collect()
-    weights, bias = logistic([np.array(r["features"], int) for r in seen], np.array([r["label"] for r in seen], float), len(buckets))
-    return Toxic(tuple(buckets.tolist()), tuple(weights.tolist()), bias, CharModel(chars))
-
-
-_RESTORER: dict[int, object] = {}
+        return Toxic((), (), float(np.log(n_toxic / n_clean)), chars)
+    seen = feats.select("label", F.filter("features", lambda x: x.isin(buckets.tolist())).alias("features")).collect()
+    seen.sort(key=lambda r: (r["label"], r["features"]))  # sums of weights are the same whatever order the rows came in
+    x = [np.searchsorted(buckets, np.array(r["features"], np.int64)) for r in seen]
+    weights, bias = logistic(x, np.array([r["label"] for r in seen], float), len(buckets))
+    return Toxic(tuple(buckets.tolist()), tuple(weights.tolist()), bias, chars)
 
 
 def _score(rows: Iterator[pa.RecordBatch], model: Toxic | None) -> Iterator[pa.RecordBatch]:
@@ -323,6 +301,10 @@ def _clean(rows: Iterator[pa.RecordBatch], model: Toxic | None, threshold: float
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", label_id: str = "doc_id", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) whose score, as toxicity() gives it, is below threshold."""
+    """The rows of docs (doc_id, text and any others) whose score, as toxicity() gives it, is below threshold, with all
+    their columns whatever these are called. Nulls, empty and very long texts, repeated rows and tables without labels
+    are scored as toxicity() says; rows that share an id or a text are judged each by its own text. An empty table gives
+    an empty result.
+    """
     model = learn(docs.select("doc_id", "text"), _known(labels, label, label_id, folds), sample)
     return docs.mapInArrow(lambda it: _clean(it, model, threshold), docs.schema)
