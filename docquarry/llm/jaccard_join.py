@@ -18,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import golomb, words
 from .components import components
 from .shared import materialise, shuffle_parts, small
 
@@ -31,6 +32,9 @@ NUM, DEN = 90, 100
 SHINGLE = 3
 BATCH = 2 << 20
 SKETCH = 4  #: longs of a parity sketch
+FP = 48  #: bits of a signature by which shared ones are found; chance agreements only send a signature more
+#: Signatures that a task codes at once, and that an owner of fingerprints gets, on average.
+SENT, OWNED = 2_000_000, 3_000_000
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +67,29 @@ def bands(top: int, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.array(lows, np.int64)
 
 
+def most_apart(hi: int, num: int = NUM, den: int = DEN) -> int:
+    """The largest difference of two linked sets of at most hi shingles each."""
+    return (den - num) * 2 * hi // (den + num)
+
+
 def allot(hi: int, docs: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
-    """(segments, how many of them have allotment 2) for the group whose largest size is hi, with so many documents."""
-    most = (den - num) * 2 * hi // (den + num)  # the largest difference of linked sets
-    best = (float("inf"), most + 1, 0)
-    for two in sorted({0, (most + 1) // 4, (most + 1) // 2}):
-        m = most + 1 - two
-        mean = hi / m
-        chance = float(np.exp(-mean)) ** 2 * (1 + two / m * mean) if m > 1 else 0.0  # both segments are empty
-        cost = docs * (m + two * mean) + m * chance * docs * docs / 2
-        best = min(best, (cost, m, two))
+    """(segments, how many of them have allotment 2) for the group whose largest size is hi, with so many documents.
+
+    The allotments sum to most_apart + 1 and some spare ones. Spare ones let a set leave its light segments out of the
+    index, see signatures(): sets that are empty there agree by chance. The cost is that of the signatures, plus that of
+    pairs that agree by chance."""
+    least = most_apart(hi, num, den) + 1
+    low = max(1, hi * num * num // (den * den))  # the smallest sets of the group have the most light segments
+    best = (float("inf"), least, 0)
+    for two in sorted({0, least // 4, least // 2}):
+        mean = low / max(1, least - two)
+        light = float(np.exp(-mean))
+        weight = (least - 2 * two) * light + 2 * two * light * (1 + mean)  # of a set's light segments
+        for deviations, over in ((None, 1.0), (1, 0.16), (2, 0.03), (3, 3e-3), (4, 3e-4), (6, 3e-6)):
+            spare = 0 if deviations is None else int(np.ceil(weight + deviations * weight**0.5))
+            m = least + spare - two
+            chance = max(light * (1 + two / m * mean), spare / m) * over if m > 1 else 0.0
+            best = min(best, (docs * (m + two * hi / m) + m * (chance * docs) ** 2 / 2, m, two))
     return best[1], best[2]
 
 
@@ -93,43 +110,86 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def signatures(row: np.ndarray, h: np.ndarray, rows: int, lows: np.ndarray, plans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets, ordered by set, and how many each has. plans: (segments, twos) of each group."""
+def signatures(row: np.ndarray, h: np.ndarray, rows: int, lows: np.ndarray, plans: list[tuple[int, int]], spare: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of all sets, ordered by set, and how many each has. plans: (segments, twos) of each group.
+
+    A segment is light if a signature of it may be that of no shingles at all: an empty one, or one of a single shingle
+    whose allotment is 2. spare: by how much a group's allotments exceed what linked sets need. A set whose light
+    segments weigh no more than that meets a linked set in a segment that isn't light, and leaves the signature of no
+    shingles out; two sets that both weigh more keep it."""
     n = np.bincount(row, minlength=rows)
     band = np.searchsorted(lows, n, "right") - 1
     mixed = words.mix(h ^ U(0xA0761D6478BD642F))
+    segments, two = np.array([p[0] for p in plans]), np.array([p[1] for p in plans])
+    extra = np.array(spare if spare is not None else [0] * len(plans))
     owner, sig = [], []
     for step in (0, 1):
         group = np.where(n > 0, band + step, 0)
-        m = np.where(n > 0, np.array([p[0] for p in plans])[group], 0)
-        twos = np.array([p[1] for p in plans])[group]
+        m = np.where(n > 0, segments[group], 0)
+        twos = two[group]
         base = np.cumsum(m) - m
         place = words.mix(h + U(1) + group[row].astype(U) * U(0x9E3779B97F4A7C15))
         seg = (((place >> U(32)) * m[row].astype(U)) >> U(32)).astype(np.int64)
-        content = np.zeros(int(m.sum()), U)
-        np.add.at(content, base[row] + seg, mixed)
+        at = base[row] + seg
+        size = np.bincount(at, minlength=int(m.sum()))
+        content = np.zeros(len(size), U)
+        np.add.at(content, at, mixed)
         who = np.repeat(np.arange(rows), m)
         number = np.arange(len(content)) - np.repeat(base, m)
+        double = number < twos[who]
+        light = np.bincount(who, (size <= double) * (1 + double), minlength=rows)
+        empty = (light > extra[group])[who]  # whether the signature of no shingles is kept
         tag = words.mix(group[who].astype(U) << U(32) | number.astype(U))
-        owner.append(who)
-        sig.append(words.mix(content ^ tag))
-        del_ = seg < twos[row]
+        keep = (size > 0) | empty
+        owner.append(who[keep])
+        sig.append(words.mix(content ^ tag)[keep])
+        del_ = (seg < twos[row]) & ((size[at] > 1) | empty[at])
         if del_.any():
-            at = base[row[del_]] + seg[del_]
             owner.append(row[del_])
-            sig.append(words.mix((content[at] - mixed[del_]) ^ tag[at]))
+            sig.append(words.mix((content[at[del_]] - mixed[del_]) ^ tag[at[del_]]))
     owner, sig = np.concatenate(owner), np.concatenate(sig)
     order = np.argsort(owner, kind="stable")
     return sig[order], np.bincount(owner, minlength=rows)
 
 
-def _signed(rows: Iterator[pa.RecordBatch], size: int, lows: np.ndarray, plans: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def _signatures(rows: Iterator[pa.RecordBatch], size: int, lows: np.ndarray, plans: list[tuple[int, int]], spare: list[int]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, sizes of sets, signatures, how many each set has) for a few texts at a time."""
     for batch in rows:
         for i, j in words.batches(batch["text"], BATCH):
             row, h = shingle_sets(batch["text"].slice(i, j - i), size)
-            sig, counts = signatures(row, h, j - i, lows, plans)
-            n = np.bincount(row, minlength=j - i).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(n), _lists(sig, counts)], names=["id", "n", "sigs"])
+            sig, counts = signatures(row, h, j - i, lows, plans, spare)
+            yield batch["doc_id"].slice(i, j - i), np.bincount(row, minlength=j - i).astype(np.int64), sig, counts
+
+
+def _signed(parts: Iterator) -> Iterator[pa.RecordBatch]:
+    for ids, n, sig, counts in parts:
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n), _lists(sig, counts)], names=["id", "n", "sigs"])
+
+
+def _coded(parts: Iterator, owners: int) -> Iterator[pa.RecordBatch]:
+    """Golomb-coded fingerprints (the upper FP bits of signatures), one blob for each owner of a range of them."""
+    kept: list[np.ndarray] = []
+
+    def blobs() -> pa.RecordBatch:
+        fp = np.sort(np.concatenate(kept))
+        kept.clear()
+        own = ((fp >> U(FP - 32)) * U(owners)) >> U(32)
+        which, first = np.unique(own, return_index=True)
+        coded = [golomb.encode(x, (1 << FP) // owners) for x in np.split(fp, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(coded, pa.binary())], names=["owner", "blob"])
+
+    for _, _, sig, _ in parts:
+        kept.append(sig >> U(64 - FP))
+        if sum(map(len, kept)) > SENT:
+            yield blobs()
+    if kept:
+        yield blobs()
+
+
+def _repeated(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
+    """Fingerprints that an owner was sent more than once, and how often."""
+    fp, times = np.unique(np.concatenate([golomb.decode(b) for b in blobs["blob"]]), return_counts=True)
+    return pd.DataFrame({"fp": fp[times > 1].astype(np.int64), "size": times[times > 1]})
 
 
 def _sets(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -184,11 +244,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     per_band = dict(sizes.groupBy((F.size(F.filter(edges, lambda x: x <= F.col("n"))) - 1).alias("band")).agg(F.sum("count")).collect())
     ends = [*(lows[1:] - 1).tolist(), int(lows[-1] * den // num), int(lows[-1] * den * den // num // num)]
     plans = [allot(hi, per_band.get(b, 0) + per_band.get(b - 1, 0), num, den) for b, hi in enumerate(ends)]
-    signed = docs.where("doc_id is not null").mapInArrow(lambda it: _signed(it, size, lows, plans), f"id {kind}, n long, sigs array<long>")
-    signed = signed.join(small(others, others.count(), 16), "id", "left_anti")
-    sigs = signed.select("id", "n", F.explode("sigs").alias("sig")).repartition(max(shuffle_parts(spark), 1), "sig")
-    shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialise(sigs.join(shared.hint("shuffle_hash"), "sig"), "buckets")
+    spare = [m + two - most_apart(hi, num, den) - 1 for (m, two), hi in zip(plans, ends, strict=True)]
+    expected = sum(n * sum(m + two * ends[b + g] // m for g, (m, two) in enumerate(plans[b : b + 2])) for b, n in per_band.items())
+    owners = max(shuffle_parts(spark), -(-expected // OWNED))
+    one_each = docs.where("doc_id is not null").join(small(others, others.count(), 16), F.col("doc_id") == F.col("id"), "left_anti")
+    # Signatures are made twice: as fingerprints of a few bytes that tell which are shared, then in full for those alone.
+    coded = one_each.mapInArrow(lambda it: _coded(_signatures(it, size, lows, plans, spare), owners), "owner int, blob binary")
+    shared = materialise(coded.groupBy("owner").applyInPandas(_repeated, "fp long, size long"), "shared")
+    signed = one_each.mapInArrow(lambda it: _signed(_signatures(it, size, lows, plans, spare)), f"id {kind}, n long, sigs array<long>")
+    sigs = signed.select("id", "n", F.explode("sigs").alias("sig")).withColumn("fp", F.shiftrightunsigned("sig", 64 - FP))
+    buckets = materialise(sigs.join(shared.hint("shuffle_hash"), "fp").drop("fp"), "buckets")
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     members = materialise(buckets.drop("size").join(degree, "id"), "bucket-members")
     ids = members.select("id").distinct()
@@ -198,7 +263,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     central = F.max(F.struct("degree", "id", "n"))
 
     def stars(rows: DataFrame) -> DataFrame:
-        hubs = rows.groupBy("sig").agg(central.alias("hub"))
+        hubs = materialise(rows.groupBy("sig").agg(central.alias("hub")), "hubs")  # a plain table, so that skewed joins with it can be split
         return rows.join(hubs, "sig").where((F.col("id") != F.col("hub.id")) & _close(F.col("n"), F.col("hub.n"), num, den))
 
     first = stars(members).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
@@ -210,11 +275,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         """Members of buckets that still hold several components."""
         own = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        return materialise(own.join(mixed, "sig"), "apart")
+        return materialise(own.join(materialise(mixed, "mixed"), "sig"), "apart")
 
     left = apart(comps)
     if not left.isEmpty():
-        hubs = left.groupBy("sig").agg(F.max(F.struct("degree", "id", "n", "comp")).alias("hub"))
+        hubs = materialise(left.groupBy("sig").agg(F.max(F.struct("degree", "id", "n", "comp")).alias("hub")), "hubs")
         again = left.join(hubs, "sig").where((F.col("comp") != F.col("hub.comp")) & _close(F.col("n"), F.col("hub.n"), num, den))
         pairs = again.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
         links = links.union(_verified(pairs, sets, num, den))
