@@ -94,6 +94,7 @@ def allot(hi: int, docs: int, num: int = NUM, den: int = DEN) -> tuple[int, int]
 
 
 def _sizes(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    words.kept("jaccard")
     for batch in rows:
         for i, j in words.batches(batch["text"], BATCH):
             row, h = shingle_sets(batch["text"].slice(i, j - i), size)

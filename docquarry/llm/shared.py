@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share. Where that is unset, as in
-    tests on one machine, a temporary folder is chosen once and kept in the session's settings."""
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary
+    folder is chosen once and kept in the session's settings if all runs on one machine; otherwise that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/docquarry/{name}-{uuid.uuid4().hex}"
 
 
+def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder, and the folder's path in it. Hadoop's names for S3 are known as well."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives the loss of executors."""
     path = work_dir(df.sparkSession, name)

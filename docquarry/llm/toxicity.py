@@ -174,6 +174,7 @@ def doc_features(texts: pa.Array, restored) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words.kept("toxicity")
     for batch in rows:
         for i, j in words.batches(batch["text"], BATCH):
             yield batch.slice(i, j - i)

@@ -24,6 +24,17 @@ LOWER[65:91] += 32
 _CACHE: dict[str, np.ndarray] = {}
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a worker keeps from task to task for one operator; whatever it kept for another one is dropped."""
+    if _KEPT.get("owner") != owner:
+        _KEPT.clear()
+        _KEPT.update(owner=owner, things={})
+    return _KEPT["things"]
+
+
 def masks() -> np.ndarray:
     """For 0 to 8 bytes: the bits that a lane of so many bytes takes."""
     if not _CACHE:
