@@ -1,11 +1,13 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame operations only.
 
-The index is a table of postings: (term, doc_id, pos, context), where context holds the words around the posting, as
-many as the longest window reaches. A search takes each window's rarest terms, by their counts in the training texts,
-shifts their postings by the terms' offsets, intersects the lists on (document, start), and compares the words of
-what is left with the window's. Only postings of terms that some window has among its rarest ones are stored.
-
-Lower case is made of A-Z alone; words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`.
+The index holds postings of training tokens: (term, row, pos). A search ranks each window's terms by their counts in
+the training texts, shifts the postings of the rarest ones by the terms' offsets in the window, and intersects the lists
+on (row, start). The other terms' lists are read only around the places that are left, shifted and intersected likewise:
+a window matches where the lists of all its terms meet. Postings are stored only of terms that are among some window's
+rarest, and of the surroundings of those places.
+
+Lower case is made of A-Z alone; words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Rows are told apart by a number
+that they get when their words are stored, so that null and repeated ids don't matter.
 """
 
 from __future__ import annotations
@@ -13,105 +15,125 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, materialise, small
+from .shared import ascii_lower, materialise, measured, small
 
-#: The same class before lower-casing: A-Z are word characters too.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Words of a text, in order and in their own case; none for null."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
-
-def windows(items: DataFrame, size: int, rarest: int, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """item_id, w (window id), off, term, key (all words), len: a row for each word of each distinct window of an item."""
-    w = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("words")).where(F.size("words") > 0)
-    n = F.size("words")
-    starts = w.select("item_id", "words", F.explode(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))).alias("start"))
-    keys = starts.select("item_id", ascii_lower(F.array_join(F.slice("words", F.col("start"), F.lit(size)), " ")).alias("key")).distinct()
-    return keys.select("item_id", "key", F.posexplode(F.split("key", " ")).alias("off", "term")).withColumn("len", F.size(F.split("key", " ")))
-
-
-def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """term, n: how often each of the terms stands in docs (text)."""
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("word")).select(ascii_lower(F.col("word")).alias("term"))
-    return tokens.join(small(terms, n_terms, 80), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int) -> DataFrame:
-    """term, doc_id, pos (from 0), lead, context: a row for each occurrence of one of the terms in docs. context: the
-    words from `lead` places before it to `reach` - 1 places after it."""
-    w = docs.select("doc_id", words(F.col("text")).alias("words"))
-    tokens = w.select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
-    hits = tokens.select("*", ascii_lower(F.col("word")).alias("term")).join(small(terms, n_terms, 80), "term")
-    lead = F.least(F.col("pos"), F.lit(reach - 1))
-    context = F.slice("words", F.col("pos") - lead + 1, lead + reach)
-    return hits.select("term", "doc_id", "pos", lead.alias("lead"), ascii_lower(F.array_join(context, " ")).alias("context"))
-
-
-def plan(items: DataFrame, docs: DataFrame, size: int, rarest: int) -> tuple[DataFrame, int, DataFrame, int]:
-    """The windows, a row for each of their `rarest` least frequent terms, and those terms; with their numbers."""
-    spelled = materialise(windows(items, size, rarest), "windows")
-    terms = spelled.select("term").distinct()
-    n_terms = terms.count()
-    counts = materialise(term_counts(docs, terms, n_terms), "term-counts")
-    by = Window.partitionBy("item_id", "key").orderBy("n", "off")
-    lacking = F.max(F.col("n").isNull()).over(Window.partitionBy("item_id", "key"))
-    ranked = spelled.join(counts, "term", "left").withColumn("lacking", lacking).where(~F.col("lacking")).withColumn("role", F.row_number().over(by))
-    rare = materialise(ranked.where(F.col("role") <= rarest).select("item_id", "key", "len", "role", "off", "term"), "rarest")
-    rare_terms = rare.select("term").distinct()
-    return rare, rare.count(), rare_terms, rare_terms.count()
-
-
-def phrase_matches(items: DataFrame, docs: DataFrame, size: int = 10, rarest: int = 2) -> DataFrame:
-    """doc_id, item_id, start, len: every place where a document's words equal a window of an item.
-
-    A window: `size` consecutive words of an item, or all of them where it has fewer; an item without words has none.
-    docs: doc_id, text; items: item_id, text. Null texts have no words. Rows that repeat an id count as one document.
-    """
-    rare, n_rare, rare_terms, n_terms = plan(items, docs, size, rarest)
-    index = materialise(postings(docs, rare_terms, n_terms, size), "postings")
-    rare = rare.withColumn("w", F.xxhash64("item_id", "key"))
+    """Lower-case words of a text, in order; none for null."""
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def numbered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `_row`, a number for each row, and `_words`, stored."""
+    return materialise(docs.select("*", words(F.col(text)).alias("_words")).withColumn("_row", F.monotonically_increasing_id()), "texts")
+
+
+def windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """items: item_id, text. Returns the distinct windows, (w, off, term, len) a row for each of their words, and which
+    items hold them: (w, item_id)."""
+    x = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
+    keys = x.select("item_id", "words", F.explode(starts).alias("start")).select("item_id", F.array_join(F.slice("words", F.col("start"), F.lit(size)), " ").alias("key"))
+    keys = materialise(keys.distinct(), "window-keys")
+    known = materialise(keys.select("key").distinct().withColumn("w", F.monotonically_increasing_id()), "windows")
+    spelled = known.select("w", F.size(F.split("key", " ")).alias("len"), F.posexplode(F.split("key", " ")).alias("off", "term"))
+    return spelled, materialise(keys.join(known, "key").select("w", "item_id"), "window-items")
+
+
+def ranked(spelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """The windows' words with `role`, from 1 for a window's rarest term in the texts; windows with a term that the texts
+    lack can't match and are left out."""
+    counts = texts.select(F.explode("_words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.join(measured(materialise(spelled.select("term").distinct(), "terms"), "term"), "term"), "term-counts")
+    lacking = F.max(F.col("n").isNull()).over(Window.partitionBy("w"))
+    role = F.row_number().over(Window.partitionBy("w").orderBy("n", "off"))
+    return materialise(spelled.join(counts, "term", "left").withColumn("lacking", lacking).where(~F.col("lacking")).select("w", "len", "off", "term", role.alias("role")), "ranked")
+
+
+def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, row, pos (from 0): a row for each occurrence of one of the terms."""
+    tokens = texts.select(F.col("_row").alias("row"), F.posexplode("_words").alias("pos", "term"))
+    return tokens.join(measured(materialise(terms.distinct(), "rare-terms"), "term"), "term").select("term", "row", "pos")
+
+
+def phrase_matches(texts: DataFrame, spelled: DataFrame, rarest: int = 2) -> DataFrame:
+    """row, w, start, len: every place where the words of one of the numbered() texts equal those of a window."""
+    terms = ranked(spelled, texts)
+    lists = materialise(terms.where(F.col("role") <= rarest).select("term", "w", "off", "len", F.expr("shiftleft(1, role - 1)").alias("bit")), "rarest")
+    index = materialise(postings(texts, lists.select("term")), "postings")
+    shifted = index.join(measured(lists, "term"), "term").select("row", "w", (F.col("pos") - F.col("off")).alias("start"), "len", "bit").where("start >= 0")
     every = F.expr(f"shiftleft(1, least({rarest}, len)) - 1")  # a bit for each of the window's rarest terms
-    lists = rare.select("term", "w", "off", F.expr("shiftleft(1, role - 1)").alias("bit"), every.alias("every"))
-    shifted = index.select("term", "doc_id", "pos").join(small(lists, n_rare, 48), "term").select("doc_id", "w", (F.col("pos") - F.col("off")).alias("start"), "bit", "every").where("start >= 0")
-    met = shifted.groupBy("doc_id", "w", "start", "every").agg(F.bit_or("bit").alias("bits")).where("bits = every").select("doc_id", "w", "start")
-    both = materialise(met, "intersections")
-    first = rare.where("role = 1").select("item_id", "key", "len", "w", "off", "term")
-    anchors = index.join(small(first, n_rare, 60 + 12 * size), "term").withColumn("start", F.col("pos") - F.col("off"))
-    found = F.array_join(F.slice(F.split("context", " "), F.greatest(F.col("lead") - F.col("off") + 1, F.lit(1)), F.col("len")), " ")
-    return anchors.where((F.col("start") >= 0) & (found == F.col("key"))).join(small(both, both.count(), 24), ["doc_id", "w", "start"], "left_semi").select("doc_id", "item_id", "start", "len")
+    met = materialise(shifted.groupBy("row", "w", "start", "len").agg(F.bit_or("bit").alias("bits")).where(F.col("bits") == every).drop("bits"), "rarest-met")
+    # The other terms' lists, around the places where the rarest ones met.
+    places = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
+    spots = materialise(met.where(F.col("len") > rarest).groupBy("row").agg(F.collect_set(F.struct("start", "len")).alias("at")), "places")
+    around = texts.select(F.col("_row").alias("row"), "_words").join(small(spots, met.count(), 100), "row")
+    near = around.select("row", F.explode(F.transform(places, lambda p: F.struct(p.alias("pos"), F.get("_words", p).alias("term")))).alias("x")).select("row", "x.pos", "x.term")
+    others = materialise(terms.where(F.col("role") > rarest).select("w", "off", "term"), "other-terms")
+    wanted = met.where(F.col("len") > rarest).join(measured(others, "term"), "w").select("row", "w", "start", "len", (F.col("start") + F.col("off")).alias("pos"), "term")
+    rest = wanted.join(near, ["row", "pos", "term"]).groupBy("row", "w", "start", "len").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("len") - rarest)
+    return materialise(met.where(F.col("len") <= rarest).union(rest.drop("n")), "matches")
 
 
 def proximity_matches(items: DataFrame, docs: DataFrame, size: int = 10, rarest: int = 2, slop: int = 3) -> DataFrame:
-    """doc_id, item_id, start: documents in which a window's two rarest terms stand as far from each other as in the
-    window, give or take `slop` words; start is the first one's place less its offset. Where the window has one word,
-    that is a match. Rows and nulls as in phrase_matches."""
-    rare, n_rare, rare_terms, n_terms = plan(items, docs, size, max(2, rarest))
-    index = materialise(postings(docs, rare_terms, n_terms, 1).select("term", "doc_id", "pos"), "postings")
-    shifted = index.join(small(rare, n_rare, 60 + 12 * size), "term").select("doc_id", "item_id", "key", "len", "role", (F.col("pos") - F.col("off")).alias("start"))
-    width = slop + 1
-    one = shifted.where("role = 1").withColumn("near", F.explode(F.array(*(F.floor(F.col("start") / width) + k for k in (-1, 0, 1)))))
-    two = shifted.where("role = 2").select("doc_id", "item_id", "key", F.col("start").alias("other"), F.floor(F.col("start") / width).alias("near"))
-    close = one.join(two, ["doc_id", "item_id", "key", "near"]).where(F.abs(F.col("start") - F.col("other")) <= slop)
-    return close.select("doc_id", "item_id", "start").union(shifted.where("len = 1").select("doc_id", "item_id", "start")).distinct()
+    """doc_id, item_id, start: documents in which all words of a window stand near their places in it. start is the place
+    of the window's rarest term less its offset; each other word of the window must stand within `slop` words of its
+    own offset from there. Null texts have no words, rows that repeat an id count as one document, a null id is an id.
+    Empty tables have no matches."""
+    texts = numbered(docs.select("doc_id", "text"))
+    spelled, holders = windows(items.select("item_id", "text"), size)
+    terms = ranked(spelled, texts)
+    first = materialise(terms.where("role = 1").select("term", "w", "off"), "rarest")
+    index = materialise(postings(texts, first.select("term")), "postings")
+    starts = index.join(measured(first, "term"), "term").select("row", "w", (F.col("pos") - F.col("off")).alias("start"))
+    spelling = materialise(terms.groupBy("w").agg(F.collect_list(F.struct("off", "term")).alias("terms")), "spellings")
+    at = starts.join(spelling, "w").join(texts.select(F.col("_row").alias("row"), "doc_id", "_words"), "row")
+
+    def there(x: Column) -> Column:
+        lo = F.greatest(F.col("start") + x["off"] - slop, F.lit(0))
+        n = F.col("start") + x["off"] + slop + 1 - lo
+        return F.array_contains(F.slice("_words", (lo + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int")), x["term"])
+
+    return at.where(F.forall("terms", there)).join(holders, "w").select("doc_id", "item_id", "start").distinct()
+
+
+def _searched(docs: DataFrame, items: DataFrame, size: int, rarest: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """The numbered texts, and for the rows with hits: _row, n_hit, n_items, items_sha256."""
+    texts = numbered(docs, text)
+    spelled, holders = windows(items, size)
+    found = phrase_matches(texts, spelled, rarest)
+    spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end"))))
+    covered = F.aggregate(
+        spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("int").alias("end")),
+        lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(a["end"], x["start"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["end"]).alias("end")), lambda a: a["n"],
+    )
+    ids = F.array_join(F.sort_array(F.collect_set(F.col("item_id").cast("string"))), ",")
+    named = found.select("row", "w").distinct().join(holders, "w").groupBy("row").agg(F.count_distinct("item_id").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
+    hits = found.groupBy("row").agg(covered.alias("n_hit")).join(named, "row")
+    return texts, materialise(hits.select(F.col("row").alias("_row"), "n_hit", "n_items", "items_sha256"), "hits")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 2, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit (words inside any match), n_items, items_sha256,
-    contaminated. Null and empty texts have no words and no hits; rows that repeat an id get the same hits, and a null
-    id gets none. With an empty table of items nothing is hit. Extra columns are ignored.
+    contaminated. A window: `size` consecutive words of an item, or all of them where it has fewer; an item without words
+    has none. Null and empty texts have no words and no hits; rows that repeat an id, and rows with a null id, get the
+    hits of their own texts. With an empty table of items nothing is hit, an empty table of docs gives an empty result.
+    Very long texts are searched whole. Extra columns are ignored.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    found = phrase_matches(items, docs, size)
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))))
-    ids = F.array_join(F.sort_array(F.collect_set(F.col("item_id").cast("string"))), ",")
-    hits = materialise(found.groupBy("doc_id").agg(covered.cast("long").alias("n_hit"), F.count_distinct("item_id").alias("n_items"), F.sha2(ids, 256).alias("items_sha256")), "hits")
-    light = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    texts, hits = _searched(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), items, size, rarest, "text")
+    light = texts.select("_row", "doc_id", F.size("_words").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return light.join(small(hits, hits.count(), 120), "doc_id", "left").select(
+    return light.join(small(hits, hits.count(), 160), "_row", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 2, text: str = "text") -> DataFrame:
+    """The rows of docs that hold no window of an item, with their columns (none of them may be called _row or _words).
+    Odd rows and tables are treated as contamination() says."""
+    texts, hits = _searched(docs, items.select("item_id", "text"), size, rarest, text)
+    return texts.join(small(hits, hits.count(), 160), "_row", "left_anti").select(docs.columns)

@@ -37,18 +37,36 @@ def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
+#: Whether the shuffle files of a statement go when it has ended, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, and survives the loss of executors."""
-    path = work_dir(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back: cuts lineage, and survives the loss of executors. The shuffle
+    files of df aren't needed beyond that and are removed at once."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Marks df for broadcast if its rows, of row_bytes each, have been counted to lie below BROADCAST_BYTES."""
+    """Marks df for broadcast if its rows, of at most row_bytes each, have been counted to lie below BROADCAST_BYTES."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def measured(df: DataFrame, *strings: str) -> DataFrame:
+    """Marks df for broadcast if its rows, counted with the bytes of their strings and 40 bytes for each column, lie
+    below BROADCAST_BYTES. df should be a table, as it is read for that."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(40 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. lower() does just that for strings without other letters, and is far faster."""
     plain = F.octet_length(c) == F.char_length(c)

@@ -518,3 +518,88 @@ def test_text_after_unclosed_elements_stays(page, texts):
     from docquarry.llm.dom import parse, walk
 
     assert [t for _, t in sorted(x for n in walk(parse(page)) for x in n.texts)] == texts
+
+
+def test_all_terms_of_a_window_must_meet(spark):
+    """Rows in which the rarest terms stand right but another word doesn't are no matches; so removing either
+    intersection changes the result. Ids may be null or repeat: each row has the hits of its own text."""
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, item), (2, item.replace("seven", "x")), (3, "one two " + "y " * 8), (None, "a " + item), (4, None), (4, item), (4, "nothing here"), (5, item.replace("one", "x") + " one two three")]
+    docs = spark.createDataFrame(rows + [(9, "three four five six seven eight nine ten " * 4)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in decontam.contamination(docs, bench).collect())
+    assert got == [(0, 11, 10), (1, 10, 10), (2, 10, 0), (3, 10, 0), (4, 0, 0), (4, 2, 0), (4, 10, 10), (5, 13, 0), (9, 32, 0)]
+    for rarest in (1, 3, 10):
+        assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in decontam.contamination(docs, bench, rarest=rarest).collect()) == got
+    kept = decontam.without_contaminated(docs.withColumn("row", F.lit(1)).withColumn("w", F.lit(2)), bench)
+    assert kept.count() == 6 and kept.columns == ["doc_id", "text", "row", "w"]
+
+
+def test_decontamination_and_join_without_broadcasts(spark, docs, monkeypatch):
+    from docquarry.llm import shared
+
+    items = {1: " ".join(TEXTS[30].split()[:14]), 2: "One TWO", 7: " ".join(TEXTS[11].split()[500:540])}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    got = by_id(decontam.contamination(docs, bench))
+    assert {i: tuple(r)[1:] for i, r in got.items()} == brute_hits(dict(enumerate(TEXTS)), items)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()} == brute_components(dict(enumerate(TEXTS)))
+
+
+def test_proximity_needs_all_words(spark):
+    d = spark.createDataFrame([(1, "alpha x x beta y gamma"), (2, "alpha beta delta"), (2, "alpha beta gamma"), (None, "beta alpha gamma"), (4, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "alpha beta gamma"), (8, None)], "item_id long, text string")
+    assert sorted((r["doc_id"] or 0) for r in decontam.proximity_matches(b, d, slop=3).collect()) == [0, 1, 2]
+    assert decontam.proximity_matches(b, d.limit(0)).count() == 0 and decontam.proximity_matches(b.limit(0), d).count() == 0
+
+
+@pytest.mark.parametrize("spares", [0, 1, 4])
+def test_linked_pairs_share_a_signature_with_light_segments_left_out(spares):
+    num, den = 80, 100
+    lows = jaccard_join.bands(120, num, den)
+    ends = [*(lows[1:] - 1).tolist(), int(lows[-1] * den // num), int(lows[-1] * den * den // num // num)]
+    plans = []
+    for hi in ends:
+        least = jaccard_join.most_apart(hi, num, den) + 1
+        plans.append((least + spares - least // 3, least // 3))
+    r = np.random.default_rng(5)
+    for _ in range(600):
+        n = int(r.integers(1, 120))
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        most = 2 * n * (den - num) // (den + num)
+        cut = int(r.integers(0, most + 1))
+        b = np.unique(np.concatenate([a[cut:], r.integers(0, 1 << 63, int(r.integers(0, most - cut + 1))).astype(np.uint64)]))
+        if len(b) and den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+            row = np.repeat([0, 1], [len(a), len(b)])
+            sig, counts = jaccard_join.signatures(row, np.concatenate([a, b]), 2, lows, plans, [spares] * len(plans))
+            assert set(sig[: counts[0]].tolist()) & set(sig[counts[0] :].tolist())
+
+
+def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    xs = [one, one.translate(str.maketrans("ab", "ba")), "some other words, some of them twice", "x" * 300 + " " + "y" * 300]
+    want = [i for x in xs for i in Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids]
+    assert records.encode(pa.array(xs), path, None)[0].tolist() == want
+    monkeypatch.setattr(words, "span_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    words.kept("another operator")
+    assert records.encode(pa.array(xs), path, None)[0].tolist() == want
+    words.kept("another operator")
+
+
+def test_wide_ids_and_ids_of_other_types(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"[UNK]": 0, **{f"w{i}": i for i in range(1, 100_000)}}, "[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.save(f"{tmp_path}/t.json")
+    rows = [("b", "w5 w99999"), ("a", "w70000"), (None, "w1"), ("10", None), ("a", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    manifest = records.write_records(df, f"file://{tmp_path}/r", f"{tmp_path}/t.json", 2, files=2)
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in records.read_records(spark, f"file://{tmp_path}/r", manifest).orderBy("start").collect()]
+    assert sorted(got, key=str) == sorted([(None, [1, 2]), ("10", [2]), ("a", [70000, 2]), ("a", [2]), ("b", [5, 99999, 2])], key=str)
+    assert [d for d, _ in got] == [None, "10", "a", "a", "b"]
+    assert records.token_records(spark.createDataFrame([(1.5, "w1")], "doc_id double, text string"), f"{tmp_path}/t.json").first()["doc_id"] == "1.5"
