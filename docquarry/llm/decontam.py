@@ -4,7 +4,7 @@ The index holds postings of training tokens: (term, row, pos). A search ranks ea
 the training texts, shifts the postings of the rarest ones by the terms' offsets in the window, and intersects the lists
 on (row, start). The other terms' lists are read only around the places that are left, shifted and intersected likewise:
 a window matches where the lists of all its terms meet. Postings are stored only of terms that are among some window's
-rarest, and of the surroundings of those places.
+rarest; those of a window's very rarest term carry the postings around them, as the words in their order.
 
 Lower case is made of A-Z alone; words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Rows are told apart by a number
 that they get when their words are stored, so that null and repeated ids don't matter.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, materialise, measured, small
+from .shared import ascii_lower, fits, materialise, measured, small
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -52,28 +52,33 @@ def ranked(spelled: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(spelled.join(counts, "term", "left").withColumn("lacking", lacking).where(~F.col("lacking")).select("w", "len", "off", "term", role.alias("role")), "ranked")
 
 
-def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, row, pos (from 0): a row for each occurrence of one of the terms."""
-    tokens = texts.select(F.col("_row").alias("row"), F.posexplode("_words").alias("pos", "term"))
-    return tokens.join(measured(materialise(terms.distinct(), "rare-terms"), "term"), "term").select("term", "row", "pos")
+def postings(texts: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+    """term, row, pos (from 0), lead, around: a row for each occurrence of one of the terms (term, first). Where `first` is
+    set, around holds the words from `lead` places before it to reach - 1 places after it."""
+    tokens = texts.select(F.col("_row").alias("row"), "_words", F.posexplode("_words").alias("pos", "term"))
+    lead = F.least(F.col("pos"), F.lit(reach - 1))
+    around = F.array_join(F.slice("_words", F.col("pos") - lead + 1, lead + reach), " ")
+    out = ["term", "row", "pos", lead.alias("lead")]
+    if fits(terms, "term"):  # what is around a posting is put together for those that stay
+        return tokens.join(F.broadcast(terms), "term").select(*out, F.when(F.col("first"), around).alias("around"))
+    return tokens.select(*out, around.alias("around")).join(terms, "term").select("term", "row", "pos", "lead", F.when(F.col("first"), F.col("around")).alias("around"))
 
 
-def phrase_matches(texts: DataFrame, spelled: DataFrame, rarest: int = 2) -> DataFrame:
+def phrase_matches(texts: DataFrame, spelled: DataFrame, size: int, rarest: int = 2) -> DataFrame:
     """row, w, start, len: every place where the words of one of the numbered() texts equal those of a window."""
     terms = ranked(spelled, texts)
-    lists = materialise(terms.where(F.col("role") <= rarest).select("term", "w", "off", "len", F.expr("shiftleft(1, role - 1)").alias("bit")), "rarest")
-    index = materialise(postings(texts, lists.select("term")), "postings")
+    lists = materialise(terms.where(F.col("role") <= rarest).select("term", "w", "off", "len", "role", F.expr("shiftleft(1, role - 1)").alias("bit")), "rarest")
+    index = materialise(postings(texts, materialise(lists.groupBy("term").agg((F.min("role") == 1).alias("first")), "rare-terms"), size), "postings")
     shifted = index.join(measured(lists, "term"), "term").select("row", "w", (F.col("pos") - F.col("off")).alias("start"), "len", "bit").where("start >= 0")
     every = F.expr(f"shiftleft(1, least({rarest}, len)) - 1")  # a bit for each of the window's rarest terms
     met = materialise(shifted.groupBy("row", "w", "start", "len").agg(F.bit_or("bit").alias("bits")).where(F.col("bits") == every).drop("bits"), "rarest-met")
-    # The other terms' lists, around the places where the rarest ones met.
-    places = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
-    spots = materialise(met.where(F.col("len") > rarest).groupBy("row").agg(F.collect_set(F.struct("start", "len")).alias("at")), "places")
-    around = texts.select(F.col("_row").alias("row"), "_words").join(small(spots, met.count(), 100), "row")
-    near = around.select("row", F.explode(F.transform(places, lambda p: F.struct(p.alias("pos"), F.get("_words", p).alias("term")))).alias("x")).select("row", "x.pos", "x.term")
+    # The other terms' lists, as they lie around the rarest term of each place where the rarest ones met.
+    anchors = materialise(lists.where("role = 1").select("w", "off"), "anchors")
+    at = met.where(F.col("len") > rarest).join(measured(anchors), "w").select("row", "w", "start", "len", "off", (F.col("start") + F.col("off")).alias("pos"))
+    held = F.slice(F.split("around", " "), F.col("lead") - F.col("off") + 1, F.col("len"))
+    near = at.join(index.where("around is not null").select("row", "pos", "lead", "around"), ["row", "pos"]).select("row", "w", "start", "len", F.posexplode(held).alias("off", "term"))
     others = materialise(terms.where(F.col("role") > rarest).select("w", "off", "term"), "other-terms")
-    wanted = met.where(F.col("len") > rarest).join(measured(others, "term"), "w").select("row", "w", "start", "len", (F.col("start") + F.col("off")).alias("pos"), "term")
-    rest = wanted.join(near, ["row", "pos", "term"]).groupBy("row", "w", "start", "len").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("len") - rarest)
+    rest = near.join(measured(others, "term"), ["w", "off", "term"]).groupBy("row", "w", "start", "len").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("len") - rarest)
     return materialise(met.where(F.col("len") <= rarest).union(rest.drop("n")), "matches")
 
 
@@ -86,7 +91,7 @@ def proximity_matches(items: DataFrame, docs: DataFrame, size: int = 10, rarest:
     spelled, holders = windows(items.select("item_id", "text"), size)
     terms = ranked(spelled, texts)
     first = materialise(terms.where("role = 1").select("term", "w", "off"), "rarest")
-    index = materialise(postings(texts, first.select("term")), "postings")
+    index = materialise(postings(texts, materialise(first.select("term", F.lit(False).alias("first")).distinct(), "rare-terms"), size), "postings")
     starts = index.join(measured(first, "term"), "term").select("row", "w", (F.col("pos") - F.col("off")).alias("start"))
     spelling = materialise(terms.groupBy("w").agg(F.collect_list(F.struct("off", "term")).alias("terms")), "spellings")
     at = starts.join(spelling, "w").join(texts.select(F.col("_row").alias("row"), "doc_id", "_words"), "row")
@@ -103,7 +108,7 @@ def _searched(docs: DataFrame, items: DataFrame, size: int, rarest: int, text: s
     """The numbered texts, and for the rows with hits: _row, n_hit, n_items, items_sha256."""
     texts = numbered(docs, text)
     spelled, holders = windows(items, size)
-    found = phrase_matches(texts, spelled, rarest)
+    found = phrase_matches(texts, spelled, size, rarest)
     spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end"))))
     covered = F.aggregate(
         spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("int").alias("end")),

@@ -60,11 +60,16 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def measured(df: DataFrame, *strings: str) -> DataFrame:
-    """Marks df for broadcast if its rows, counted with the bytes of their strings and 40 bytes for each column, lie
-    below BROADCAST_BYTES. df should be a table, as it is read for that."""
+def fits(df: DataFrame, *strings: str) -> bool:
+    """Whether df's rows, counted with the bytes of their strings and 40 bytes for each column, lie below
+    BROADCAST_BYTES. df should be a table, as it is read for that."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(40 * len(df.columns)))
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def measured(df: DataFrame, *strings: str) -> DataFrame:
+    """Marks df for broadcast if it fits()."""
+    return F.broadcast(df) if fits(df, *strings) else df
 
 
 def ascii_lower(c: Column) -> Column:
