@@ -603,3 +603,61 @@ def test_wide_ids_and_ids_of_other_types(spark, tmp_path):
     assert sorted(got, key=str) == sorted([(None, [1, 2]), ("10", [2]), ("a", [70000, 2]), ("a", [2]), ("b", [5, 99999, 2])], key=str)
     assert [d for d, _ in got] == [None, "10", "a", "a", "b"]
     assert records.token_records(spark.createDataFrame([(1.5, "w1")], "doc_id double, text string"), f"{tmp_path}/t.json").first()["doc_id"] == "1.5"
+
+
+def brute_kd(rows, shards):
+    """rows: (id, size, crc, tie, values). The same law, row by row."""
+    spans = [max(1, max(r[4][d] for r in rows) - min(r[4][d] for r in rows)) for d in range(len(rows[0][4]))]
+    out = {}
+
+    def halve(rows, first, n):
+        if n == 1 or not rows:
+            out.update((r[0], first) for r in rows)
+            return
+        width = [max(r[4][d] for r in rows) - min(r[4][d] for r in rows) for d in range(len(spans))]
+        wide = [d for d in range(len(spans)) if width[d]]
+        d = max(wide, key=lambda d: width[d] / spans[d], default=0)
+        weight, goal = sum(r[1] for r in rows), sum(r[1] for r in rows) * (n // 2) / n
+        left, inside = [], rows
+        for level, key in enumerate((lambda r: r[4][d], lambda r: r[2], lambda r: r[3])):
+            groups = defaultdict(list)
+            for r in inside:
+                groups[key(r)].append(r)
+            for k in sorted(groups):
+                inside = groups[k]
+                if sum(r[1] for r in left) + sum(r[1] for r in inside) >= goal or k == max(groups):
+                    break
+                left += inside
+            short, over = goal - sum(r[1] for r in left), sum(r[1] for r in left) + sum(r[1] for r in inside) - goal
+            if level == 2 or min(short, over) <= sharding.SLACK * weight / n:
+                left += inside if over <= short else []
+                break
+        there = {r[0] for r in left}
+        halve(left, first, n // 2)
+        halve([r for r in rows if r[0] not in there], first + n // 2, n - n // 2)
+
+    halve(rows, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize(("slack", "n"), [(0.01, 5), (0.5, 3)])
+def test_shards_by_brute_force(spark, docs, monkeypatch, slack, n):
+    monkeypatch.setattr(sharding, "SLACK", slack)
+    tie = {r["doc_id"]: r["t"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit("kd")).bitwiseAND(F.lit((1 << 52) - 1)).alias("t")).collect()}
+    rows = []
+    for i, t in enumerate(TEXTS):
+        b = (t or "").encode()
+        rows.append((i, len(b) + 8, zlib.crc32(b), tie[i], (len(b) + 8, len(b) - len(t or ""), (t or "").count(" "))))
+    assert {r["doc_id"]: r["shard"] for r in sharding.kd_shards(docs, n).collect()} == brute_kd(rows, n)
+
+
+def test_equal_texts_share_a_shard_where_a_border_can_pass_between_them(spark):
+    rows = [(9 * k + j, f"{k:03d}" + "x" * 97) for k in range(100) for j in range(9)] + [(1000 + k, "y" * (150 + k)) for k in range(60)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    where = defaultdict(set)
+    for r in got:
+        where[r["text_crc32"]].add(r["shard"])
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert sum(len(s) > 1 for s in where.values()) <= 7 and max(sizes.values()) < 1.05 * min(sizes.values())
