@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, has_legal, lines, norm_space, strip_chars
+from ..functions.text import any_of, has_legal, let, lines, norm_space, strip_chars
 from ..lexicons import BOILERPLATE_LINES, BOILERPLATE_PATTERNS, BOILERPLATE_STARTS, LEGAL_MARKERS, START_WORDS
 
 SHORT, RUN, HEAD, LONG = 35, 3, 80, 45
@@ -56,16 +56,29 @@ def cap_short_runs(rows: DataFrame, key: str, markers: Iterable[str] = LEGAL_MAR
     return marked.withColumn("_place", place).where(~F.col("_short") | (F.col("_place") <= RUN)).drop("_short", "_run", "_place")
 
 
-def join_lines(rows: DataFrame, key: str, name: str = "text") -> DataFrame:
-    """key, text: the lines in order, each ended by a line feed."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    return rows.groupBy(key).agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit("\n")).alias(name))
+def cleaned(text: Column, markers: Iterable[str] = LEGAL_MARKERS, **lists: Iterable[str]) -> Column:
+    """A text without boilerplate and repeats and with its runs of short lines cut, each line ended by a line feed; empty
+    where nothing is left. The same rules as those of the row operators, as one expression: no shuffle. A line is
+    more than RUN deep in a run of short ones where the RUN lines before it are short too."""
+    whole = F.filter(F.transform(lines(text), norm_space), lambda x: ~is_boilerplate(x, **lists))
+    once = let(whole, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
+    is_short = lambda x: (F.length(x) < SHORT) & ~has_legal(x, markers) & ~x.rlike(r"\p{Nd}")
+
+    def cut(a: Column) -> Column:
+        def deep(short: Column, i: Column) -> Column:
+            out = F.get(short, i) & (i >= RUN)
+            for k in range(1, RUN + 1):
+                out = out & F.get(short, i - k)
+            return out
+
+        return let(F.transform(a, is_short), lambda short: F.filter(a, lambda x, i: ~F.coalesce(deep(short, i), F.lit(False))))
+
+    return let(let(once, cut), lambda a: F.when(F.size(a) > 0, F.concat(F.array_join(a, "\n"), F.lit("\n"))).otherwise(""))
 
 
 def normalize(df: DataFrame, key: str, text: str, markers: Iterable[str] = LEGAL_MARKERS, **lists: Iterable[str]) -> DataFrame:
-    """key, text of every row: boilerplate and repeats gone, runs of short lines cut; empty where nothing is left."""
-    rows = cap_short_runs(drop_repeats(drop_boilerplate(explode_lines(df, key, text), **lists), key), key, markers)
-    return df.select(key).join(join_lines(rows, key), key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    """key, text of every row, cleaned(); keys may repeat or be null, and a null text is empty."""
+    return df.select(key, cleaned(F.col(text), markers, **lists).alias("text"))
 
 
 def trim_start(text: Column, starts: Iterable[str] = START_WORDS, markers: Iterable[str] = LEGAL_MARKERS) -> Column:

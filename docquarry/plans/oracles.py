@@ -211,6 +211,6 @@ ORACLES |= {
     "bad_links": f"""WITH {PARTS}, t AS (SELECT url, suffix, regexp_replace(lower(url), '^https://', 'http://') AS url_low, lower(trim(regexp_replace('title ' || left(url, 12), '\\s+', ' ', 'g'))) AS title_low, low AS path_low, lower('title ' || left(url, 12) || ' ' || url) AS txt FROM n)
         SELECT url, length(title_low) < 3 OR {anyof("url_low", BAD_URL_PARTS)} OR title_low IN ({_in(BAD_TITLES)}) OR (NOT (regexp_matches(path_low, '/sp[0-9]') OR regexp_matches(title_low, '(^|[^\\p{{L}}\\p{{N}}_])сп\\s*[0-9]')) AND {SNIP}) AS bad,
             CASE WHEN regexp_matches(txt, '(^|[^\\p{{L}}\\p{{N}}_])сп\\s*[0-9]|/sp[0-9]') THEN 'СП' WHEN regexp_matches(txt, '(^|[^\\p{{L}}\\p{{N}}_])(гост|gost)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'ГОСТ' WHEN suffix = '.pdf' THEN 'PDF' WHEN suffix IN ('.doc', '.docx', '.rtf') THEN 'WORD' WHEN suffix IN ('.xls', '.xlsx') THEN 'EXCEL' ELSE 'HTML' END AS document_type FROM t""",
-    "decoded_pages": "SELECT page_id, left(html, 2000) AS text, 'utf-8' AS charset FROM pages",
+    "decoded_pages": "SELECT page_id, html AS text, 'utf-8' AS charset FROM pages",
     "page_titles": f"SELECT page_id, {norm(_plain('''regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)'''))} AS title FROM pages",
 }

@@ -59,20 +59,31 @@ def _is_clean(text: str) -> bool:
     return s.count("�") + s.count("пїЅ") <= 5 and len(_CONTROLS.findall(s)) <= 3 and not (tokens > 20 and len(_CYRILLIC.findall(s)) < 2 * tokens)
 
 
+def attempts(body: bytes, header: str | None = None, http: str | None = None) -> list[dict[str, str]]:
+    """The decodings to choose from, in order: UTF-8 alone if it gives a clean text, otherwise those of all candidates."""
+    utf8 = decoded(body, "utf-8")
+    tries = [("utf-8", utf8)] if utf8 is not None and _is_clean(utf8) else [(c, decoded(body, c)) for c in candidates(body, header, http)]
+    tries = [(c, t) for c, t in tries if t is not None] or [("utf-8-replace", body.decode("utf-8", "replace"))]
+    return [{"charset": c, "decoded": t} for c, t in tries]
+
+
+TRIES = pa.list_(pa.struct([("charset", pa.string()), ("decoded", pa.string())]))
+TRIES_DDL = "array<struct<charset:string,decoded:string>>"
+
+
 def _tries(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    schema = None
     for batch in rows:
-        schema = schema or pa.schema([batch.schema.field(key), ("ord", pa.int32()), ("charset", pa.string()), ("decoded", pa.string())])
-        out: dict[str, list] = {key: [], "ord": [], "charset": [], "decoded": []}
-        for k, body, header, http in zip(*(batch[c].to_pylist() for c in (key, "body", "header_charset", "http_charset")), strict=True):
-            body = body or b""
-            utf8 = decoded(body, "utf-8")
-            tries = [("utf-8", utf8)] if utf8 is not None and _is_clean(utf8) else [(c, decoded(body, c)) for c in candidates(body, header, http)]
-            tries = [(c, t) for c, t in tries if t is not None] or [("utf-8-replace", body.decode("utf-8", "replace"))]
-            for i, (c, t) in enumerate(tries):
-                for name, v in zip(out, (k, i, c, t), strict=True):
-                    out[name].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema)
+        for i in range(0, len(batch), 100):  # decodings are as large as several times the bodies
+            part = batch.slice(i, 100)
+            tries = [attempts(b or b"", header, http) for b, header, http in zip(*(part[c].to_pylist() for c in ("body", "header_charset", "http_charset")), strict=True)]
+            yield pa.RecordBatch.from_arrays([part[key], pa.array(tries, TRIES)], names=[key, "tries"])
+
+
+def best(tries: Column) -> Column:
+    """Of an array of attempts() the one with the most points, the earliest of equals: (charset, decoded)."""
+    one = F.element_at(tries, 1)
+    rated = F.transform(tries, lambda x, i: F.struct(score(x["decoded"], x["charset"]).alias("points"), (-i).alias("place"), x.alias("x")))
+    return F.when(F.size(tries) == 1, one).otherwise(F.array_max(rated)["x"])
 
 
 def score(text: Column, charset: Column) -> Column:
@@ -88,13 +99,13 @@ def score(text: Column, charset: Column) -> Column:
 
 
 def decode(df: DataFrame, key: str, body: str = "body", header_charset: Column | None = None, http_charset: Column | None = None) -> DataFrame:
-    """key, text, charset: the decoding with the most points, the earliest of equals. A null body is empty."""
+    """key, text, charset for each row of df: the decoding with the most points, the earliest of equals. A null body is
+    empty; keys may repeat or be null."""
     none = F.lit(None).cast("string")
     ready = df.select(key, F.col(body).alias("body"), (header_charset if header_charset is not None else none).alias("header_charset"), (http_charset if http_charset is not None else none).alias("http_charset"))
     kind = df.schema[key].dataType.simpleString()
-    tries = ready.mapInArrow(lambda it: _tries(it, key), f"{key} {kind}, ord int, charset string, decoded string")
-    best = F.max_by(F.struct("decoded", "charset"), F.struct(score(F.col("decoded"), F.col("charset")), -F.col("ord")))
-    return tries.groupBy(key).agg(best.alias("b")).select(key, F.col("b.decoded").alias("text"), F.col("b.charset").alias("charset"))
+    tries = ready.mapInArrow(lambda it: _tries(it, key), f"{key} {kind}, tries {TRIES_DDL}")
+    return tries.select(key, best(F.col("tries")).alias("b")).select(key, F.col("b.decoded").alias("text"), F.col("b.charset").alias("charset"))
 
 
 def is_known(name: str) -> bool:

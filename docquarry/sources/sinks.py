@@ -17,11 +17,17 @@ def error_rows(results: DataFrame) -> DataFrame:
 
 
 def write_error_log(results: DataFrame, path: str, enabled: bool = True) -> bool:
-    """Writes the log as CSV; a clean run leaves no log. Returns whether there was something to write."""
+    """Writes the log as CSV; a clean run leaves no log, not even that of a run before it. Returns whether there was
+    something to write."""
     if not enabled:
         return False
     rows = error_rows(results)
     some = not rows.isEmpty()
+    if not some:
+        context = results.sparkSession.sparkContext
+        old = context._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
+        return False
     rows.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").csv(path)
     return some
 

@@ -199,3 +199,22 @@ def test_links_followed_takes_links_of_pages(spark, tmp_path):
     got = QUERIES["links_followed"](spark, str(tmp_path)).collect()
     assert sorted((r["ord"], r["url"], r["title"]) for r in got if r["page_id"] == 7) == [(0, "http://vsrf.ru/a.pdf", "Приказ о документах"), (2, "http://vsrf.ru/b.pdf", "b")]
     assert {r["page_id"] for r in got} >= {-1, 7}
+
+
+def test_cleaning_keeps_rows_apart_and_follows_the_row_operators(spark):
+    texts = ["a line of some length that stays here as it is\nshort one\nshort two\nshort three\nshort four\n1 short\nshort five\nshort six", "x y z\nx y z\n\nother", None, "", "same line here\n" * 3]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[0]), (3, texts[2]), (4, texts[3]), (5, texts[4])], "id long, t string")
+    got = {(r["id"], r["text"]) for r in lines.normalize(df, "id", "t").collect()}
+    one = {}
+    for k, t in enumerate(texts):
+        rows = lines.cap_short_runs(lines.drop_repeats(lines.drop_boilerplate(lines.explode_lines(spark.createDataFrame([(k, t)], "id long, t string"), "id", "t")), "id"), "id")
+        one[k] = "".join(f"{r['line']}\n" for r in rows.orderBy("pos").collect())
+    assert got == {(1, one[0]), (1, one[1]), (None, one[0]), (3, ""), (4, ""), (5, one[4])} and "short four" not in one[0]
+
+
+def test_a_clean_run_removes_the_error_log(spark, tmp_path):
+    from docquarry.sources import sinks
+
+    path = f"{tmp_path}/log"
+    assert sinks.write_error_log(spark.createDataFrame([("ERROR",)], "status string"), path) and (tmp_path / "log").exists()
+    assert not sinks.write_error_log(spark.createDataFrame([("OK",)], "status string"), path) and not (tmp_path / "log").exists()
