@@ -9,7 +9,8 @@ stored, plus pairs of unrelated sets that share a short segment by chance, which
 
 Classes that share a signature are candidates. They are verified on whole sets, in three rounds: each class with the
 central class of the buckets it shares most; central classes again with what is still in another component; and then
-all pairs of different components that share a bucket and whose parity sketches allow a link. Pairs within a component
+all pairs of different components that share a bucket. Whole sets are fetched only for pairs whose parity sketches allow
+a link. Pairs within a component
 need no look, as components are what is asked for.
 """
 
@@ -31,7 +32,7 @@ U = np.uint64
 NUM, DEN = 90, 100
 SHINGLE = 3
 BATCH = 2 << 20
-SKETCH = 4  #: longs of a parity sketch
+SKETCH = 16  #: longs of a parity sketch
 FP = 48  #: bits of a signature by which shared ones are found; chance agreements only send a signature more
 #: Signatures that a task codes at once, and that an owner of fingerprints gets, on average.
 SENT, OWNED = 2_000_000, 3_000_000
@@ -193,26 +194,49 @@ def _repeated(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"fp": fp[times > 1].astype(np.int64), "size": times[times > 1]})
 
 
+def _sketches(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for i, j in words.batches(batch["text"], BATCH):
+            row, h = shingle_sets(batch["text"].slice(i, j - i), size)
+            bits = words.mix(h ^ U(0x2545F4914F6CDD1D)) % U(64 * SKETCH)
+            sketch = np.zeros((j - i) * SKETCH, U)
+            np.bitwise_xor.at(sketch, row * SKETCH + (bits >> U(6)).astype(np.int64), U(1) << (bits & U(63)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(np.bincount(row, minlength=j - i).astype(np.int64)), _lists(sketch, np.full(j - i, SKETCH))], names=["id", "n", "sketch"])
+
+
 def _sets(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for i, j in words.batches(batch["text"], BATCH):
             row, h = shingle_sets(batch["text"].slice(i, j - i), size)
-            bits = (words.mix(h ^ U(0x2545F4914F6CDD1D)) % U(64 * SKETCH)).astype(np.int64)
-            odd = np.bincount(row * 64 * SKETCH + bits, minlength=(j - i) * 64 * SKETCH).astype(np.uint8) & 1
-            sketch = np.packbits(odd, bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), _lists(h, np.bincount(row, minlength=j - i)), _lists(sketch, np.full(j - i, SKETCH))], names=["id", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), _lists(h, np.bincount(row, minlength=j - i))], names=["id", "shingles"])
 
 
 def _close(n: Column, m: Column, num: int, den: int) -> Column:
     return F.least(n, m) * den >= F.greatest(n, m) * num
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets really reach the threshold."""
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    return materialise(pairs.select("a", "b").join(x, "a").join(y, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b"), "links")
+def _fits(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sizes (n_a, n_b) and parity sketches allow a link: sketches differ in no more bits than sets in shingles."""
+    differ = sum((F.bit_count(F.col(f"sketch_{a}")[k].bitwiseXOR(F.col(f"sketch_{b}")[k])) for k in range(SKETCH)), F.lit(0))
+    return _close(F.col(f"n_{a}"), F.col(f"n_{b}"), num, den) & (differ * (den + num) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (den - num))
+
+
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with one of the ids (id), a table."""
+    return docs.join(small(ids, ids.count(), 16), F.col("doc_id") == F.col("id"), "left_semi")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets really reach the threshold. Whole sets are made only where the sketches allow it."""
+    a, b = (sketches.select(*(F.col(c).alias(k if c == "id" else f"{c}_{k}") for c in ("id", "n", "sketch"))) for k in ("a", "b"))
+    likely = materialise(pairs.select("a", "b").join(a, "a").join(b, "b").where(_fits("a", "b", num, den)).select("a", "b"), "likely")
+    ids = materialise(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "likely-ids")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = materialise(_of(docs, ids).mapInArrow(lambda it: _sets(it, size), f"id {kind}, shingles array<long>"), "sets")
+    x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in ("a", "b"))
+    both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
+    reach = both * den >= (F.size("shingles_a") + F.size("shingles_b") - both) * num
+    return materialise(likely.join(x, "a").join(y, "b").where(reach).select("a", "b"), "links")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -257,10 +281,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     buckets = materialise(sigs.join(shared.hint("shuffle_hash"), "fp").drop("fp"), "buckets")
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     members = materialise(buckets.drop("size").join(degree, "id"), "bucket-members")
-    ids = members.select("id").distinct()
-    n_ids = ids.count()
-    wanted = docs.join(small(ids, n_ids, 16), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = materialise(wanted.mapInArrow(lambda it: _sets(it, size), f"id {kind}, shingles array<long>, sketch array<long>"), "sets")
+    ids = materialise(members.select("id").distinct(), "candidates")
+    sketches = materialise(_of(docs, ids).mapInArrow(lambda it: _sketches(it, size), f"id {kind}, n long, sketch array<long>"), "sketches")
     central = F.max(F.struct("degree", "id", "n"))
 
     def stars(rows: DataFrame) -> DataFrame:
@@ -269,7 +291,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     first = stars(members).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
     best = first.groupBy(F.col("id").alias("b")).agg(F.max_by("hub", F.struct("times", "hub")).alias("a"))
-    links = _verified(best, sets, num, den)
+    links = _verified(best, docs, sketches, size, num, den)
     comps = components(links)
 
     def apart(comps: DataFrame) -> DataFrame:
@@ -283,16 +305,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         hubs = materialise(left.groupBy("sig").agg(F.max(F.struct("degree", "id", "n", "comp")).alias("hub")), "hubs")
         again = left.join(hubs, "sig").where((F.col("comp") != F.col("hub.comp")) & _close(F.col("n"), F.col("hub.n"), num, den))
         pairs = again.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-        links = links.union(_verified(pairs, sets, num, den))
+        links = links.union(_verified(pairs, docs, sketches, size, num, den))
         comps = components(links)
         left = apart(comps)
     if not left.isEmpty():
-        drawn = left.join(sets.select("id", "sketch"), "id")
+        drawn = left.join(sketches.select("id", "sketch"), "id")
         x, y = (drawn.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "comp", "sketch"))) for k in ("a", "b"))
-        differ = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH)), F.lit(0))
-        fits = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _close(F.col("n_a"), F.col("n_b"), num, den) & (differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+        fits = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _fits("a", "b", num, den)
         pairs = x.join(y, (x["sig"] == y["sig"]) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        links = links.union(_verified(pairs, sets, num, den))
+        links = links.union(_verified(pairs, docs, sketches, size, num, den))
         comps = components(links)
     node = F.coalesce("class_id", "doc_id")
     found = comps.select(F.col("id").alias("node"), "comp")
