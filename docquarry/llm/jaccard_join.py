@@ -9,8 +9,8 @@ stored, plus pairs of unrelated sets that share a short segment by chance, which
 
 Classes that share a signature are candidates. They are verified on whole sets, in three rounds: each class with the
 central class of the buckets it shares most; central classes again with what is still in another component; and then
-all pairs of different components that share a bucket. Whole sets are fetched only for pairs whose parity sketches allow
-a link. Pairs within a component
+all pairs of different components that share a bucket. Whole sets are compared only for pairs whose parity sketches
+allow a link. Pairs within a component
 need no look, as components are what is asked for.
 """
 
@@ -32,7 +32,7 @@ U = np.uint64
 NUM, DEN = 90, 100
 SHINGLE = 3
 BATCH = 2 << 20
-SKETCH = 16  #: longs of a parity sketch
+SKETCH, WIDE = 16, 128  #: longs of a parity sketch, and of the wider one for pairs that the first leaves
 FP = 48  #: bits of a signature by which shared ones are found; chance agreements only send a signature more
 #: Signatures that a task codes at once, and that an owner of fingerprints gets, on average.
 SENT, OWNED = 2_000_000, 3_000_000
@@ -194,33 +194,48 @@ def _repeated(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"fp": fp[times > 1].astype(np.int64), "size": times[times > 1]})
 
 
+def _parity(row: np.ndarray, h: np.ndarray, rows: int, longs: int) -> pa.Array:
+    """A sketch of each set: bit k is the parity of the shingles whose hash is k modulo the number of bits."""
+    bits = words.mix(h ^ U(0x2545F4914F6CDD1D)) % U(64 * longs)
+    out = np.zeros(rows * longs, U)
+    np.bitwise_xor.at(out, row * longs + (bits >> U(6)).astype(np.int64), U(1) << (bits & U(63)))
+    return _lists(out, np.full(rows, longs))
+
+
 def _sketches(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for i, j in words.batches(batch["text"], BATCH):
             row, h = shingle_sets(batch["text"].slice(i, j - i), size)
-            bits = words.mix(h ^ U(0x2545F4914F6CDD1D)) % U(64 * SKETCH)
-            sketch = np.zeros((j - i) * SKETCH, U)
-            np.bitwise_xor.at(sketch, row * SKETCH + (bits >> U(6)).astype(np.int64), U(1) << (bits & U(63)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(np.bincount(row, minlength=j - i).astype(np.int64)), _lists(sketch, np.full(j - i, SKETCH))], names=["id", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(np.bincount(row, minlength=j - i).astype(np.int64)), _parity(row, h, j - i, SKETCH)], names=["id", "n", "sketch"])
 
 
 def _sets(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for i, j in words.batches(batch["text"], BATCH):
             row, h = shingle_sets(batch["text"].slice(i, j - i), size)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), _lists(h, np.bincount(row, minlength=j - i))], names=["id", "shingles"])
+            n = np.bincount(row, minlength=j - i)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(n.astype(np.int64)), _parity(row, h, j - i, WIDE), _lists(h, n)], names=["id", "n", "sketch", "shingles"])
 
 
 def _close(n: Column, m: Column, num: int, den: int) -> Column:
     return F.least(n, m) * den >= F.greatest(n, m) * num
 
 
-def _fits(a: str, b: str, num: int, den: int) -> Column:
+def _fits(a: str, b: str, num: int, den: int, longs: int = SKETCH) -> Column:
     """Whether sizes (n_a, n_b) and parity sketches allow a link: sketches differ in no more bits than sets in shingles."""
-    differ = sum((F.bit_count(F.col(f"sketch_{a}")[k].bitwiseXOR(F.col(f"sketch_{b}")[k])) for k in range(SKETCH)), F.lit(0))
+    if longs <= SKETCH:
+        differ = sum((F.bit_count(F.col(f"sketch_{a}")[k].bitwiseXOR(F.col(f"sketch_{b}")[k])) for k in range(longs)), F.lit(0))
+    else:
+        differ = F.aggregate(F.zip_with(f"sketch_{a}", f"sketch_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return _close(F.col(f"n_{a}"), F.col(f"n_{b}"), num, den) & (differ * (den + num) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (den - num))
 
 
+def _sketched(pairs: DataFrame, sketches: DataFrame, num: int, den: int, longs: int) -> DataFrame:
+    """The pairs (a, b) that the sketches allow."""
+    a, b = (sketches.select(*(F.col(c).alias(k if c == "id" else f"{c}_{k}") for c in ("id", "n", "sketch"))) for k in ("a", "b"))
+    return materialise(pairs.select("a", "b").join(a, "a").join(b, "b").where(_fits("a", "b", num, den, longs)).select("a", "b").distinct(), "likely")
+
+
 def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with one of the ids (id), a table."""
     return docs.join(small(ids, ids.count(), 16), F.col("doc_id") == F.col("id"), "left_semi")
@@ -228,11 +243,11 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets really reach the threshold. Whole sets are made only where the sketches allow it."""
-    a, b = (sketches.select(*(F.col(c).alias(k if c == "id" else f"{c}_{k}") for c in ("id", "n", "sketch"))) for k in ("a", "b"))
-    likely = materialise(pairs.select("a", "b").join(a, "a").join(b, "b").where(_fits("a", "b", num, den)).select("a", "b"), "likely")
+    likely = _sketched(pairs, sketches, num, den, SKETCH)
     ids = materialise(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "likely-ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = materialise(_of(docs, ids).mapInArrow(lambda it: _sets(it, size), f"id {kind}, shingles array<long>"), "sets")
+    sets = materialise(_of(docs, ids).mapInArrow(lambda it: _sets(it, size), f"id {kind}, n long, sketch array<long>, shingles array<long>"), "sets")
+    likely = _sketched(likely, sets, num, den, WIDE)
     x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in ("a", "b"))
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     reach = both * den >= (F.size("shingles_a") + F.size("shingles_b") - both) * num
