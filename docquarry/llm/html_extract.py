@@ -1,7 +1,7 @@
 """Main text of web pages: gradient-boosted trees judge each block element, a dynamic programme keeps whole branches.
 
 Features of a node: its tag, what its class, id and role tokens say, the same of its ancestors, density of text, links
-and tags in its subtree, depth, and statistics of its siblings. The trees are trained on pages that page_maker() invents
+and tags in its subtree, depth, and statistics of its siblings. The trees are trained on pages that Maker invents
 with labels: articles of many shapes among menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
 Judged one by one, an element could be kept within one that is dropped. Decoding rules that out: over all choices in
@@ -42,6 +42,8 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 SENTENCE = re.compile(r"[.!?]")
 TREES, DEPTH, BINS, RATE = 60, 4, 32, 0.2
 MADE_PAGES = 500
+#: Blocks of an invented article: long ones are rarer.
+BLOCKS = [*[1, 1, 2, 3, 4, 6, 9, 14] * 5, 25, 45, 80, 140, 250]
 BATCH_PAGES = 200
 
 
@@ -268,9 +270,9 @@ class Maker:
         inside = [("h1", "", 1, [self.words(1, 10)])] if r.random() < 0.8 else []
         if inside and r.random() < 0.15:
             inside = [("header", "", 1, [*inside, *([("p", "", 1, [self.prose()])] if r.random() < 0.4 else [])])]
-        inside += [self.block() for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14]))]
+        inside += [self.block() for _ in range(r.choice(BLOCKS))]
         if r.random() < 0.35:
-            for _ in range(r.randint(1, 2)):
+            for _ in range(r.randint(1, 2 + len(inside) // 8)):
                 inside.insert(r.randint(1, len(inside)), self.noise("in"))
         shape = r.random()
         if shape < 0.6:

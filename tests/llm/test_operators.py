@@ -661,3 +661,27 @@ def test_equal_texts_share_a_shard_where_a_border_can_pass_between_them(spark):
     for r in got:
         sizes[r["shard"]] += r["size"]
     assert sum(len(s) > 1 for s in where.values()) <= 7 and max(sizes.values()) < 1.05 * min(sizes.values())
+
+
+@pytest.mark.parametrize("n", [10, 45, 200])
+def test_adverts_in_articles_of_any_length_go(n):
+    r = random.Random(n)
+    sentence = lambda k: (" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(k)) + ".").capitalize()
+    parts = [f"<p>{sentence(r.randint(10, 60))}</p>" + ('<div class="ad">BUYNOW ' + sentence(8) + "</div>" if k % 9 == 8 else "") for k in range(n)]
+    for tag in ("article", "div"):
+        page = f'<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav><{tag}><h1>T</h1>{"".join(parts)}</{tag}><footer>&copy; x</footer></body></html>'
+        got = html_extract.extract([page], html_extract.model())[0]
+        assert len(got) == n + 1 and not any("BUYNOW" in x for x in got)
+
+
+def test_unclosed_quotes_take_linear_time():
+    import time
+
+    from docquarry.llm.dom import parse, walk
+
+    began = time.time()
+    for junk in ('<p "' * 250_000, "<p '\"" * 200_000, '<p "' * 250_000 + ">"):
+        parse(junk)
+    assert time.time() - began < 6
+    page = "<p title=\"a > b\">one</p><p title='x \"y'>two</p><a href=\"u?a<b\">z</a>"
+    assert [t for _, t in sorted(x for n in walk(parse(page)) for x in n.texts)] == ["one", "two", "z"]
