@@ -1,8 +1,10 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
-1. Every scan partition (a chunk) sorts the fingerprints of its texts, codes them and sends one blob to each owner of a
-   range of fingerprints.
-2. An owner merges the blobs it gets, and answers each with a bitmap of the fingerprints that it has seen twice or more.
+1. Every task sorts and codes the distinct fingerprints of the texts that it scans, some at a time (a chunk), with a bit
+   for each that tells whether the chunk has it more than once, and sends one blob to each owner of a range of them.
+   So a text that makes up a third of all rows is one fingerprint of each chunk.
+2. An owner merges the blobs it gets, and answers each with a bitmap of the fingerprints that were seen twice or more.
+   Blobs are a written table: the bitmaps meet them there, and fingerprints are never shuffled plain.
 3. Only texts with such a fingerprint are suspects. They are compared byte by byte: grouped by the whole normalised
    text, aggregated in each task before anything is shuffled, so that a group with a third of all rows costs one row
    from each task.
@@ -12,8 +14,12 @@ Fingerprints may collide: that only makes a suspect more. Texts themselves are n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +28,8 @@ from .shared import SPACES, materialise, shuffle_parts, small
 
 #: Fingerprints are below 2 ** BITS.
 BITS = 48
+#: Fingerprints that a task codes at once, and that an owner gets, on average.
+SENT, OWNED = 500_000, 3_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -38,43 +46,63 @@ def _bounds(owner: int, owners: int) -> tuple[int, int]:
     return lo, (-(-((owner + 1) << 32) // owners) << (BITS - 32)) - lo
 
 
-def send(owners: int):
-    def blobs(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
-        fp = np.sort(chunk["fp"].to_numpy(np.int64)).astype(np.uint64)
-        own = owner_of(fp, owners)
-        rows = []
-        for o in np.unique(own):
-            part = fp[np.searchsorted(own, o) : np.searchsorted(own, o, "right")]
+def _flags(bits: np.ndarray) -> bytes:
+    return np.packbits(bits).tobytes()
+
+
+def _set(flags: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)
+
+
+def send(owners: int, sent: int = SENT):
+    def coded(chunk: int, fps: list[np.ndarray]) -> pa.RecordBatch:
+        fp, times = np.unique(np.concatenate(fps).astype(np.uint64), return_counts=True)
+        which, first = np.unique(owner_of(fp, owners), return_index=True)
+        blobs, repeated = [], []
+        for o, part, n in zip(which, np.split(fp, first[1:]), np.split(times, first[1:]), strict=True):
             lo, width = _bounds(int(o), owners)
-            rows.append((key[0], int(o), golomb.encode(part - np.uint64(lo), width)))
-        return pd.DataFrame(rows, columns=["chunk", "owner", "blob"])
+            blobs.append(golomb.encode(part - np.uint64(lo), width))
+            repeated.append(_flags(n > 1))
+        cols = [pa.array(np.full(len(which), chunk, np.int64)), pa.array(which.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(repeated, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["chunk", "owner", "blob", "repeated"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, kept = TaskContext.get().partitionId() << 32, []
+        for batch in rows:
+            kept.append(batch["fp"].to_numpy(zero_copy_only=False))
+            if sum(map(len, kept)) >= sent:
+                yield coded(chunk, kept)
+                chunk, kept = chunk + 1, []
+        if sum(map(len, kept)):
+            yield coded(chunk, kept)
 
-    return blobs
+    return run
 
 
 def answer(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
     """A bit for each fingerprint of a blob: set if another row, of this chunk or another, has it too."""
     parts = [golomb.decode(b) for b in blobs["blob"]]
+    own = [p[_set(r, len(p))] for p, r in zip(parts, blobs["repeated"], strict=True)]
     values, counts = np.unique(np.concatenate(parts), return_counts=True)
-    twice = values[counts > 1]
-    bitmaps = [np.packbits(np.isin(p, twice)).tobytes() for p in parts]
+    twice = np.union1d(values[counts > 1], np.concatenate(own))
+    bitmaps = [_flags(np.isin(p, twice)) for p in parts]
     return pd.DataFrame({"chunk": blobs["chunk"], "owner": blobs["owner"], "bitmap": bitmaps})
 
 
 def pick(owners: int):
-    def suspects(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        fp = np.sort(chunk["fp"].to_numpy(np.int64)).astype(np.uint64)
-        own = owner_of(fp, owners)
-        out = [np.zeros(0, np.uint64)]
-        for o, bitmap in zip(answers["owner"], answers["bitmap"], strict=True):
-            part = fp[np.searchsorted(own, o) : np.searchsorted(own, o, "right")]
-            out.append(np.unique(part[np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(part)).astype(bool)]))
-        return pd.DataFrame({"fp": np.concatenate(out).astype(np.int64)})
+    """The fingerprints of blobs whose bits their owners have set."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for o, blob, bitmap in zip(*(batch[c].to_pylist() for c in ("owner", "blob", "bitmap")), strict=True):
+                fp = golomb.decode(blob)
+                fp = fp[_set(bitmap, len(fp))] + np.uint64(_bounds(o, owners)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(fp.astype(np.int64))], names=["fp"])
 
-    return suspects
+    return run
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owners: int | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owners: int | None = None, sent: int = SENT) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal are texts that agree after runs of white space became one space; null counts as empty, and empty texts are
@@ -82,15 +110,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", own
     all stay). Very long texts are compared whole. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    owners = owners or shuffle_parts(spark)
     norm = normalised(F.col(text))
     texts = docs.select(F.col(doc_id).alias("doc_id"), norm.alias("norm"))
     texts = texts.withColumn("fp", F.xxhash64("norm").bitwiseAND(F.lit((1 << BITS) - 1)))
-    light = materialise(texts.select("doc_id", "fp", F.sha2("norm", 256).alias("text_sha256"), F.spark_partition_id().alias("chunk")), "fingerprints")
-    fps = light.select("chunk", "fp")
-    blobs = fps.groupBy("chunk").applyInPandas(send(owners), "chunk int, owner int, blob binary")
-    answers = blobs.groupBy("owner").applyInPandas(answer, "chunk int, owner int, bitmap binary")
-    found = fps.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(pick(owners), "fp long")
+    light = materialise(texts.select("doc_id", "fp", F.sha2("norm", 256).alias("text_sha256")), "fingerprints")
+    owners = owners or max(shuffle_parts(spark), -(-light.count() // OWNED))
+    blobs = materialise(light.select("fp").mapInArrow(send(owners, sent), "chunk long, owner int, blob binary, repeated binary"), "coded")
+    answers = blobs.groupBy("owner").applyInPandas(answer, "chunk long, owner int, bitmap binary")
+    found = blobs.drop("repeated").join(answers, ["chunk", "owner"]).select("owner", "blob", "bitmap").mapInArrow(pick(owners), "fp long")
     suspects = materialise(found.distinct(), "suspects")
     n = suspects.count()
     groups = (

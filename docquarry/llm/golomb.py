@@ -20,7 +20,9 @@ def encode(sorted_values: np.ndarray, universe: int) -> bytes:
     ends = np.cumsum(quotients + 1) - 1
     unary = np.zeros(int(ends[-1]) + 1, np.uint8)
     unary[ends] = 1
-    rest = (gaps[:, None] >> np.arange(k, dtype=np.uint64)).astype(np.uint8) & 1
+    rest = np.empty((n, k), np.uint8)
+    for j in range(k):
+        rest[:, j] = (gaps >> np.uint64(j)).astype(np.uint8) & 1
     return HEAD.pack(n, k, len(unary)) + np.packbits(unary).tobytes() + np.packbits(rest).tobytes()
 
 

@@ -108,6 +108,36 @@ def test_exact_dedup(docs, odd, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("owners, sent", [(1, 1), (3, 7), (16, 1 << 20)])
+def test_exact_dedup_over_chunks_and_owners(spark, owners, sent):
+    """A third of all rows is one text; copies stand in one chunk or in several, at every number of them."""
+    texts = ["hot  text" if i % 3 == 0 else f"t {i % 40}" if i % 3 == 1 else f"alone {i}" for i in range(300)]
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t].append(i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = by_id(exact_dedup.exact_dedup(df, owners=owners, sent=sent))
+    assert len(got) == 300 and all(tuple(got[i])[1:4] == (min(groups[t]), len(groups[t]), i == min(groups[t])) for i, t in enumerate(texts))
+
+
+def test_a_chunk_sends_each_fingerprint_once():
+    fps = np.array([5, 5, 5, 9, 1 << 47], np.int64)
+    rows = exact_dedup.pa.RecordBatch.from_arrays([exact_dedup.pa.array(fps)], names=["fp"])
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 2)
+
+    before, exact_dedup.TaskContext = exact_dedup.TaskContext, Task
+    try:
+        (out,) = exact_dedup.send(2, 100)(iter([rows]))
+    finally:
+        exact_dedup.TaskContext = before
+    got = out.to_pydict()
+    assert got["chunk"] == [2 << 32] * 2 and got["owner"] == [0, 1]
+    assert golomb.decode(got["blob"][0]).tolist() == [5, 9] and exact_dedup._set(got["repeated"][0], 2).tolist() == [True, False]
+
+
 def test_fingerprint_owners_cover_the_range():
     for owners in (1, 3, 16, 51):
         v = np.sort(np.random.default_rng(2).integers(0, 1 << 48, 2000, dtype=np.uint64))
