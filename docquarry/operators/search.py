@@ -18,12 +18,13 @@ MODES = ("direct", "catalog", "site_search")
 def candidates(anchors: DataFrame, words: Column, min_score: float = 0.15, hosts: Iterable[str] | None = ALLOWED_HOSTS, markers: Iterable[str] = DOCUMENT_MARKERS, keep_bad: bool = False) -> DataFrame:
     """anchors: page_ord, anchor_ord, mode, url, title, snippet. Adds points, score, matched; drops bad links, other
     hosts and low scores; the first of each URL stays."""
-    rows = anchors.withColumn("url", strip_fragment(force_http(F.col("url"))))
+    # Generators keep the URL and the points from being worked out again in each of their uses.
+    rows = anchors.select(*(c for c in anchors.columns if c != "url"), F.explode(F.array(strip_fragment(force_http(F.col("url"))))).alias("url"))
     if hosts is not None:
         rows = rows.where(host(F.col("url")).isin(*hosts))
     if not keep_bad:
         rows = rows.where(~Q.is_bad_link(F.col("url"), F.col("title")))
-    scored = rows.withColumn("_s", Q.score(F.col("title"), F.col("url"), F.col("snippet"), words, markers)).select("*", "_s.*").drop("_s")
+    scored = rows.select("*", F.inline(F.array(Q.score(F.col("title"), F.col("url"), F.col("snippet"), words, markers))))
     # Whole points, so that equality with the limit is exact.
     passed = scored.where(F.col("points") >= round(min_score * 100))
     mode = F.array_position(F.array(*map(F.lit, MODES)), F.col("mode"))

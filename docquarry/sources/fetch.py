@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.url import host
+from ..functions.url import host, join
 from ..lexicons import ALLOWED_HOSTS
 
 RESPONSE = "url string, final_url string, http_status int, content_type string, content_disposition string, http_encoding string, body binary, error string"
@@ -35,9 +35,9 @@ def fetch(urls: DataFrame, fetcher: Fetcher, url: str = "url") -> DataFrame:
 
 
 def redirect_chains(start: DataFrame, hops: DataFrame, most: int = 8) -> DataFrame:
-    """start: url; hops: url, http_status, location. Follows redirects level by level: url, final_url, n_hops, error
-    (loop, too many redirects)."""
-    redirects = hops.where(F.col("http_status").isin(301, 302, 303, 307, 308) & (F.coalesce("location", F.lit("")) != "")).select(F.col("url").alias("at"), F.col("location").alias("to"))
+    """start: url; hops: url, http_status, location, which may be relative to url. Follows redirects level by level: url,
+    final_url, n_hops, error (loop, too many redirects)."""
+    redirects = hops.where(F.col("http_status").isin(301, 302, 303, 307, 308) & (F.coalesce("location", F.lit("")) != "")).select(F.col("url").alias("at"), join(F.col("url"), F.col("location")).alias("to"))
     state = start.select("url", F.col("url").alias("at"), F.array("url").alias("seen"))
     done = None
     for n in range(most + 1):

@@ -6,18 +6,18 @@ unclosed elements nest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..functions.names import link_text
-from ..functions.text import norm_space
+from ..functions.text import lines, norm_space
 from ..lexicons import CANDIDATE_SELECTORS, CANDIDATE_TAGS, CONTENT_ATTR_WORDS, DROP_ATTR_WORDS, DROP_TAGS
-from ..operators.lines import normalize, text_score, trim_start
+from ..operators.lines import cleaned, text_score, trim_start
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -99,6 +99,20 @@ def remove(root: Element, tags: tuple[str, ...], words: tuple[str, ...] = ()) ->
         todo.extend(p for p in x.parts if isinstance(p, Element))
 
 
+def _parsed(pages: DataFrame, find: Callable[[str], object], kind: pa.DataType, ddl: str, *keep: str) -> DataFrame:
+    """The columns to keep, and `found`: what find() gives for html, some pages at a time."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
+                found = pa.array([find(h or "") for h in part["html"].to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), found], names=[*keep, "found"])
+
+    kept = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep)
+    return pages.select(*keep, "html").mapInArrow(run, f"{kept}, found {ddl}")
+
+
 def _matches(e: Element, selector: str) -> bool:
     if selector[0] == ".":
         return selector[1:] in e.classes()
@@ -128,46 +142,56 @@ def candidates(html: str) -> list[dict]:
     return out
 
 
-_BLOCK = pa.struct([("ord", pa.int32()), ("attrs", pa.string()), ("text", pa.string()), ("text_len", pa.int64()), ("link_len", pa.int64())])
+def _with_fallback(html: str) -> list[dict]:
+    """The candidates, and with ord -1 the whole page but scripts and the like."""
+    root = parse(html)
+    remove(root, FALLBACK_DROPS)
+    return [*candidates(html), {"ord": -1, "attrs": "", "text": "\n".join(root.pieces()), "text_len": 0, "link_len": 0}]
 
 
-def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        for i in range(0, len(batch), 64):
-            part = batch.slice(i, 64)
-            found = [candidates(h or "") for h in part["html"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["page_id"], pa.array(found, pa.list_(_BLOCK))], names=["page_id", "blocks"])
+FALLBACK_DROPS = ("script", "style", "noscript", "svg")
+_BLOCK = pa.struct([("ord", pa.int32()), ("attrs", pa.string()), ("text", pa.string()), ("text_len", pa.int64()), ("link_len", pa.int64())])
 
 
-def blocks(pages: DataFrame) -> DataFrame:
-    """page_id, ord, attrs, text, text_len, link_len."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    got = pages.select("page_id", "html").mapInArrow(_blocks, f"page_id {kind}, blocks array<struct<ord int, attrs string, text string, text_len long, link_len long>>")
-    return got.select("page_id", F.inline("blocks"))
+def blocks(pages: DataFrame, *keep: str, find: Callable[[str], list[dict]] = candidates) -> DataFrame:
+    """page_id and the columns to keep, ord, attrs, text, text_len, link_len."""
+    got = _parsed(pages, find, pa.list_(_BLOCK), "array<struct<ord int, attrs string, text string, text_len long, link_len long>>", "page_id", *keep)
+    return got.select("page_id", *keep, F.inline("found"))
 
 
-def block_scores(pages: DataFrame) -> DataFrame:
-    """page_id, ord, n_chars, score of each candidate block, its text normalised; short blocks but the body are out."""
-    raw = blocks(pages).withColumn("block", F.concat_ws(":", "page_id", "ord"))
-    clean = normalize(raw, "block", "text").withColumnRenamed("text", "clean")
-    rows = raw.join(clean, "block").where((F.col("ord") == 0) | (F.length("clean") >= LEAST_BLOCK))
+def _scored(rows: DataFrame, *keep: str) -> DataFrame:
+    # A generator keeps the cleaned text from being worked out again in each of its uses.
+    rows = rows.select("*", F.explode(F.array(cleaned(F.col("text")))).alias("clean")).where((F.col("ord") <= 0) | (F.length("clean") >= LEAST_BLOCK))
     density = F.when(F.col("text_len") == 0, 1.0).otherwise(F.col("link_len") / F.col("text_len"))
     like = F.exists(F.array(*map(F.lit, CONTENT_ATTR_WORDS)), lambda w: F.contains(F.col("attrs"), w))
     s = text_score(F.col("clean"), content_like=like, link_density=density)
-    return rows.select("page_id", "ord", F.length("clean").cast("long").alias("n_chars"), s["score"].alias("score"), F.col("clean").alias("text"))
+    return rows.select(*keep, "page_id", "ord", F.length("clean").cast("long").alias("n_chars"), s["score"].alias("score"), F.when(F.col("ord") < 0, F.col("text")).otherwise(F.col("clean")).alias("text"))
+
+
+def block_scores(pages: DataFrame) -> DataFrame:
+    """page_id, ord, n_chars, score of each candidate block, its text normalised; short blocks but the body are out."""
+    return _scored(blocks(pages))
+
+
+def _best(pages: DataFrame, find: Callable[[str], list[dict]], *more: Column) -> DataFrame:
+    """A row for each row of pages, whose ids may repeat or be null: page_id, text, and more aggregates. All blocks of a
+    page are in the task that parsed it, so only the best one is shuffled."""
+    rows = _scored(blocks(pages.withColumn("_row", F.monotonically_increasing_id()), "_row", find=find), "_row")
+    best = F.max_by("text", F.when(F.col("ord") >= 0, F.struct("score", -F.col("ord"))))
+    got = rows.groupBy("_row").agg(F.first("page_id").alias("page_id"), best.alias("text"), *more).drop("_row")
+    return got.withColumn("text", trim_start(F.col("text")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, text: the block with the most points, the earliest of equals, trimmed to the document's start."""
-    best = block_scores(pages).groupBy("page_id").agg(F.max_by("text", F.struct("score", -F.col("ord"))).alias("text"))
-    return best.select("page_id", trim_start(F.col("text")).alias("text"))
+    return _best(pages, candidates)
 
 
 def readable_text(pages: DataFrame) -> DataFrame:
-    """page_id, text: the main text, or all lines of the page where there is none."""
-    every = blocks(pages).where("ord = 0").select("page_id", F.col("text").alias("fallback"))
-    both = main_text(pages).join(every, "page_id")
-    return both.select("page_id", F.when(norm_space(F.col("text")) != "", F.col("text")).otherwise(F.col("fallback")).alias("text"))
+    """page_id, text: the main text, or all lines of the page but scripts and the like where there is none."""
+    both = _best(pages, _with_fallback, F.max(F.when(F.col("ord") < 0, F.col("text"))).alias("whole"))
+    every = F.concat(F.array_join(F.filter(F.transform(lines(F.col("whole")), norm_space), lambda x: x != ""), "\n"), F.lit("\n"))
+    return both.select("page_id", F.when(norm_space(F.col("text")) != "", F.col("text")).otherwise(every).alias("text"))
 
 
 _ANCHOR = pa.struct([("ord", pa.int32()), ("href", pa.string()), ("title", pa.string()), ("around", pa.string()), ("near", pa.string())])
@@ -190,16 +214,10 @@ def _found(html: str) -> list[dict]:
     return out
 
 
-def _anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array([_found(h or "") for h in batch["html"].to_pylist()], pa.list_(_ANCHOR))], names=["page_id", "anchors"])
-
-
 def anchors(pages: DataFrame) -> DataFrame:
     """page_id, base, ord, href, url, title, snippet. title: the anchor's text; where it is short, what stands around it."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    got = pages.select("page_id", "html").mapInArrow(_anchors, f"page_id {kind}, anchors array<struct<ord int, href string, title string, around string, near string>>")
-    rows = got.join(pages.select("page_id", F.col("url").alias("base")), "page_id").select("page_id", "base", F.inline("anchors"))
+    got = _parsed(pages.withColumn("base", F.col("url")), _found, pa.list_(_ANCHOR), "array<struct<ord int, href string, title string, around string, near string>>", "page_id", "base")
+    rows = got.select("page_id", "base", F.inline("found"))
     kept = rows.where(~U.is_skipped_href(F.col("href")))
     own, near = link_text(F.col("title")), norm_space(F.col("near"))
     title = F.when((F.length(own) < 8) & (near != ""), F.left(near, F.lit(180))).otherwise(own)
@@ -225,12 +243,6 @@ def _title(html: str) -> str:
     return ""
 
 
-def _titles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array([_title(h or "") for h in batch["html"].to_pylist()], pa.string())], names=["page_id", "title"])
-
-
 def titles(pages: DataFrame) -> DataFrame:
     """page_id, title: the first h1, else the page's title up to a bar."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "html").mapInArrow(_titles, f"page_id {kind}, title string").withColumn("title", norm_space(F.col("title")))
+    return _parsed(pages, _title, pa.string(), "string", "page_id").select("page_id", norm_space(F.col("found")).alias("title"))

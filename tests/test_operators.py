@@ -218,3 +218,22 @@ def test_a_clean_run_removes_the_error_log(spark, tmp_path):
     path = f"{tmp_path}/log"
     assert sinks.write_error_log(spark.createDataFrame([("ERROR",)], "status string"), path) and (tmp_path / "log").exists()
     assert not sinks.write_error_log(spark.createDataFrame([("OK",)], "status string"), path) and not (tmp_path / "log").exists()
+
+
+def test_pages_that_share_an_id_keep_their_own_main_text(spark):
+    page = "<html><body><nav>menu</nav><article><p>{}</p></article></body></html>"
+    texts = ["Федеральный закон о первом. " * 12, "Федеральный закон о втором. " * 12, "Федеральный закон о третьем. " * 12]
+    df = spark.createDataFrame([(1, page.format(texts[0])), (1, page.format(texts[1])), (None, page.format(texts[2])), (None, None)], "page_id int, html string")
+    got = sorted((r["page_id"] or 0, r["text"].strip()) for r in html_tree.main_text(df).collect())
+    assert got == sorted([(1, texts[0].strip()), (1, texts[1].strip()), (0, texts[2].strip()), (0, "")])
+
+
+def test_pages_of_noise_alone_fall_back_to_all_their_lines(spark):
+    df = spark.createDataFrame([(1, "<body><script>x()</script><div class='menu'>one  two</div><footer>three</footer></body>")], "page_id int, html string")
+    assert html_tree.main_text(df).first()["text"].strip() == "" and html_tree.readable_text(df).first()["text"] == "one two\nthree\n"
+
+
+def test_redirects_are_relative_to_their_page(spark):
+    hops = spark.createDataFrame([("http://a.org/x/y", 302, "../z"), ("http://a.org/z", 301, "//b.org/")], "url string, http_status int, location string")
+    start = spark.createDataFrame([("http://a.org/x/y",)], "url string")
+    assert tuple(fetch.redirect_chains(start, hops).first()) == ("http://a.org/x/y", "http://b.org/", 2, None)
