@@ -4,7 +4,7 @@ A model is a folder in the shared store:
 
     words-S.hash   sorted uint64 hashes of the training tokens in the S-th range of hashes; a token's id is its place
                    among all ranges
-    words-S.count  uint32 counts; words-S.stat: four uint32 arrays, n1 n2 n3 (continuations that follow the token once,
+    words-S.count  int64 counts; words-S.stat: four uint32 arrays, n1 n2 n3 (continuations that follow the token once,
                    twice, more often) and a (distinct tokens before it)
     pairs-S.key    sorted uint64 keys (id << 32 | id) of the bigrams whose mixed key is in the S-th range; pairs-S.count
 
@@ -110,7 +110,7 @@ def _blocks(kind: int, keys: np.ndarray, counts: np.ndarray, ranges: np.ndarray,
     out = []
     for r in np.unique(ranges):
         i, j = np.searchsorted(ranges, r), np.searchsorted(ranges, r, "right")
-        out.append({"kind": kind, "range": int(r), "keys": golomb.encode(keys[i:j], universe), "counts": pa.compress(counts[i:j].astype("<u4").tobytes(), "zstd", asbytes=True), "n": int(j - i)})
+        out.append({"kind": kind, "range": int(r), "keys": golomb.encode(keys[i:j], universe), "counts": pa.compress(counts[i:j].astype("<u8").tobytes(), "zstd", asbytes=True), "n": int(j - i)})
     return out
 
 
@@ -119,7 +119,7 @@ BLOCK_DDL = "kind int, range int, keys binary, counts binary, n long"
 
 
 def _counts(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u4").astype(np.int64)
+    return np.frombuffer(pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True), "<u8").astype(np.int64)
 
 
 def _merged(blocks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def count_words(rows: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Reco
 def store_words(key: tuple, blocks: pd.DataFrame, base: str) -> pd.DataFrame:
     keys, counts = _merged(blocks)
     _save(base, f"words-{key[0]}.hash", keys)
-    _save(base, f"words-{key[0]}.count", counts.astype(np.uint32))
+    _save(base, f"words-{key[0]}.count", counts)
     docs = int(counts[keys == END].sum())
     return pd.DataFrame({"range": [key[0]], "n": [len(keys)], "tokens": [int(counts.sum())], "docs": [docs]})
 
@@ -210,7 +210,7 @@ def store_pairs(key: tuple, blocks: pd.DataFrame, base: str, first: tuple[int, .
     the text's beginning (kind 5) and of how often counts occur (kind 6), the last two for range -1."""
     keys, counts = _merged(blocks)
     _save(base, f"pairs-{key[0]}.key", keys)
-    _save(base, f"pairs-{key[0]}.count", counts.astype(np.uint32))
+    _save(base, f"pairs-{key[0]}.count", counts)
     left, right = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
     rows = []
     level = np.minimum(counts, 3)
@@ -246,6 +246,15 @@ def store_stats(key: tuple, blocks: pd.DataFrame, base: str, first: tuple[int, .
     return pd.DataFrame([(7, [*a[1:5].tolist(), int(a[3:].sum())])], columns=["kind", "v"])
 
 
+def offsets(sizes: list[int]) -> tuple[int, ...]:
+    """First id of each range, then the number of ids. A bigram's key holds two ids of 32 bits, and so do the numbers of
+    a token's neighbours: a larger vocabulary is an error."""
+    first = tuple(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(int).tolist())
+    if first[-1] + 2 > 1 << 32:
+        raise ValueError(f"{first[-1]} distinct tokens are more than ids of 32 bits can tell apart")
+    return first
+
+
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from how many n-grams occur once to four times; kept between 0 and the count where data are few."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
@@ -263,11 +272,11 @@ def train(docs: DataFrame, size: int) -> Model:
     blocks = docs.mapInArrow(lambda it: count_words(it, ranges), BLOCK_DDL)
     got = blocks.groupBy("range").applyInPandas(lambda k, b: store_words(k, b, base), "range int, n long, tokens long, docs long").collect()
     n = {r["range"]: r["n"] for r in got}
-    first = tuple(np.concatenate([[0], np.cumsum([n.get(r, 0) for r in range(ranges)])]).astype(int).tolist())
+    first = offsets([n.get(r, 0) for r in range(ranges)])
     for r in range(ranges):
         if r not in n:
             _save(base, f"words-{r}.hash", np.zeros(0, U))
-            _save(base, f"words-{r}.count", np.zeros(0, np.uint32))
+            _save(base, f"words-{r}.count", np.zeros(0, np.int64))
     pairs = docs.mapInArrow(lambda it: count_pairs(it, base, ranges, first), BLOCK_DDL)
     stats = pairs.groupBy("range").applyInPandas(lambda k, b: store_pairs(k, b, base, first), BLOCK_DDL)
     sums = {5: np.zeros(5, int), 6: np.zeros(5, int), 7: np.zeros(5, int)}
@@ -295,7 +304,7 @@ def log_probs(model: Model, h: np.ndarray, each: np.ndarray) -> tuple[np.ndarray
     for r in np.unique(own[uniq < v]):
         i, j = np.searchsorted(own, r), min(np.searchsorted(own, r, "right"), np.searchsorted(uniq, v))
         at = uniq[i:j] - model.first[r]
-        count[i:j] = _load(model.base, f"words-{r}.count", np.uint32)[at]
+        count[i:j] = _load(model.base, f"words-{r}.count", np.int64)[at]
         s = _load(model.base, f"words-{r}.stat", np.uint32)
         s = s.reshape(4, -1)
         stat[:, i:j] = s[:, at]
@@ -316,7 +325,7 @@ def log_probs(model: Model, h: np.ndarray, each: np.ndarray) -> tuple[np.ndarray
             at = np.searchsorted(table, pairs[some])
             at[at == len(table)] = 0
             hit = table[at] == pairs[some]
-            pair_count[some[hit]] = _load(model.base, f"pairs-{r}.count", np.uint32)[at[hit]]
+            pair_count[some[hit]] = _load(model.base, f"pairs-{r}.count", np.int64)[at[hit]]
     c, context = pair_count[pair_back], count[x]
     mass = (np.array(model.d_pair)[:, None] * stat[:3][:, x]).sum(axis=0)
     p = np.where(context > 0, (np.maximum(c - _discount(model.d_pair, c), 0) + mass * lower) / np.maximum(context, 1), lower)

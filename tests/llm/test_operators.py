@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -395,6 +396,18 @@ class BruteKneserNey:
         return (max(k - d(self.d, k), 0) + sum(self.d[j - 1] * m for j, m in self.follow[a].items()) * lo) / self.context[a]
 
 
+def test_counts_beyond_32_bits_and_too_large_vocabularies(tmp_path):
+    base, many = tmp_path.as_uri(), (1 << 33) + 5
+    keys = np.array([7, int(kneser_ney.END)], np.uint64)
+    blocks = [b for n in ([many, 1], [many, 2]) for b in kneser_ney._blocks(0, keys, np.array(n), np.zeros(2, int), 1 << 64)]
+    got = kneser_ney.store_words((0,), pd.DataFrame(blocks), base).iloc[0]
+    assert (got["n"], got["tokens"], got["docs"]) == (2, 2 * many + 3, 3)
+    assert kneser_ney._load(base, "words-0.count", np.int64).tolist() == [2 * many, 3]
+    assert kneser_ney.offsets([2, 0, 3]) == (0, 2, 2, 5) and kneser_ney.offsets([(1 << 32) - 2])[-1] == (1 << 32) - 2
+    with pytest.raises(ValueError):
+        kneser_ney.offsets([1 << 31, 1 << 31])
+
+
 def test_language_model(docs, odd, none):
     m = BruteKneserNey([t for i, t in enumerate(TEXTS) if fold(i, 7) != 2])
     got = by_id(kneser_ney.lm_scores(docs))
