@@ -1,6 +1,8 @@
-"""python -m docquarry clean INPUT OUTPUT | search QUERY PAGES [--page N] [--limit N] [--max-pages N] [--min-score X]
+"""python -m docquarry clean INPUT OUTPUT | search QUERY PAGES [--page N] [--limit N] [--max-pages N] [--min-score X] [--phases]
 
-clean: main texts of HTML files. search: candidates from a table of pages (page_id, url, html), as JSON.
+clean: main texts of HTML files. search: candidates from a table of pages (page_id, url, html), as JSON. With --phases the
+table holds responses (url, html), and the three phases look in it for the pages that they need, --no-text leaves texts
+out and --full-text gives whole ones.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.query import expand_words, query_words
 from .operators import search
+from .plans import find
 from .sources import files, html_tree
 
 
@@ -27,15 +30,19 @@ def main(argv: list[str] | None = None) -> None:
     for name, default in (("page", 1), ("limit", 5), ("max-pages", 3)):
         s.add_argument(f"--{name}", type=int, default=default)
     s.add_argument("--min-score", type=float, default=0.15)
-    s.add_argument("--any-host", action="store_true")
+    for name in ("any-host", "phases", "no-text", "full-text"):
+        s.add_argument(f"--{name}", action="store_true")
     a = p.parse_args([x.rstrip("\\") if x.startswith("--") else x for x in argv] if argv else None)
     spark = SparkSession.builder.appName("docquarry").getOrCreate()
     if a.command == "clean":
         files.cleaned_files(files.html_files(spark, a.input)).write.mode("overwrite").parquet(a.output)
         return
     pages = spark.read.parquet(a.pages)
-    rows = html_tree.anchors(pages).select(F.col("page_id").alias("page_ord"), F.col("ord").alias("anchor_ord"), F.lit("catalog").alias("mode"), "url", "title", "snippet")
     more = {"hosts": None} if a.any_host else {}
+    if a.phases:
+        print(find.search_documents(pages, a.query, a.page, a.limit, a.max_pages, a.min_score, not a.no_text, a.full_text, **more).first()[0])
+        return
+    rows = html_tree.anchors(pages).select(F.col("page_id").alias("page_ord"), F.col("ord").alias("anchor_ord"), F.lit("catalog").alias("mode"), "url", "title", "snippet")
     found = search.candidates(rows, expand_words(query_words(F.lit(a.query))), a.min_score, **more)
     listed = pages.select(F.lit("catalog").alias("mode"), F.col("page_id").alias("page_ord"), F.col("url").alias("page_url"), F.lit("ok").alias("status"), F.lit("").alias("error"))
     page = search.page_of(found, a.page, a.limit)

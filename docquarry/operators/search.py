@@ -53,30 +53,47 @@ def totals(found: DataFrame, iteration: int, limit: int) -> DataFrame:
 
 
 def enrich(page: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts (url, text) of the page's documents only, joined after the limit: content_status and a preview."""
+    """Texts (url, text) of the page's documents only, joined after the limit: content_status, text and a preview."""
     joined = page.join(texts.select("url", "text"), "url", "left")
-    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
-    status = F.when(is_binary(F.col("url")), "binary_file").when(F.col("text").isNull(), "html_parse_error").when(blank, "empty_text").otherwise("html_text_extracted")
-    return joined.withColumn("content_status", status).withColumn("text_preview", F.left(norm_space(F.col("text")), F.lit(1000)))
+    blank = F.coalesce(norm_space(F.col("text")), F.lit("")) == ""
+    binary = is_binary(F.col("url"))
+    status = F.when(binary, "binary_document_not_parsed_here").when(F.col("text").isNull(), "html_parse_error: no response").when(blank, "empty_text").otherwise("html_text_extracted")
+    text = F.when(binary, "").otherwise(F.coalesce("text", F.lit("")))
+    return joined.withColumn("content_status", status).withColumn("text", text).withColumn("text_preview", F.left(F.col("text"), F.lit(1000)))
 
 
-def response(query: str, page: DataFrame, reports: DataFrame, found: DataFrame, iteration: int = 1, limit: int = 5, max_pages: int = 3, min_score: float = 0.15) -> DataFrame:
-    """One row `json`: the whole answer. A blank query is an error object."""
+def _named(mode: Column) -> Column:
+    return F.when(mode == "direct", "direct_sp_url").otherwise(mode)
+
+
+def response(query: str, page: DataFrame, reports: DataFrame, found: DataFrame, iteration: int = 1, limit: int = 5, max_pages: int = 3, min_score: float = 0.15, full_text: bool = False) -> DataFrame:
+    """One row `json`: the whole answer. A blank query is an error object. What enrich() adds is in it if page has it, whole
+    texts only with full_text."""
     spark = page.sparkSession
     if not query.strip():
         return spark.range(1).select(F.to_json(F.struct(F.lit("error").alias("status"), F.lit("empty query").alias("message"))).alias("json"))
-    docs = page.agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("points"), "mode_ord", "page_ord", "anchor_ord", "title", "url", "score", "matched"))), lambda x: F.struct(x["title"], x["url"], x["score"], x["matched"].alias("matched_keywords"))).alias("documents"))
-    pages = reports.agg(F.array_sort(F.collect_list(F.struct("mode", "page_ord", "page_url", "status", "candidates_found"))).alias("page_reports"), F.count(F.lit(1)).alias("pages_checked"))
-    head = {"status": "ok", "query": query, "current_iteration": iteration, "max_pages": max_pages, "limit": limit, "min_score": min_score}
+    more = [c for c in ("content_status", "text_preview", *(("text",) if full_text else ())) if c in page.columns]
+    rows = page.join(reports.select("mode", "page_ord", F.col("page_url").alias("source_search_url")), ["mode", "page_ord"], "left")
+    own = F.struct(
+        "title", "url", Q.document_type(F.col("title"), F.col("url")).alias("document_type"), "score", F.col("matched").alias("matched_keywords"), "snippet",
+        _named(F.col("mode")).alias("source_mode"), F.coalesce("source_search_url", F.lit("")).alias("source_search_url"), *more,
+    )
+    order = (-F.col("points"), F.col("mode_ord"), F.col("page_ord"), F.col("anchor_ord"))
+    docs = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)), own.alias("own")))), lambda x: x["own"]).alias("documents"))
+    place = F.array_position(F.array(*map(F.lit, MODES)), F.col("mode"))
+    report = F.struct(_named(F.col("mode")).alias("mode"), F.col("page_url").alias("url"), "status", "candidates_found", "error")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("_0"), F.col("page_ord").alias("_1"), report.alias("own")))), lambda x: x["own"])
+    pages = reports.agg(F.count(F.lit(1)).alias("pages_checked"), listed.alias("page_reports"))
+    head = {"status": "success", "query": query, "current_iteration": iteration, "max_pages": max_pages, "limit": limit, "min_score": min_score}
     # Three tables of one row each.
-    row = totals(found, iteration, limit).crossJoin(F.broadcast(pages)).crossJoin(F.broadcast(docs))
+    row = pages.crossJoin(F.broadcast(totals(found, iteration, limit))).crossJoin(F.broadcast(docs))
     return row.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in head.items()), *(F.col(c) for c in row.columns)), {"pretty": "true"}).alias("json"))
 
 
 def direct_candidates(responses: DataFrame, words: Column, min_score: float = 0.10, hosts: Iterable[str] | None = ALLOWED_HOSTS) -> DataFrame:
     """responses: page_ord, url, title, text of pages that the query itself names. Candidates of mode direct, whose
     snippet is the beginning of the text; their least score is their own."""
-    rows = responses.select("page_ord", F.lit(0).alias("anchor_ord"), F.lit("direct").alias("mode"), "url", "title", F.left(norm_space(F.col("text")), F.lit(500)).alias("snippet"))
+    rows = responses.select("page_ord", F.lit(0).alias("anchor_ord"), F.lit("direct").alias("mode"), "url", "title", norm_space(F.left(F.col("text"), F.lit(500))).alias("snippet"))
     return candidates(rows, words, min_score, hosts)
 
 

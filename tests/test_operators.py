@@ -139,6 +139,40 @@ def test_search_response(spark):
     assert "empty query" in search.response(" ", found, reports, found).first()[0]
 
 
+def test_search_in_three_phases(spark):
+    import json
+
+    from docquarry.plans import find
+
+    query = "СП 22.13330 основания"
+    planned = [tuple(r) for r in find.planned_urls(spark, query, 2).collect()]
+    by_mode = {m: [u for k, _, u in planned if k == m] for m in search.MODES}
+    assert all(by_mode.values()) and len(by_mode["site_search"]) == 6  # three forms of the search, two pages each
+    named, catalog, site = by_mode["direct"][0], by_mode["catalog"][0], by_mode["site_search"][1]
+    page = "<html><body><h1>СП 22.13330 Основания зданий</h1>" + "<p>Настоящий свод правил распространяется на основания зданий и сооружений.</p>" * 5 + "</body></html>"
+    links = '<ul><li><a href="{}">СП 22.13330 Основания зданий</a></li><li><a href="/sp99-2011">СП 99 Основания сооружений</a></li><li><a href="/files/sp7.pdf">СП 7 Основания мостов</a></li></ul>'
+    rows = [(named, page), (catalog, links.format(named + "#top")), (site, links.format("http://other.org/sp22")), (by_mode["catalog"][1], None), ("http://sniprf.ru/sp99-2011", page.replace("22.13330", "99"))]
+    responses = spark.createDataFrame(rows, "url string, html string")
+    got = json.loads(find.search_documents(responses, query, "x", 3, 2).first()[0])
+    head = ["status", "query", "current_iteration", "max_pages", "limit", "min_score", "pages_checked", "page_reports", "total_candidates_found", "documents_returned", "has_more_documents", "documents"]
+    assert list(got) == head and got["status"] == "success" and got["current_iteration"] == 1 and got["pages_checked"] == len(planned)
+    assert list(got["documents"][0]) == ["title", "url", "document_type", "score", "matched_keywords", "snippet", "source_mode", "source_search_url", "content_status", "text_preview"]
+    assert [(r["mode"].replace("_sp_url", ""), r["url"]) for r in got["page_reports"]] == [(m, u) for m in search.MODES for u in by_mode[m]]
+    reports = {r["url"]: (r["status"], r["candidates_found"], r["error"]) for r in got["page_reports"]}
+    # The first phase that finds a URL keeps it; other hosts are left out; only the direct phase doesn't report failures.
+    assert reports[named] == ("ok", 1, "") and reports[catalog] == ("ok", 2, "") and reports[site] == ("ok", 0, "")
+    assert reports[by_mode["direct"][1]] == ("ok", 0, "") and reports[by_mode["catalog"][1]] == ("error", 0, "no response")
+    docs = {d["url"]: d for d in got["documents"]}
+    assert got["documents"][0]["url"] == named and (got["total_candidates_found"], got["documents_returned"], got["has_more_documents"]) == (3, 3, False)
+    assert docs[named]["source_mode"] == "direct_sp_url" and docs[named]["source_search_url"] == named and docs[named]["document_type"] == "СП"
+    assert docs[named]["content_status"] == "html_text_extracted" and "свод правил" in docs[named]["text_preview"]
+    assert docs["http://sniprf.ru/files/sp7.pdf"]["content_status"] == "binary_document_not_parsed_here" and docs["http://sniprf.ru/files/sp7.pdf"]["text_preview"] == ""
+    second = json.loads(find.search_documents(responses, query, 2, 2, 2, include_full_text=True).first()[0])
+    assert second["documents_returned"] == 1 and not second["has_more_documents"] and "text" in second["documents"][0]
+    bare = json.loads(find.search_documents(responses, query, 1, 2, 2, include_text=False).first()[0])
+    assert bare["has_more_documents"] and "content_status" not in bare["documents"][0]
+
+
 def test_stream_cleans_each_url_once(spark, tmp_path):
     rows = [("http://a.org/x", "2024-01-01 00:00:00", "<b>hi</b>"), ("https://www.a.org/x#f", "2024-01-01 00:00:01", "<b>again</b>"), ("http://b.org/", "2024-01-01 00:00:02", None)]
     spark.createDataFrame(rows, "url string, fetched string, html string").withColumn("fetched", F.to_timestamp("fetched")).write.parquet(str(tmp_path / "in"))
