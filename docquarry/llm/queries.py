@@ -17,6 +17,7 @@ from .kneser_ney import lm_scores
 from .langid import identify
 from .mixing import mix
 from .records import token_records
+from .runs import text_runs
 from .sharding import kd_shards
 from .shared import table
 from .toxicity import toxicity
@@ -74,6 +75,36 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def periodic(doc_id: Column, text: Column) -> Column:
+    """The texts that op12 reads: where h = crc32(doc_id) ends in the digit 0, the words from a on repeat the p words from
+    a on; a = g % n, p = 1 + floor((n - a) / (3 + g % 8)), g = floor(h / 10), of n words."""
+    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        again = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+        return F.when(n > 0, F.concat_ws(" ", F.slice(w, F.lit(1), a), again))
+
+    found = F.regexp_extract_all(text, F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    return F.when(h % 10 == 0, F.transform(F.array(found), repeated)[0]).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    runs = text_runs(docs.select("doc_id", periodic(F.col("doc_id"), F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    picked = runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("b.length"), -F.col("b.col3")
+    return picked.select(
+        "doc_id", "n_runs", (-F.col("b.col2")).alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * b.length div -b.col3").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -85,8 +116,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
+#: crc32 of a number's decimal digits: a byte is taken in, then eight bits are shifted out.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END))"""
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": """
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -113,4 +149,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY norm)
     """,
+    "op12_periodic_runs": f"""
+        WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w0, {_CRC32} AS h FROM documents),
+        k AS (SELECT doc_id, w0, len(w0) AS n, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a, (h // 10) % 8 AS e FROM h),
+        d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_concat(w0[1:a], list_transform(range(n - a), lambda i: w0[1 + a + i % (1 + (n - a) // (3 + e))])) END AS w FROM k),
+        x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+        p AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+        s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+        g AS (SELECT doc_id, count(*) AS n_runs, max({{'length': length, 'start': -start, 'period': -period}}) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+        o AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM x ANTI JOIN o USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -b.start AS start, b.length AS length, -b.period AS period, 1000 * b.length // -b.period AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+        FROM d LEFT JOIN g USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
 }
