@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .decontam import contamination
 from .exact_dedup import exact_dedup
+from .heap_lloyd import compress
 from .html_extract import main_text
 from .jaccard_join import jaccard_components
 from .kneser_ney import lm_scores
@@ -105,6 +107,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -117,12 +125,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_lm_scoring": op10_lm_scoring,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: crc32 of a number's decimal digits: a byte is taken in, then eight bits are shifted out.
 _CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
             lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END))"""
 
+_LLOYD_ROUND = """
+        n{r} AS (SELECT vec_id, any_value(label) AS label, part, any_value(v.x) AS x, min({{'d': list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS m
+            FROM v JOIN c{r} c USING (part) GROUP BY vec_id, part),"""
+_LLOYD_MOVE = """
+        m{r} AS (SELECT part, e, list(y ORDER BY j) AS x FROM (SELECT part, m.e AS e, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS y FROM n{r}, unnest(range(1, len(x) + 1)) AS t(j) GROUP BY part, m.e, j) GROUP BY part, e),
+        c{s} AS (SELECT part, e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (part, e)),"""
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": """
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -164,4 +180,13 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
         FROM d LEFT JOIN g USING (doc_id) LEFT JOIN c USING (doc_id)
     """,
+    "op13_vector_codes": f"""
+        WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS (SELECT vec_id, label, part, w[part * (len(w) // 4) + 1:(part + 1) * (len(w) // 4)] AS x FROM k, unnest(range(4)) AS t(part)),
+        c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM v QUALIFY e < 256),
+        {"".join(_LLOYD_ROUND.format(r=r) + _LLOYD_MOVE.format(r=r, s=r + 1) for r in range(4))}{_LLOYD_ROUND.format(r=4)}
+        f AS (SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM n4 GROUP BY vec_id),
+        b AS (SELECT sha256(string_agg(y, ',' ORDER BY part, e)) AS codebooks_sha256 FROM (SELECT part, e, array_to_string(x, ',') AS y FROM c4))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f, b
+    """,
 }

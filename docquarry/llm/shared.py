@@ -55,6 +55,20 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like materialise(), in buckets by a key: tables with equally many buckets are joined on it without a shuffle. The
+    files stay in the work folder; the table's name is in the catalogue only while it is looked up."""
+    spark, table = df.sparkSession, f"docquarry_{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.bucketBy(buckets, key).option("path", work_dir(spark, name)).saveAsTable(table)
+        return spark.table(table)
+    finally:
+        spark.conf.set(CLEANUP, before)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Marks df for broadcast if its rows, of at most row_bytes each, have been counted to lie below BROADCAST_BYTES."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
