@@ -18,6 +18,7 @@ from .jaccard_join import jaccard_components
 from .kneser_ney import lm_scores
 from .langid import identify
 from .mixing import mix
+from .neighbours import quality
 from .records import token_records
 from .runs import text_runs
 from .sharding import kd_shards
@@ -77,6 +78,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def periodic(doc_id: Column, text: Column) -> Column:
     """The texts that op12 reads: where h = crc32(doc_id) ends in the digit 0, the words from a on repeat the p words from
     a on; a = g % n, p = 1 + floor((n - a) / (3 + g % 8)), g = floor(h / 10), of n words."""
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_quality": op11_quality,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
 }
