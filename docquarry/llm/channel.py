@@ -22,9 +22,33 @@ LEET = {
 SWAP, DROP, TWICE, ONCE = 0.7, 8.0, 1.5, 0.7  #: costs in nats: look-alike, dropped sign, kept pair of a long run, undone pair
 SHORT, GLUE = 3, 2.0  #: most characters of a short token; cost in nats of a space put into a word, if not between single characters
 END = "\n"
-NOISY = re.compile(r"[^\W\d_][^\s]*?(?:[^\w\s,.;:?\"')\]*&%#!-]|\d)|(?:[^\w\s,.;:?\"'(\[*&%#-]|\d)[^\s]*?[^\W\d_]|([^\W\d_])\1\1|[^\W\d_](?:([*._\-!])[^\W\d_]){2,}|[^\W\d_]!+[^\W\d_]")
-LETTERLESS = re.compile(r"[0-9@$!|+€£(<¡]+[@$!|+€£¡][0-9@$!|+€£(<¡]+")
-EDGE = re.compile(r"^[^\w@$€£|(<+¡!]+|([^\w\s])\1{2,}$|[^\w@$€£|]+$")
+KEPT = 64
+LETTER = re.compile(r"[^\W\d_]")
+#: A letter and, later in the word, one of MARKED; one of MARKING and, later, a letter; or NOISE anywhere.
+MARKED, MARKING = re.compile(r"[^\w\s,.;:?\"')\]*&%#!-]|\d"), re.compile(r"[^\w\s,.;:?\"'(\[*&%#-]|\d")
+NOISE = re.compile(r"([^\W\d_])\1\1|[^\W\d_](?:[*._\-!][^\W\d_]){2}|[^\W\d_]!+[^\W\d_]")
+LETTERLESS, INNER = re.compile(r"[0-9@$!|+€£(<¡]{3,}"), re.compile(r"[@$!|+€£¡]")
+HEAD, TAIL, TAIL_RUN = re.compile(r"[^\w@$€£|(<+¡!]*"), re.compile(r"[^\w@$€£|]*"), re.compile(r"([^\w\s])\1{2,}")
+
+
+def noisy(word: str) -> bool:
+    """Whether a lower-case word may need decoding; a word of signs and digits alone, if it has a sign within. Each pattern is sought once from one place on, so time is linear."""
+    if NOISE.search(word) or LETTERLESS.fullmatch(word) and INNER.search(word, 1, len(word) - 1):
+        return True
+    for part in word.split():
+        for first, then in ((LETTER, MARKED), (MARKING, LETTER)):
+            if (m := first.search(part)) and then.search(part, m.end()):
+                return True
+    return False
+
+
+def trimmed(word: str) -> str:
+    """The word without the signs at its edges: those that stand for no letter, then runs of any sign that these hid."""
+    for _ in range(2):
+        back = word[::-1]
+        run = TAIL_RUN.match(back)
+        word = word[HEAD.match(word).end() : len(word) - max(TAIL.match(back).end(), run.end() if run else 0)]
+    return word
 
 
 def spaced_out(word: str) -> str | None:
@@ -157,9 +181,9 @@ def viterbi(parts: list[list[tuple[str, float]]], model: CharModel) -> str:
 
 def restore_word(word: str, model: CharModel) -> str:
     """The likeliest original of a lower-case word."""
-    if not NOISY.search(word) and not LETTERLESS.fullmatch(word):
+    if not noisy(word):
         return word
-    bare = EDGE.sub("", EDGE.sub("", word))
+    bare = trimmed(word)
     bare = spaced_out(bare) or bare
     return viterbi(lattice(bare), model)
 
@@ -167,7 +191,7 @@ def restore_word(word: str, model: CharModel) -> str:
 def short(word: str) -> str:
     """A lower-case token without the signs at its edges, if it is a single character or at most SHORT that hold a letter;
     otherwise nothing."""
-    bare = word if len(word) == 1 else EDGE.sub("", EDGE.sub("", word))
+    bare = word if len(word) == 1 else trimmed(word)
     if 0 < len(bare) <= SHORT and all(c.isalpha() or c in LEET for c in bare) and (len(bare) == 1 or any(c.isalpha() for c in bare)):
         return bare
     return ""
@@ -197,9 +221,11 @@ def respaced(tokens: tuple[str, ...], model: CharModel) -> list[str]:
 
 
 def restorer(model: CharModel):
+    """restore_word() that keeps the results of words of up to KEPT characters, so that what it keeps is bounded."""
     one = lru_cache(50_000)(lambda w: restore_word(w, model))
-    one.model = model
-    return one
+    either = lambda w: one(w) if len(w) <= KEPT else restore_word(w, model)
+    either.model = model
+    return either
 
 
 def restore(text: str | None, model: CharModel) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .channel import END, GLUE, NOISY, SHORT, CharModel, PairCounter, glued, respaced, restorer, short
+from .channel import END, GLUE, SHORT, CharModel, PairCounter, glued, noisy, respaced, restorer, short
 from .shared import fold, materialise
 
 U = np.uint64
@@ -132,7 +132,7 @@ def _unspaced(data: np.ndarray, w: words.Words, start: np.ndarray, end: np.ndarr
         for one, group in groupby(tokens, lambda t: len(t) == 1):
             spelled = "".join(group) if one else ""
             if len(spelled) > 2 and any(c.isalpha() for c in spelled):
-                whole = restored(spelled) if NOISY.search(spelled) else spelled
+                whole = restored(spelled) if noisy(spelled) else spelled
                 out.add((doc, whole))
                 out.update((doc, whole[k : k + reach]) for k in range(len(whole) - PREFIXES[0] + 1))
     return list(out), gone

@@ -35,7 +35,7 @@ def test_toxic_texts_go(spark, sf_dir, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    want = {i for i, (_, c) in brute_components(texts(stages[1])).items() if i == c}
+    want = {i for i, (_, c) in brute_components(texts(stages[1]), **corpus_pipeline.NEAR).items() if i == c}
     assert set(texts(stages[2])) == want
 
 
