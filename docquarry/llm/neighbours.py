@@ -92,8 +92,8 @@ def _seen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _drawn(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _parts(rows):
         row, bucket, count = terms(part["text"])
-        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))]).astype(np.int32))
-        lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (bucket, count))
+        ends = np.cumsum(np.bincount(row, minlength=len(part)))[:-1]
+        lists = (pa.array([y.tobytes() for y in np.split(x.astype("<i4"), ends)], pa.binary()) for x in (bucket, count))
         yield pa.RecordBatch.from_arrays([part["place"], part["label"], *lists], names=["place", "label", "buckets", "counts"])
 
 
@@ -134,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dims: int =
     drawn = labels.where(part < min(1 << 30, (sample << 30) // max(n, 1))).groupBy("doc_id").agg(F.min("label").alias("label"))
     # At most about `sample` rows of two numbers, unless ids with several labels make it fewer.
     rows = docs.join(F.broadcast(drawn), "doc_id").select("text", "label", F.struct(part.alias("part"), F.xxhash64("text").alias("text")).alias("place"))
-    found = materialise(rows.mapInArrow(_drawn, "place struct<part: bigint, text: bigint>, label int, buckets array<int>, counts array<int>"), "labelled")
+    found = materialise(rows.mapInArrow(_drawn, "place struct<part: bigint, text: bigint>, label int, buckets binary, counts binary"), "labelled")
     picked = found.orderBy("place", "label").limit(sample).collect()  # at most `sample` rows of at most BUCKETS numbers
     if not picked:
         return None
@@ -142,8 +142,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dims: int =
     for r in docs.select("text").mapInArrow(_seen, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS + 1 rows
         df[r["bucket"]] = r["n"]
     rarity = np.log((df[BUCKETS] + 1) / (df[:BUCKETS] + 1)).astype(np.float32)
-    row = np.repeat(np.arange(len(picked)), [len(r["buckets"]) for r in picked])
-    bucket, count = (np.concatenate([np.array(r[c], np.int64) for r in picked]) for c in ("buckets", "counts"))
+    row = np.repeat(np.arange(len(picked)), [len(r["buckets"]) // 4 for r in picked])
+    bucket, count = (np.concatenate([np.frombuffer(r[c], "<i4") for r in picked]).astype(np.int64) for c in ("buckets", "counts"))
     weight = ((1 + np.log(count)) * rarity[bucket]).astype(np.float32)
     length = np.sqrt(np.bincount(row, weight.astype(float) ** 2, len(picked)))
     space = decompose(row, bucket, weight / np.maximum(length, 1e-12).astype(np.float32)[row], len(picked), dims).astype(np.float32)
