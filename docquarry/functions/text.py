@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -37,16 +39,43 @@ def count_of(c: Column, word: str) -> Column:
     return F.floor((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("long")
 
 
+def one_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words; beginnings that words share stand in it once, so that most places are passed by
+    after a character."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        tails.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(c) + one_of(rest) for c, rest in tails.items() if c]
+    body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+    return f"(?:{body})?" if "" in tails and body else body
+
+
 def counts_of(c: Column, words: Iterable[str]) -> Column:
+    """How often the words stand in c, summed; each without overlaps of its own, but different words may overlap.
+
+    The words that begin at one place are beginnings of each other. So each word has a level, the number of the words that
+    it begins with, and a place counts once for each level that a word there has: a pass over c for each level instead
+    of one for each word. Words that can overlap themselves, and repeated ones, are counted on their own.
+    """
+    levels: dict[int, list[str]] = {}
+    alone: list[str] = []
+    for w, times in Counter(words).items():
+        single = any(w.startswith(w[-k:]) for k in range(1, len(w)))
+        alone += [w] * (times if single else times - 1)
+        if not single:
+            levels.setdefault(sum(w.startswith(x) for x in set(words) if x != w and not any(x.startswith(x[-k:]) for k in range(1, len(x)))), []).append(w)
     out = F.lit(0).cast("long")
-    for w in words:
+    for same in levels.values():
+        out = out + F.regexp_count(c, F.lit(f"(?={one_of(same)})"))
+    for w in alone:
         out = out + count_of(c, w)
-    return out
+    return out.cast("long")
 
 
 def any_of(c: Column, words: Iterable[str]) -> Column:
     """Whether c holds one of the words, as a part of it."""
-    return F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(c, w))
+    words = list(words)
+    return c.rlike(one_of(words)) if words else F.lit(False)
 
 
 def strip_chars(c: Column, chars: str) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, has_legal, let, lines, norm_space, strip_chars
+from ..functions.text import any_of, counts_of, has_legal, let, lines, norm_space, strip_chars
 from ..lexicons import BOILERPLATE_LINES, BOILERPLATE_PATTERNS, BOILERPLATE_STARTS, LEGAL_MARKERS, START_WORDS
 
 SHORT, RUN, HEAD, LONG = 35, 3, 80, 45
@@ -99,20 +99,45 @@ def clean_pages(pages: DataFrame, key: str = "page_id", html: str = "html", **op
     return normalize(stripped, key, "_text", **options).select(key, trim_start(F.col("text")).alias("text"))
 
 
+#: Starts of numbered points and articles; white space may be a line feed, so a number alone on its line takes the next.
+POINT, ARTICLE = r"(?:[0-9]+[.)]|[а-я]\))", "статья"
+
+
+def points(legal: Column, numbered: Column, articles: Column, long_lines: Column, short_lines: Column, menu: Column, n_chars: Column, content_like: Column | None = None, link_density: Column | None = None) -> Column:
+    """The points of a text with such counts."""
+    base = (n_chars + legal * 1200 + numbered * 220 + articles * 700 + long_lines * 70 - short_lines * 35).cast("double")
+    if content_like is not None:
+        base = base * F.when(content_like, 1.4).otherwise(1.0)
+    if link_density is not None:
+        base = base * F.when(link_density > 0.45, 0.08).when(link_density > 0.30, 0.20).when(link_density > 0.18, 0.55).otherwise(1.0)
+    return base - menu * 450
+
+
 def text_score(text: Column, markers: Iterable[str] = LEGAL_MARKERS, boilerplate: Iterable[str] = BOILERPLATE_LINES, content_like: Column | None = None, link_density: Column | None = None) -> Column:
     """How much a block of text looks like a document: struct of features and score."""
-    from ..functions.text import counts_of
-
     low = F.lower(text)
     rows = F.filter(lines(text), lambda x: norm_space(x) != "")
     long_ = F.size(F.filter(rows, lambda x: F.length(x) > 80))
     short = F.size(F.filter(rows, lambda x: F.length(x) < SHORT))
     legal, menu = counts_of(low, markers), counts_of(low, boilerplate)
-    numbered = F.regexp_count(text, F.lit(r"(?imud)^\s*(?:[0-9]+[.)]|[а-я]\))\s+\S+"))
-    articles = F.regexp_count(text, F.lit(r"(?imud)^\s*статья\s+[0-9]+"))
-    base = (F.length(text) + legal * 1200 + numbered * 220 + articles * 700 + long_ * 70 - short * 35).cast("double")
-    if content_like is not None:
-        base = base * F.when(content_like, 1.4).otherwise(1.0)
-    if link_density is not None:
-        base = base * F.when(link_density > 0.45, 0.08).when(link_density > 0.30, 0.20).when(link_density > 0.18, 0.55).otherwise(1.0)
-    return F.struct(legal.alias("legal"), numbered.cast("long").alias("numbered"), articles.cast("long").alias("articles"), long_.cast("long").alias("long_lines"), short.cast("long").alias("short_lines"), menu.alias("menu"), (base - menu * 450).alias("score"))
+    numbered = F.regexp_count(text, F.lit(rf"(?imud)^\s*{POINT}\s+\S+"))
+    articles = F.regexp_count(text, F.lit(rf"(?imud)^\s*{ARTICLE}\s+[0-9]+"))
+    score = points(legal, numbered, articles, long_, short, menu, F.length(text), content_like, link_density)
+    return F.struct(legal.alias("legal"), numbered.cast("long").alias("numbered"), articles.cast("long").alias("articles"), long_.cast("long").alias("long_lines"), short.cast("long").alias("short_lines"), menu.alias("menu"), score.alias("score"))
+
+
+def marked(line: Column, markers: Iterable[str] = LEGAL_MARKERS, boilerplate: Iterable[str] = BOILERPLATE_LINES, **lists: Iterable[str]) -> Column:
+    """What text_score() and cleaned() ask of a line, as a struct: the line with single blanks, and flags and counts of it.
+    numbered and article: 1 if the line has a whole start of one, 2 if it is the part before the white space."""
+    def of(x: Column) -> Column:
+        low = F.lower(x)
+        legal = counts_of(low, markers)
+        short = (F.length(x) < SHORT) & (legal == 0) & ~x.rlike(r"\p{Nd}")
+        numbered = F.when(x.rlike(rf"(?iu)^{POINT}\s+\S"), 1).when(x.rlike(rf"(?iu)^{POINT}$"), 2).otherwise(0)
+        article = F.when(x.rlike(rf"(?iu)^{ARTICLE}\s+[0-9]"), 1).when(x.rlike(rf"(?iu)^{ARTICLE}$"), 2).otherwise(0)
+        return F.struct(
+            x.alias("line"), is_boilerplate(x, **lists).alias("frame"), short.alias("capped"), F.length(x).alias("n_chars"), legal.cast("int").alias("legal"), counts_of(low, boilerplate).cast("int").alias("menu"),
+            numbered.alias("numbered"), article.alias("article"), x.rlike("^[0-9]").alias("digit"),
+        )
+
+    return let(norm_space(line), of)

@@ -1,4 +1,4 @@
-"""HTML trees in Arrow batches: candidate blocks, titles and anchors as rows; their choice is made natively.
+"""HTML trees in Arrow batches: candidate blocks, titles and anchors as rows; lines are judged and blocks chosen natively.
 
 The tree is built as lenient parsers do it: an end tag closes the nearest open element of its name or is ignored, and
 unclosed elements nest.
@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..functions.names import link_text
-from ..functions.text import lines, norm_space
+from ..functions.text import any_of, lines, norm_space
 from ..lexicons import CANDIDATE_SELECTORS, CANDIDATE_TAGS, CONTENT_ATTR_WORDS, DROP_ATTR_WORDS, DROP_TAGS
-from ..operators.lines import cleaned, text_score, trim_start
+from ..operators.lines import RUN, SHORT, marked, points, trim_start
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -124,72 +125,232 @@ def _matches(e: Element, selector: str) -> bool:
     return e.tag == selector
 
 
-def candidates(html: str) -> list[dict]:
-    """The body, then what the selectors and tags find, each element once: ord, attrs, text, text_len, link_len."""
-    root = parse(html)
-    remove(root, DROP_TAGS, DROP_ATTR_WORDS)
-    every = list(root.elements())
-    body = next((e for e in every if e.tag == "body"), root)
-    order = [body, *(e for s in CANDIDATE_SELECTORS for e in every if e is not root and _matches(e, s)), *(e for e in every if e.tag in CANDIDATE_TAGS)]
-    out = []
+def _ordered(every: list[Element], root: Element) -> Iterator[Element]:
+    """The body, then what the selectors and tags find, each element once; the body's own turn as the first one doesn't
+    use up its place among the others."""
+    yield next((e for e in every if e.tag == "body"), root)
     seen: set[int] = set()
-    for k, e in enumerate(order):
-        if k and id(e) in seen:
-            continue
-        if k:  # the body's own turn as the first one doesn't use up its place among the candidates
+    for e in (*(e for s in CANDIDATE_SELECTORS for e in every if e is not root and _matches(e, s)), *(e for e in every if e.tag in CANDIDATE_TAGS)):
+        if id(e) not in seen:
             seen.add(id(e))
-        out.append({"ord": len(out), "attrs": e.label(), "text": "\n".join(e.pieces()), "text_len": len(" ".join(e.pieces())), "link_len": sum(len(" ".join(a.pieces())) for a in e.elements() if a.tag == "a" and a is not e)})
-    return out
-
-
-def _with_fallback(html: str) -> list[dict]:
-    """The candidates, and with ord -1 the whole page but scripts and the like."""
-    root = parse(html)
-    remove(root, FALLBACK_DROPS)
-    return [*candidates(html), {"ord": -1, "attrs": "", "text": "\n".join(root.pieces()), "text_len": 0, "link_len": 0}]
+            yield e
 
 
-FALLBACK_DROPS = ("script", "style", "noscript", "svg")
-_BLOCK = pa.struct([("ord", pa.int32()), ("attrs", pa.string()), ("text", pa.string()), ("text_len", pa.int64()), ("link_len", pa.int64())])
+def intervals(html: str) -> dict:
+    """The page's text once, as lines, and its candidate blocks as ranges of them.
 
-
-def blocks(pages: DataFrame, *keep: str, find: Callable[[str], list[dict]] = candidates) -> DataFrame:
-    """page_id and the columns to keep, ord, attrs, text, text_len, link_len."""
-    got = _parsed(pages, find, pa.list_(_BLOCK), "array<struct<ord int, attrs string, text string, text_len long, link_len long>>", "page_id", *keep)
-    return got.select("page_id", *keep, F.inline("found"))
-
-
-def _scored(rows: DataFrame, *keep: str) -> DataFrame:
-    # A generator keeps the cleaned text from being worked out again in each of its uses.
-    rows = rows.select("*", F.explode(F.array(cleaned(F.col("text")))).alias("clean")).where((F.col("ord") <= 0) | (F.length("clean") >= LEAST_BLOCK))
-    density = F.when(F.col("text_len") == 0, 1.0).otherwise(F.col("link_len") / F.col("text_len"))
-    like = F.exists(F.array(*map(F.lit, CONTENT_ATTR_WORDS)), lambda w: F.contains(F.col("attrs"), w))
-    s = text_score(F.col("clean"), content_like=like, link_density=density)
-    return rows.select(*keep, "page_id", "ord", F.length("clean").cast("long").alias("n_chars"), s["score"].alias("score"), F.when(F.col("ord") < 0, F.col("text")).otherwise(F.col("clean")).alias("text"))
+    Elements are numbered as they begin; what is below one lies between the numbers at its begin and at its end, so the
+    lengths of its text and of its links are differences of sums up to these. Linear in the page's size at any depth.
+    """
+    root = parse(html)
+    remove(root, DROP_TAGS, DROP_ATTR_WORDS)
+    rows: list[str] = []
+    n_pieces = n_chars = n_linked = 0
+    span: dict[int, list[int]] = {}  # lines, pieces and characters before an element and its end, and characters of links
+    every: list[Element] = []
+    todo: list[tuple[Element | str, bool]] = [(root, False)]
+    while todo:
+        x, ended = todo.pop()
+        if isinstance(x, str):
+            if x := x.strip():
+                rows += x.splitlines()
+                n_pieces += 1
+                n_chars += len(x)
+        elif not ended:
+            every.append(x)
+            span[id(x)] = [len(rows), n_pieces, n_chars, n_linked]
+            todo.append((x, True))
+            todo.extend((p, False) for p in reversed(x.parts))
+        else:
+            at = span[id(x)]
+            at += [len(rows), n_linked - at[3], _joined(n_chars - at[2], n_pieces - at[1])]
+            if x.tag == "a":
+                n_linked += at[6]
+    found = []
+    for e in _ordered(every, root):
+        lo, _, _, _, hi, linked, size = span[id(e)]
+        found.append({"ord": len(found), "attrs": e.label(), "lo": lo, "hi": hi, "text_len": size, "link_len": linked})
+    return {"lines": rows, "blocks": found}
+
+
+def _joined(chars: int, pieces: int) -> int:
+    return chars + max(pieces - 1, 0)
+
+
+def _whole(html: str) -> str:
+    """All text of a page but scripts and the like."""
+    root = parse(html)
+    remove(root, ("script", "style", "noscript", "svg"))
+    return "\n".join(root.pieces())
+
+
+_PLACE = [("ord", "int"), ("attrs", "string"), ("lo", "int"), ("hi", "int"), ("text_len", "long"), ("link_len", "long")]
+_FOUND = "struct<lines: array<string>, blocks: array<struct<" + ", ".join(f"{n}: {k}" for n, k in _PLACE) + ">>>"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_PAGE = pa.struct([("lines", pa.list_(pa.string())), ("blocks", pa.list_(pa.struct([(n, _ARROW[k]) for n, k in _PLACE])))])
+_COUNTS = ("n_chars", "legal", "menu", "long_lines", "short_lines", "numbered", "articles")
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+
+
+class _Lines:
+    """A page's lines as cleaned() leaves them, with sums up to each, so that counts of a range take the same time at any
+    length. A range differs from the page only where it begins: in a run of short lines, of which its own first RUN
+    stay, and after a number that stands alone on its line, whose next line belongs to it."""
+
+    def __init__(self, m: dict[str, np.ndarray], line: list[str]) -> None:
+        some = np.flatnonzero(~m["frame"])
+        self.some = _sums(~m["frame"])
+        fresh = np.array([k == 0 or line[i] != line[some[k - 1]] for k, i in enumerate(some.tolist())], bool)
+        self.at = some[fresh]  # the first of equal lines in a row
+        self.last = np.append(some[np.flatnonzero(fresh)[1:] - 1], some[-1:]) if len(some) else some  # and the last one
+        n = len(self.at)
+        self.m = {k: v[self.at] for k, v in m.items()}
+        capped = self.m["capped"]
+        place = np.arange(n) - np.maximum.accumulate(np.where(capped, -1, np.arange(n))) if n else np.zeros(0, np.int64)
+        self.kept = ~capped | (place <= RUN)
+        self.ends = np.minimum.accumulate(np.where(capped, n, np.arange(n))[::-1])[::-1]  # where the run of short lines ends
+        self.before = _sums(self.kept)
+        k = np.flatnonzero(self.kept)
+        size = self.m["n_chars"]
+        bare, follows = self.m["numbered"][k] == 2, np.append(self.m["digit"][k][1:], False)
+        index = np.arange(len(k))
+        begin = np.maximum.accumulate(np.where(bare, -1, index)) + 1 if len(k) else index  # of the run of lone numbers
+        self.bare, self.stop = bare, np.minimum.accumulate(np.where(bare, len(k), index)[::-1])[::-1] if len(k) else index
+        odd = np.append(False, bare & ((index - begin) % 2 == 0))[:-1] if len(k) else bare  # the line before takes this one
+        self.takes = bare & ((index - begin) % 2 == 0)
+        self.own = self.m["numbered"][k] == 1
+        sums = {
+            "n_chars": size[k] + 1, "legal": self.m["legal"][k], "menu": self.m["menu"][k], "long_lines": size[k] > 80, "short_lines": size[k] < SHORT,
+            "numbered": self.takes | (self.own & ~odd), "articles": (self.m["article"][k] == 1) | ((self.m["article"][k] == 2) & follows),
+        }
+        self.sums, self.k = {name: _sums(x) for name, x in sums.items()}, k
+
+    def range(self, lo: int, hi: int) -> tuple[int, int, int, int]:
+        """Of lines lo to hi: the first and the end of those that stay, by place among the page's; before `rest`, the first
+        RUN stay, from there on the page's own."""
+        a, b = int(np.searchsorted(self.last, lo)), int(np.searchsorted(self.at, hi))
+        if self.some[lo] == self.some[hi]:  # between equal lines there may be others, none of which stays
+            return a, a, a, a
+        rest = min(int(self.ends[a]), b)
+        return a, min(a + RUN, rest), rest, b
+
+    def counts(self, a: int, head: int, rest: int, b: int) -> dict[str, int]:
+        x, y = int(self.before[rest]), int(self.before[b])
+        out = {name: int(s[y] - s[x]) for name, s in self.sums.items()}
+        if x < y:  # the last line has no next one
+            out["numbered"] -= int(self.takes[y - 1])
+            out["articles"] -= int(self.m["article"][self.k[y - 1]] == 2 and self.sums["articles"][y] > self.sums["articles"][y - 1])
+        first = range(a, head)
+        taken = False
+        for i in first:
+            m = {k: v[i] for k, v in self.m.items()}
+            more = i + 1 < head or x < y
+            follows = self.m["digit"][i + 1] if i + 1 < head else bool(x < y and self.m["digit"][self.k[x]])
+            out["n_chars"] += int(m["n_chars"]) + 1
+            out["legal"] += int(m["legal"])
+            out["menu"] += int(m["menu"])
+            out["long_lines"] += int(m["n_chars"] > 80)
+            out["short_lines"] += int(m["n_chars"] < SHORT)
+            out["articles"] += int(m["article"] == 1 or (m["article"] == 2 and follows))
+            starts = not taken and (m["numbered"] == 1 or (m["numbered"] == 2 and more))
+            out["numbered"] += int(starts)
+            taken = bool(starts and m["numbered"] == 2)
+        if x < y:
+            out["numbered"] += self._shifted(x, y, taken)
+        return out
+
+    def _shifted(self, x: int, y: int, taken: bool) -> int:
+        """What the numbered points of kept lines x to y gain if counting begins there, the first line taken or not."""
+        end = min(int(self.stop[x]), y)  # lone numbers from x on, then a line of another kind, if it is in the range
+        gain = self._taking(x, end, not taken) - self._taking(x, end, bool(self.takes[x]))
+        if end == y:  # the last number in the range takes no next line; counts() has left it out if it does on the page
+            gain += int(self.takes[y - 1]) - int(self._takes_last(x, end, not taken))
+        elif self.own[end]:
+            gain += int(self.takes[end - 1] if end else 0) - int(self._takes_last(x, end, not taken) if end > x else taken)
+        return gain
+
+    @staticmethod
+    def _taking(x: int, end: int, first: bool) -> int:
+        return (end - x + 1) // 2 if first else (end - x) // 2
+
+    @staticmethod
+    def _takes_last(x: int, end: int, first: bool) -> bool:
+        return end > x and ((end - 1 - x) % 2 == 0) == first
+
+
+def _ranges(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with marked lines: their blocks with the counts of their cleaned text, and which lines that has."""
+    kind = pa.list_(pa.struct([("ord", pa.int32()), *((c, pa.int64()) for c in _COUNTS), *((c, pa.int32()) for c in ("a", "head", "rest", "b"))]))
+    for batch in rows:
+        offsets = batch["marks"].offsets.to_numpy()
+        flat = batch["marks"].flatten()
+        marks = {f.name: flat.field(f.name) for f in flat.type}
+        text = marks.pop("line").to_pylist()
+        numbers = {k: v.to_numpy(zero_copy_only=False) for k, v in marks.items()}
+        shift = int(offsets[0]) if len(offsets) else 0
+        blocks, at, kept = [], [], []
+        for i, places in enumerate(batch["blocks"].to_pylist()):
+            lo, hi = int(offsets[i]) - shift, int(offsets[i + 1]) - shift
+            page = _Lines({k: v[lo:hi] for k, v in numbers.items()}, text[lo:hi])
+            found = []
+            for b in places:
+                span = page.range(b["lo"], b["hi"])
+                found.append({"ord": b["ord"], **page.counts(*span), **dict(zip(("a", "head", "rest", "b"), span, strict=True))})
+            blocks.append(found)
+            at.append(page.at)
+            kept.append(page.kept)
+        others = [c for c in batch.schema.names if c != "found"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(blocks, kind), pa.array(at, pa.list_(pa.int32())), pa.array(kept, pa.list_(pa.bool_()))], names=[*others, "counts", "at", "kept"])
+
+
+def _scored(pages: DataFrame, *keep: str) -> DataFrame:
+    """page_id, the columns to keep, and blocks: ord, n_chars, score and the range of lines of each; a row for each page.
+    lines, at and kept tell the lines that stay. Lines are judged natively, once each; only blocks that are long enough, and
+    the body, are there."""
+    got = _parsed(pages, intervals, _PAGE, _FOUND, "page_id", *keep)
+    judged = got.select("page_id", *keep, F.col("found.blocks").alias("blocks"), F.transform("found.lines", lambda x: marked(x)).alias("marks"))
+    kinds = {f.name: f.dataType.simpleString() for f in judged.schema.fields}
+    ints = ", ".join(f"{c}: bigint" for c in _COUNTS)
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in judged.columns) + f", counts array<struct<ord: int, {ints}, a: int, head: int, rest: int, b: int>>, at array<int>, kept array<boolean>"
+    counted = judged.mapInArrow(_ranges, ddl)
+
+    def of(p: Column, c: Column) -> Column:
+        density = F.when(p["text_len"] == 0, 1.0).otherwise(p["link_len"] / p["text_len"])
+        score = points(c["legal"], c["numbered"], c["articles"], c["long_lines"], c["short_lines"], c["menu"], c["n_chars"], any_of(p["attrs"], CONTENT_ATTR_WORDS), density)
+        return F.struct(score.alias("score"), (-p["ord"]).alias("later"), p["ord"].alias("ord"), c["n_chars"].alias("n_chars"), c["a"].alias("a"), c["head"].alias("head"), c["rest"].alias("rest"), c["b"].alias("b"))
+
+    scored = F.filter(F.zip_with("blocks", "counts", of), lambda x: (x["ord"] == 0) | (x["n_chars"] >= LEAST_BLOCK))
+    return counted.select("page_id", *keep, F.col("marks.line").alias("lines"), "at", "kept", scored.alias("blocks"))
 
 
 def block_scores(pages: DataFrame) -> DataFrame:
     """page_id, ord, n_chars, score of each candidate block, its text normalised; short blocks but the body are out."""
-    return _scored(blocks(pages))
+    return _scored(pages).select("page_id", F.inline(F.transform("blocks", lambda b: F.struct(b["ord"].alias("ord"), b["n_chars"].alias("n_chars"), b["score"].alias("score")))))
 
 
-def _best(pages: DataFrame, find: Callable[[str], list[dict]], *more: Column) -> DataFrame:
-    """A row for each row of pages, whose ids may repeat or be null: page_id, text, and more aggregates. All blocks of a
-    page are in the task that parsed it, so only the best one is shuffled."""
-    rows = _scored(blocks(pages.withColumn("_row", F.monotonically_increasing_id()), "_row", find=find), "_row")
-    best = F.max_by("text", F.when(F.col("ord") >= 0, F.struct("score", -F.col("ord"))))
-    got = rows.groupBy("_row").agg(F.first("page_id").alias("page_id"), best.alias("text"), *more).drop("_row")
-    return got.withColumn("text", trim_start(F.col("text")))
+def _best(pages: DataFrame, *keep: str) -> DataFrame:
+    """A row for each row of pages: page_id, the columns to keep, text."""
+    rows = _scored(pages, *keep).withColumn("best", F.array_max("blocks"))
+    part = lambda c, lo, hi: F.slice(c, F.col(lo) + 1, F.col(hi) - F.col(lo))
+    after = F.filter(F.arrays_zip(part("at", "best.rest", "best.b").alias("at"), part("kept", "best.rest", "best.b").alias("kept")), lambda x: x["kept"])
+    places = F.concat(part("at", "best.a", "best.head"), F.transform(after, lambda x: x["at"]))
+    text = F.array_join(F.transform(places, lambda i: F.get(F.col("lines"), i)), "\n")
+    return rows.select("page_id", *keep, trim_start(text).alias("text"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, text: the block with the most points, the earliest of equals, trimmed to the document's start."""
-    return _best(pages, candidates)
+    """page_id, text: the block with the most points, the earliest of equals, trimmed to the document's start. A row for
+    each row of pages, whose ids may repeat or be null."""
+    return _best(pages)
 
 
 def readable_text(pages: DataFrame) -> DataFrame:
     """page_id, text: the main text, or all lines of the page but scripts and the like where there is none."""
-    both = _best(pages, _with_fallback, F.max(F.when(F.col("ord") < 0, F.col("text"))).alias("whole"))
+    whole = _parsed(pages.withColumn("page", F.col("html")), _whole, pa.string(), "string", "page_id", "page")
+    both = _best(whole.select("page_id", F.col("page").alias("html"), F.col("found").alias("whole")), "whole")
     every = F.concat(F.array_join(F.filter(F.transform(lines(F.col("whole")), norm_space), lambda x: x != ""), "\n"), F.lit("\n"))
     return both.select("page_id", F.when(norm_space(F.col("text")) != "", F.col("text")).otherwise(every).alias("text"))
 
