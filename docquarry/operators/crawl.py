@@ -2,37 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import url as U
+from ..functions.names import child_folder, join_errors
 from ..functions.text import text
+from ..storage import stored
+
+
+ITEM = ("path", "parent", "depth", "id", "num", "title", "folder", "original_url")
+
+
+def roots(items: DataFrame) -> DataFrame:
+    """items: id, num, title, folder, original_url, as the first level of a crawl."""
+    return items.select(
+        F.col("id").cast("string").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "id", F.col("num").cast("string").alias("num"), "title", "folder", "original_url",
+        F.lit(0).alias("place"), F.array_distinct(F.array(U.canonical_key(F.col("original_url")))).alias("visited"),
+    )
 
 
-def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_links: int = 0) -> DataFrame:
-    """seeds: node; links: src, dst, ord. Returns node, root, depth, path for all that can be reached along paths
-    without a repeated node. Visited nodes belong to a path, not to the whole crawl, so that siblings may share a child.
-    A round for each level, on the frontier alone; max_links keeps the first links of a page, 0 all."""
-    if max_links:
-        links = links.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("ord"))).where(F.col("_n") <= max_links).drop("_n")
-    frontier = seeds.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
-    reached = frontier
+def walk(items: DataFrame, plan: DataFrame, page: Callable[[DataFrame], DataFrame] | None = None, max_depth: int = 2) -> DataFrame:
+    """items, and what their pages' planned links lead to, level by level: path (the item's id, then a place for each
+    level), parent, depth, id (of the item that it comes from), num, title, folder, original_url, place.
+
+    plan: src, place, url, title, link_key, navigation; a row for each link that is tried on a page, as links.planned() gives
+    them. page adds src, the page of each item, to a level, and may add to `visited`; by default that is the URL's key.
+    A portal's link is left out if its key was visited on the way from the item, so siblings may share a child; its place
+    stays empty. Each level is a stored table made from the one before it alone, so no join runs twice.
+    """
+    page = page or (lambda level: level.withColumn("src", U.canonical_key(F.col("original_url"))))
+    level = stored(roots(items), "level-0")
+    out = level
     for depth in range(1, max_depth + 1):
-        step = frontier.join(links, frontier["node"] == links["src"]).where(~F.array_contains("path", F.col("dst")))
-        frontier = step.select(F.col("dst").alias("node"), "root", F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
-        reached = reached.unionByName(frontier)
-    return reached
-
-
-def saved_below(items: DataFrame, max_depth: int = 2) -> DataFrame:
-    """items: id, parent, depth, status. Adds linked_saved and linked_errors, from the leaves up: a saved child counts
-    for itself or for what it has saved below, whichever is more."""
-    done = items.where(F.col("depth") == max_depth).withColumns({"linked_saved": F.lit(0).cast("long"), "linked_errors": F.lit(0).cast("long")})
-    out = done
-    for depth in range(max_depth - 1, -1, -1):
-        good = F.startswith("status", F.lit("OK")) | F.startswith("status", F.lit("SKIPPED_EXISTS"))
-        sums = done.groupBy(F.col("parent").alias("id")).agg(F.sum(F.when(good, F.greatest(F.lit(1), F.col("linked_saved"))).otherwise(0)).alias("linked_saved"), F.sum(F.when(good, 0).otherwise(1)).cast("long").alias("linked_errors"))
-        done = items.where(F.col("depth") == depth).join(sums, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("linked_saved", "linked_errors")}).select(done.columns)
-        out = out.unionByName(done)
+        up = page(level).select("src", "visited", *(F.col(c).alias(f"_{c}") for c in ITEM))
+        open_ = up.join(plan, "src").where(~F.col("navigation") | ~F.array_contains("visited", F.col("link_key")))
+        place = F.format_string("%02d", F.col("place"))
+        step = open_.select(
+            F.concat_ws(".", "_path", place).alias("path"), F.col("_path").alias("parent"), F.lit(depth).alias("depth"), F.col("_id").alias("id"), F.btrim(F.concat(text(F.col("_num")), F.lit("."), place), F.lit(".")).alias("num"),
+            "title", child_folder(F.col("_folder"), F.col("_title"), F.col("_num")).alias("folder"), F.col("url").alias("original_url"), "place", F.array_union("visited", F.array("link_key")).alias("visited"),
+        )
+        level = stored(step, f"level-{depth}")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out.drop("visited")
+
+
+def settled(items: DataFrame, status: Callable[[Column], Column], max_depth: int = 2, messages: int = 5) -> DataFrame:
+    """items: path, parent, depth, place, original_url, error and what status() reads. Adds linked_saved, linked_errors,
+    status, and to error the first messages of the links that failed. From the leaves up: status() gets an item's
+    linked_saved, which counts each saved child for itself or for what it has saved below, whichever is more. Each
+    level is a stored table."""
+    out = below = None
+    for depth in range(max_depth, -1, -1):
+        rows = items.where(F.col("depth") == depth)
+        if below is None:
+            rows = rows.withColumns({"linked_saved": F.lit(0).cast("long"), "linked_errors": F.lit(0).cast("long"), "_told": F.lit("")})
+        else:
+            good = F.startswith("status", F.lit("OK")) | F.startswith("status", F.lit("SKIPPED_EXISTS"))
+            told = F.when(~good, F.struct("place", F.concat("original_url", F.lit(" -> "), "status", F.lit(": "), text(F.col("error"))).alias("line")))
+            sums = below.groupBy(F.col("parent").alias("path")).agg(
+                F.sum(F.when(good, F.greatest(F.lit(1), F.col("linked_saved"))).otherwise(0)).alias("linked_saved"), F.sum(F.when(good, 0).otherwise(1)).cast("long").alias("linked_errors"),
+                F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(told)), 1, messages), lambda x: x["line"]), " | ").alias("_told"),
+            )
+            rows = rows.join(sums, "path", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("linked_saved", "linked_errors")})
+        told = F.when(F.col("linked_errors") > 0, F.concat(F.lit("errors of links: "), F.col("_told")))
+        rows = rows.withColumn("status", status(F.col("linked_saved"))).withColumn("error", join_errors(F.col("error"), told)).drop("_told")
+        below = stored(rows.select(*items.columns, "linked_saved", "linked_errors", "status"), f"settled-{depth}")
+        out = below if out is None else out.unionByName(below)
     return out
 
 

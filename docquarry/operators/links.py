@@ -69,6 +69,13 @@ def planned(links: DataFrame, navigation: Column, key: str = "page_id", max_chai
     return cut(portal, max_chain).unionByName(cut(other, max_links))
 
 
+def plan(links: DataFrame, key: str = "page_id", max_chain: int = 0, max_links: int = 0) -> DataFrame:
+    """What a crawl tries on each page: links (key, base, ord, url, title) that are worth following, the first of each
+    canonical key, in place. A page that is a portal is a place of navigation. key becomes src."""
+    kept = followable(links, key).withColumn("navigation", U.is_generic(F.col("base")))
+    return planned(kept, F.col("navigation"), key, max_chain, max_links).select(F.col(key).alias("src"), "place", "url", "title", "link_key", "navigation")
+
+
 def summary(links: DataFrame, key: str = "page_id") -> DataFrame:
     """key, text: a line for each link, with its title if it has one."""
     line = F.concat(F.lit("- "), F.when(link_text(F.col("title"), 180) != "", F.concat(link_text(F.col("title"), 180), F.lit(": "))).otherwise(""), F.col("url"))

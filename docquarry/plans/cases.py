@@ -28,17 +28,10 @@ TYPES = (
     ("http://a.org/x", "image/png", "", ""), ("http://a.org/x.verylongextension", "unknown/unknown", "", ""), ("http://a.org/x", "", "  <!DocType HTML>", ""),
     ("http://a.org/x", "", "", "attachment; filename=b.doc"), ("http://a.org/x", "application/xhtml+xml", "", ""),
 )
-LINKS = (("a", "b", 0), ("a", "c", 1), ("b", "a", 0), ("b", "d", 1), ("c", "d", 0), ("d", "e", 0), ("d", "a", 1), ("e", "f", 0))
-ITEMS = (("r", None, 0, "OK_HTML_TEXT"), ("c1", "r", 1, "OK_PDF"), ("c2", "r", 1, "OK_LINKED_DOCUMENTS"), ("c3", "r", 1, "ERROR"), ("g1", "c2", 2, "OK_PDF"), ("g2", "c2", 2, "SKIPPED_EXISTS"), ("g3", "c2", 2, "ERROR"), ("s", None, 0, "DRY_RUN"))
 ATTEMPTS = (
     ("i1", 0, 1, "http://a/1", False, "404"), ("i1", 0, 2, "http://a/1", False, "500"), ("i1", 1, 1, "https://a/1", True, ""), ("i2", 0, 1, "http://a/2", True, ""),
     *(("i3", k // 3, k % 3 + 1, f"http://a/3/{k // 3}", False, f"e{k}") for k in range(9)),
 )
-STATES = tuple(
-    (t, e, b, m, f, s, g, n, x) for t in ("HTML_TEXT", "TEXT", "PDF") for e in (False, True) for b in (False, True) for m in (False, True) for f in (False, True)
-    for s in (0, 2) for g in (False, True) for n in (False, True) for x in (False, True)
-)
-STATE_DDL = "file_type string, found boolean, bad_text boolean, has_bom boolean, follow boolean, linked_saved int, generic boolean, needs_links boolean, failed boolean"
 FOLDERS = (("05_Нормы\\01_Контрольные источники", "x"), ("a/b\\\\c", "Официальный раздел"), ("plain", "plain"), ("", ""))
 
 

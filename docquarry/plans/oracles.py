@@ -6,7 +6,7 @@ from ..lexicons import (
     ALLOWED_GENERIC, ALLOWED_HOSTS, BAD_TITLES, BAD_URL_PARTS, BASE_URL, BINARY_SUFFIXES, BOILERPLATE_LINES, DOCUMENT_SUFFIXES, GENERIC_PATHS, KEPT_WORDS, LEGAL_MARKERS,
     MOJIBAKE, SECTION_ITEMS, SECTION_NAMES, START_WORDS, STOP_WORDS, SYNONYMS, YEARS,
 )
-from . import cases
+from . import cases, site
 from .cases import values
 
 MARKERS, BOILERPLATE, STARTS = ("the", "tion", "des", "ung"), ("is.", "of.", "it.", "that it."), ("the", "that", "les", "der")
@@ -174,18 +174,6 @@ ORACLES: dict[str, str] = {
     "error_log": f"WITH {RESULTS} SELECT num, 't' AS title, status, '' AS error, CAST(NULL AS VARCHAR) AS note FROM r WHERE status = 'ERROR'",
     "registry_select": f"WITH {RESULTS} SELECT ord, num, status FROM r WHERE num IN ('1', '2', '3') ORDER BY ord LIMIT 40 OFFSET 4",
     "skip_existing": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "crawl_depth2": f"""WITH RECURSIVE l AS ({values(cases.LINKS, 'src, dst, ord')}), r AS (SELECT 'a' AS node, 'a' AS root, 0 AS depth, ['a'] AS path UNION ALL
-        SELECT l.dst, r.root, r.depth + 1, list_append(r.path, l.dst) FROM r JOIN l ON l.src = r.node WHERE r.depth < 2 AND NOT list_contains(r.path, l.dst)) SELECT node, root, depth, array_to_string(path, '>') AS path FROM r""",
-    "linked_saved": f"""WITH i AS ({values(cases.ITEMS, 'id, parent, depth, status')}), g AS (SELECT *, status LIKE 'OK%' OR status LIKE 'SKIPPED_EXISTS%' AS good FROM i),
-        two AS (SELECT parent AS id, count(*) FILTER (good) AS s, count(*) FILTER (NOT good) AS e FROM g WHERE depth = 2 GROUP BY parent),
-        one AS (SELECT g.parent AS id, coalesce(sum(greatest(1, coalesce(two.s, 0))) FILTER (good), 0) AS s, count(*) FILTER (NOT good) AS e FROM g LEFT JOIN two ON two.id = g.id WHERE depth = 1 GROUP BY g.parent)
-        SELECT g.id, CAST(CASE depth WHEN 0 THEN coalesce(one.s, 0) WHEN 1 THEN coalesce(two.s, 0) ELSE 0 END AS BIGINT) AS linked_saved, CAST(CASE depth WHEN 0 THEN coalesce(one.e, 0) WHEN 1 THEN coalesce(two.e, 0) ELSE 0 END AS BIGINT) AS linked_errors
-        FROM g LEFT JOIN one ON one.id = g.id LEFT JOIN two ON two.id = g.id""",
-    "status_machine": f"""WITH s AS ({values(cases.STATES, 'file_type, found, bad_text, has_bom, follow, linked_saved, generic, needs_links, failed')}) SELECT *, CASE WHEN failed THEN 'ERROR'
-        WHEN found AND file_type = 'PDF' THEN 'SKIPPED_EXISTS' WHEN found AND file_type = 'TEXT' AND has_bom AND NOT bad_text THEN 'SKIPPED_EXISTS' WHEN found AND file_type = 'HTML_TEXT' AND has_bom AND NOT bad_text AND NOT follow THEN 'SKIPPED_EXISTS'
-        WHEN file_type = 'PDF' THEN 'OK_PDF' WHEN file_type = 'TEXT' THEN CASE WHEN found THEN 'OK_TEXT_REPAIRED' ELSE 'OK_TEXT' END
-        WHEN needs_links AND linked_saved = 0 THEN 'ERROR_NO_LINKED_DOCUMENTS' WHEN found AND has_bom AND NOT bad_text THEN CASE WHEN linked_saved > 0 THEN 'SKIPPED_EXISTS_LINKS_PROCESSED' ELSE 'SKIPPED_EXISTS' END
-        WHEN generic AND linked_saved > 0 AND follow THEN 'OK_LINKED_DOCUMENTS' WHEN found THEN 'OK_HTML_TEXT_REPAIRED' ELSE 'OK_HTML_TEXT' END AS status FROM s""",
     "fetch_fallback": f"""WITH a AS ({values(cases.ATTEMPTS, 'item, cand_ord, try_no, url, ok, error')}), n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY cand_ord, try_no) AS k FROM a),
         b AS (SELECT item, min(k) FILTER (ok) AS hit FROM n GROUP BY item), f AS (SELECT n.item, n.error, n.k, row_number() OVER (PARTITION BY n.item ORDER BY k DESC) AS back FROM n JOIN b USING (item) WHERE NOT ok AND (hit IS NULL OR k < hit))
         SELECT b.item, (SELECT url FROM n WHERE n.item = b.item AND n.k = b.hit) AS url, coalesce((SELECT string_agg(error, ' | ' ORDER BY k) FROM f WHERE f.item = b.item AND back <= 6), '') AS errors, CASE WHEN hit IS NULL THEN 'ERROR' ELSE 'OK' END AS status FROM b""",
@@ -214,3 +202,37 @@ ORACLES |= {
     "decoded_pages": "SELECT page_id, html AS text, 'utf-8' AS charset FROM pages",
     "page_titles": f"SELECT page_id, {norm(_plain('''regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)'''))} AS title FROM pages",
 }
+
+#: The site of site.py: links of each page that are tried, in place; pages of another host lead nowhere.
+_SITE = f"""{LINKS}, n AS (SELECT count(*) AS n FROM pages),
+    t AS (SELECT page_id, ord, title, {site.TARGET_SQL.format("(SELECT n FROM n)")} AS to_page FROM found WHERE page_id % 7 <> 3),
+    u AS (SELECT *, {site.URL_SQL.format("to_page")} AS url FROM t WHERE to_page % 7 <> 3 QUALIFY row_number() OVER (PARTITION BY page_id, to_page ORDER BY ord) = 1),
+    plan AS (SELECT * FROM (SELECT *, true AS navigation, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN to_page % 3 = 0 THEN 0 ELSE 2 END, length(title), url, ord) AS place FROM u WHERE page_id % 3 <> 0) WHERE place <= 4
+        UNION ALL SELECT * FROM (SELECT *, false AS navigation, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS place FROM u WHERE page_id % 3 = 0 AND to_page % 3 = 0) WHERE place <= 3)"""
+_WALK = """walk AS (SELECT CAST(page_id AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, page_id AS id, page_id AS page, 't' AS title, 'r' AS folder, [page_id] AS seen, CAST(0 AS BIGINT) AS place FROM pages
+    UNION ALL SELECT w.path || '.' || lpad(CAST(p.place AS VARCHAR), 2, '0'), w.path, w.depth + 1, w.id, p.to_page, p.title, w.folder || '/' || w.path || '_вложения', list_append(w.seen, p.to_page), p.place
+    FROM walk w JOIN {0} p ON p.page_id = w.page WHERE w.depth < 2 AND NOT (p.navigation AND list_contains(w.seen, p.to_page)))"""
+_STATE = """CASE WHEN NOT ok THEN 'ERROR' WHEN file_type = 'TEXT' THEN CASE WHEN found THEN 'SKIPPED_EXISTS' ELSE 'OK_TEXT' END WHEN generic AND linked_saved = 0 THEN 'ERROR_NO_LINKED_DOCUMENTS'
+    WHEN found THEN CASE WHEN linked_saved > 0 THEN 'SKIPPED_EXISTS_LINKS_PROCESSED' ELSE 'SKIPPED_EXISTS' END WHEN generic AND linked_saved > 0 THEN 'OK_LINKED_DOCUMENTS' ELSE 'OK_HTML_TEXT' END AS status"""
+_BELOW = """g{0} AS (SELECT *, CASE WHEN ok THEN '' ELSE 'no response' END AS own_error FROM s{0}),
+    c{0} AS (SELECT parent AS path, sum(CASE WHEN status LIKE 'OK%' OR status LIKE 'SKIPPED_EXISTS%' THEN greatest(1, linked_saved) ELSE 0 END) AS ls, count(*) FILTER (status LIKE 'ERROR%') AS le,
+        array_to_string(list(url || ' -> ' || status || ': ' || error ORDER BY place) FILTER (status LIKE 'ERROR%')[1:5], ' | ') AS told FROM g{0} GROUP BY parent),
+    s{1} AS (SELECT *, {2}, concat_ws(' | ', CASE WHEN ok THEN NULL ELSE 'no response' END, CASE WHEN linked_errors > 0 THEN 'errors of links: ' || told END) AS error
+        FROM (SELECT i.*, CAST(coalesce(ls, 0) AS BIGINT) AS linked_saved, coalesce(le, 0) AS linked_errors, told FROM i LEFT JOIN c{0} USING (path) WHERE depth = {1}))"""
+ORACLES |= {
+    "crawl_depth2": f"""WITH RECURSIVE {_SITE}, {_WALK.format("plan")}
+        SELECT path, parent, depth, id, path AS num, title, folder, {site.URL_SQL.format("page")} AS original_url FROM walk""",
+    "linked_saved": f"""WITH RECURSIVE {_SITE}, html AS (SELECT * FROM plan WHERE page_id % 11 <> 0 AND page_id % 6 <> 0), {_WALK.format("html")},
+        i AS (SELECT w.*, {site.URL_SQL.format("page")} AS url, page % 11 <> 0 AS ok, CASE WHEN page % 11 = 0 THEN '' WHEN page % 6 = 0 AND page % 7 <> 3 THEN 'TEXT' ELSE 'HTML_TEXT' END AS file_type, page % 7 <> 3 AND page % 3 <> 0 AS generic,
+            depth = 0 AND length(p.html) % 4 = 1 AS found FROM walk w JOIN pages p ON p.page_id = w.page),
+        s2 AS (SELECT *, {_STATE}, CASE WHEN ok THEN '' ELSE 'no response' END AS error FROM (SELECT *, CAST(0 AS BIGINT) AS linked_saved, CAST(0 AS BIGINT) AS linked_errors, '' AS told FROM i WHERE depth = 2)),
+        {_BELOW.format(2, 1, _STATE)}, {_BELOW.format(1, 0, _STATE)}
+        SELECT path, depth, path AS num, url AS original_url, file_type, status, linked_saved, linked_errors, error FROM (SELECT * FROM s0 UNION ALL BY NAME SELECT * FROM s1 UNION ALL BY NAME SELECT * FROM s2)""",
+    "status_machine": """WITH s AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'HTML_TEXT' WHEN 'F' THEN 'TEXT' ELSE 'PDF' END AS file_type, o_orderkey % 2 = 0 AS found, o_orderkey // 2 % 2 = 0 AS bad_text, o_orderkey // 4 % 2 = 0 AS has_bom,
+            o_orderkey // 8 % 2 = 0 AS follow, o_orderkey // 16 % 2 = 0 AS generic, o_orderkey // 32 % 2 = 0 AS needs_links, o_custkey % 3 AS linked_saved, o_custkey % 5 = 0 AS failed FROM orders)
+        SELECT o_orderkey, CASE WHEN failed THEN 'ERROR' WHEN found AND file_type = 'PDF' THEN 'SKIPPED_EXISTS' WHEN found AND file_type = 'TEXT' AND has_bom AND NOT bad_text THEN 'SKIPPED_EXISTS'
+            WHEN found AND file_type = 'HTML_TEXT' AND has_bom AND NOT bad_text AND NOT follow THEN 'SKIPPED_EXISTS'
+            WHEN file_type = 'PDF' THEN 'OK_PDF' WHEN file_type = 'TEXT' THEN CASE WHEN found THEN 'OK_TEXT_REPAIRED' ELSE 'OK_TEXT' END
+            WHEN needs_links AND linked_saved = 0 THEN 'ERROR_NO_LINKED_DOCUMENTS' WHEN found AND has_bom AND NOT bad_text THEN CASE WHEN linked_saved > 0 THEN 'SKIPPED_EXISTS_LINKS_PROCESSED' ELSE 'SKIPPED_EXISTS' END
+            WHEN generic AND linked_saved > 0 AND follow THEN 'OK_LINKED_DOCUMENTS' WHEN found THEN 'OK_HTML_TEXT_REPAIRED' ELSE 'OK_HTML_TEXT' END AS status FROM s""",
+}

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import classify, names, query, text, url
 from ..operators import crawl, lines, links, search
 from ..sources import encoding, html_tree
-from . import cases
+from ..storage import stored
+from . import acquire, cases, site
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -342,20 +343,34 @@ def skip_existing(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def crawl_depth2(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.createDataFrame([("a",)], "node string")
-    got = crawl.crawl(seeds, cases.frame(spark, cases.LINKS, "src string, dst string, ord int"), 2)
-    return got.select("node", "root", "depth", F.array_join("path", ">").alias("path"))
+    """From every page of the site along its planned links: portals' links ranked, the first four; other pages' documents."""
+    pages = _t(spark, d, "pages")
+    plan = stored(links.plan(site.site_links(pages), "page_id", max_chain=4, max_links=3).withColumn("src", url.canonical_key(site.page_url("src"))), "plan")
+    return crawl.walk(site.items(pages), plan, max_depth=2).select("path", "parent", "depth", "id", "num", "title", "folder", "original_url")
+
+
+def _acquired(spark: SparkSession, d: str) -> DataFrame:
+    """The site's pages as items, some of which are there already."""
+    pages = _t(spark, d, "pages")
+    answers = stored(site.responses(pages), "responses")
+    there = acquire.acquire(site.items(pages), answers, None, acquire.Options(follow_page_links=False)).join(pages.select(F.col("page_id").alias("id"), F.length("html").alias("n")), "id")
+    old = stored(there.where("n % 4 = 1 and status <> 'ERROR'").select("saved_to", F.lit("\ufeffstored").alias("text")), "existing")
+    return acquire.acquire(site.items(pages), answers, old, acquire.Options(max_chain=4, max_links=3))
 
 
 @register
 def linked_saved(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.saved_below(cases.frame(spark, cases.ITEMS, "id string, parent string, depth int, status string")).select("id", "linked_saved", "linked_errors")
+    return _acquired(spark, d).select("path", "depth", "num", "original_url", "file_type", "status", "linked_saved", "linked_errors", "error")
 
 
 @register
 def status_machine(spark: SparkSession, d: str) -> DataFrame:
-    rows = cases.frame(spark, cases.STATES, cases.STATE_DDL)
-    return rows.withColumn("status", crawl.item_status(*(F.col(c) for c in rows.columns)))
+    """Every combination that the item state depends on, read from the columns of the orders."""
+    o = _t(spark, d, "orders")
+    bit = lambda n: F.floor(F.col("o_orderkey") / n) % 2 == 0
+    kind = F.when(F.col("o_orderstatus") == "O", "HTML_TEXT").when(F.col("o_orderstatus") == "F", "TEXT").otherwise("PDF")
+    rows = o.select("o_orderkey", kind.alias("file_type"), *(bit(1 << k).alias(c) for k, c in enumerate(("found", "bad_text", "has_bom", "follow", "generic", "needs_links"))), (F.col("o_custkey") % 3).cast("int").alias("linked_saved"), (F.col("o_custkey") % 5 == 0).alias("failed"))
+    return rows.select("o_orderkey", crawl.item_status(*(F.col(c) for c in ("file_type", "found", "bad_text", "has_bom", "follow", "linked_saved", "generic", "needs_links", "failed"))).alias("status"))
 
 
 @register

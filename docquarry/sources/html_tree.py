@@ -375,21 +375,24 @@ def _found(html: str) -> list[dict]:
     return out
 
 
+def _anchored(pages: DataFrame) -> DataFrame:
+    got = _parsed(pages.withColumn("base", F.col("url")), _found, pa.list_(_ANCHOR), "array<struct<ord int, href string, title string, around string, near string>>", "page_id", "base")
+    return got.select("page_id", "base", F.inline("found")).where(~U.is_skipped_href(F.col("href"))).withColumn("url", U.join(F.col("base"), F.col("href")))
+
+
 def anchors(pages: DataFrame) -> DataFrame:
     """page_id, base, ord, href, url, title, snippet. title: the anchor's text; where it is short, what stands around it."""
-    got = _parsed(pages.withColumn("base", F.col("url")), _found, pa.list_(_ANCHOR), "array<struct<ord int, href string, title string, around string, near string>>", "page_id", "base")
-    rows = got.select("page_id", "base", F.inline("found"))
-    kept = rows.where(~U.is_skipped_href(F.col("href")))
     own, near = link_text(F.col("title")), norm_space(F.col("near"))
     title = F.when((F.length(own) < 8) & (near != ""), F.left(near, F.lit(180))).otherwise(own)
-    return kept.select("page_id", "base", "ord", "href", U.join(F.col("base"), F.col("href")).alias("url"), title.alias("title"), F.left(near, F.lit(500)).alias("snippet"), norm_space(F.col("around")).alias("around"))
+    return _anchored(pages).select("page_id", "base", "ord", "href", "url", title.alias("title"), F.left(near, F.lit(500)).alias("snippet"), norm_space(F.col("around")).alias("around"))
 
 
-def upgraded_title(rows: DataFrame) -> DataFrame:
-    """Titles of followable links: the paragraph around an anchor if it holds the anchor's text and is short enough."""
-    own = link_text(F.col("title"))
-    fits = (own != "") & F.contains(F.col("around"), own) & (F.length("around") <= 260) & (U.pravo_nd(F.col("url")) == "")
-    return rows.withColumn("title", F.when(fits, link_text(F.col("around"))).otherwise(own))
+def page_links(pages: DataFrame) -> DataFrame:
+    """page_id, base, ord, url, title of all anchors, for a crawl. title: the paragraph around an anchor if it holds the
+    anchor's text and is short enough, else that text."""
+    own, around = link_text(F.col("title")), norm_space(F.col("around"))
+    fits = (own != "") & F.contains(around, own) & (F.length(around) <= 260) & (U.pravo_nd(F.col("url")) == "")
+    return _anchored(pages).select("page_id", "base", "ord", "url", F.when(fits, link_text(around)).otherwise(own).alias("title"))
 
 
 def _title(html: str) -> str:

@@ -122,9 +122,48 @@ def test_texts_are_added_once(spark, tmp_path):
 
 
 def test_crawl_lets_siblings_share_a_child(spark):
-    links = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("c", "d", 0), ("d", "a", 0)], "src string, dst string, ord int")
-    got = crawl.crawl(spark.createDataFrame([("a",)], "node string"), links, 3)
-    assert sorted("".join(r["path"]) for r in got.collect()) == ["a", "ab", "abd", "ac", "acd"]
+    """Portals leave out what was visited on the way to them, other pages don't; a shared child comes once for each way."""
+    edges = [("a", "b", 1, True), ("a", "c", 2, True), ("b", "d", 1, True), ("c", "d", 1, True), ("d", "a", 1, True), ("d", "e", 2, True), ("e", "d", 1, False), ("b", "a", 2, True)]
+    u = lambda x: f"http://h.org/{x}"
+    plan = spark.createDataFrame([(u(s), p, u(d), d, u(d), n) for s, d, p, n in edges], "src string, place int, url string, title string, link_key string, navigation boolean")
+    items = spark.createDataFrame([(7, "7", "t", "f", u("a"))], "id long, num string, title string, folder string, original_url string")
+    got = sorted((r["path"], r["title"], r["num"], r["depth"]) for r in crawl.walk(items, plan, max_depth=4).collect())
+    assert got == [
+        ("7", "t", "7", 0), ("7.01", "b", "7.01", 1), ("7.01.01", "d", "7.01.01", 2), ("7.01.01.02", "e", "7.01.01.02", 3), ("7.01.01.02.01", "d", "7.01.01.02.01", 4),
+        ("7.02", "c", "7.02", 1), ("7.02.01", "d", "7.02.01", 2), ("7.02.01.02", "e", "7.02.01.02", 3), ("7.02.01.02.01", "d", "7.02.01.02.01", 4),
+    ]
+
+
+def test_states_follow_from_the_links_states(spark):
+    """saved: a child that saved three below counts three, a failed one is an error with its message, at most as many as asked."""
+    rows = [("r", None, 0, 0, "u", "", "page"), ("r.1", "r", 1, 1, "u1", "", "page"), ("r.2", "r", 1, 2, "u2", "gone", "bad"), ("r.3", "r", 1, 3, "u3", "lost", "bad"), *((f"r.1.{k}", "r.1", 2, k, f"v{k}", "", "file") for k in (1, 2, 3)), ("s", None, 0, 0, "x", "own", "page")]
+    items = spark.createDataFrame(rows, "path string, parent string, depth int, place int, original_url string, error string, kind string")
+    status = lambda n: F.when(F.col("kind") == "bad", "ERROR").when((F.col("kind") == "page") & (n == 0), "ERROR_NO_LINKED_DOCUMENTS").otherwise("OK")
+    got = {r["path"]: (r["status"], r["linked_saved"], r["linked_errors"], r["error"]) for r in crawl.settled(items, status, 2, messages=1).collect()}
+    assert got["r.1"] == ("OK", 3, 0, "") and got["r"] == ("OK", 3, 2, "errors of links: u2 -> ERROR: gone") and got["s"] == ("ERROR_NO_LINKED_DOCUMENTS", 0, 0, "own")
+
+
+def test_linked_documents_of_a_portal(spark):
+    """A section's documents are its children, named and numbered after it; the section is OK through them; a second
+    section that leads back is not followed in circles."""
+    from docquarry.plans.acquire import Options, acquire
+
+    items = spark.createDataFrame([(1, "5", "Раздел", "a", "http://vsrf.ru/documents")], "id long, num string, title string, folder string, original_url string")
+    top = '<ul><li>Обзор практики <a href="/documents/own/7">№ 7</a></li></ul><p><a href="/documents/own?page=2">далее</a></p><a href="/about">о нас</a><a href="/documents/own/9">нет</a>'
+    more = '<a href="/documents">назад</a><a href="/documents/own/7">снова</a><a href="/documents/own/8.pdf">файл</a>'
+    page = lambda u, body, kind="text/html": (u, None, 200, kind, None, None, body.encode())
+    rows = [page("http://vsrf.ru/documents", top), page("http://vsrf.ru/documents/own/7", "<p>Постановление</p>"), page("http://vsrf.ru/documents/own?page=2", more), page("http://vsrf.ru/documents/own/8.pdf", "%PDF-1.4", "application/pdf")]
+    resp = spark.createDataFrame(rows, "url string, final_url string, http_status int, content_type string, content_disposition string, http_encoding string, body binary")
+    got = {r["path"]: r for r in acquire(items, resp).collect()}
+    found = {k: (r["original_url"].removeprefix("http://vsrf.ru/documents"), r["status"], r["linked_saved"], r["linked_errors"]) for k, r in got.items()}
+    assert found == {
+        "1": ("", "OK_LINKED_DOCUMENTS", 3, 1), "1.01": ("/own/9", "ERROR", 0, 0), "1.02": ("/own/7", "OK_HTML_TEXT", 0, 0), "1.03": ("/own?page=2", "OK_LINKED_DOCUMENTS", 2, 0),
+        "1.03.01": ("/own/8.pdf", "OK_PDF", 0, 0), "1.03.02": ("/own/7", "OK_HTML_TEXT", 0, 0),
+    }
+    assert got["1.02"]["num"] == "5.02" and "5_вложения" in got["1.02"]["saved_to"] and "Обзор практики № 7" in got["1.02"]["saved_to"].replace("_", " ")
+    assert "http://vsrf.ru/documents/own/9 -> ERROR: no response" in got["1"]["error"]
+    alone = acquire(items, resp, None, Options(follow_page_links=False)).collect()
+    assert [(r["path"], r["status"]) for r in alone] == [("1", "ERROR_NO_LINKED_DOCUMENTS")]
 
 
 def test_search_response(spark):
