@@ -28,10 +28,6 @@ TYPES = (
     ("http://a.org/x", "image/png", "", ""), ("http://a.org/x.verylongextension", "unknown/unknown", "", ""), ("http://a.org/x", "", "  <!DocType HTML>", ""),
     ("http://a.org/x", "", "", "attachment; filename=b.doc"), ("http://a.org/x", "application/xhtml+xml", "", ""),
 )
-ATTEMPTS = (
-    ("i1", 0, 1, "http://a/1", False, "404"), ("i1", 0, 2, "http://a/1", False, "500"), ("i1", 1, 1, "https://a/1", True, ""), ("i2", 0, 1, "http://a/2", True, ""),
-    *(("i3", k // 3, k % 3 + 1, f"http://a/3/{k // 3}", False, f"e{k}") for k in range(9)),
-)
 FOLDERS = (("05_Нормы\\01_Контрольные источники", "x"), ("a/b\\\\c", "Официальный раздел"), ("plain", "plain"), ("", ""))
 
 

@@ -174,9 +174,6 @@ ORACLES: dict[str, str] = {
     "error_log": f"WITH {RESULTS} SELECT num, 't' AS title, status, '' AS error, CAST(NULL AS VARCHAR) AS note FROM r WHERE status = 'ERROR'",
     "registry_select": f"WITH {RESULTS} SELECT ord, num, status FROM r WHERE num IN ('1', '2', '3') ORDER BY ord LIMIT 40 OFFSET 4",
     "skip_existing": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "fetch_fallback": f"""WITH a AS ({values(cases.ATTEMPTS, 'item, cand_ord, try_no, url, ok, error')}), n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY cand_ord, try_no) AS k FROM a),
-        b AS (SELECT item, min(k) FILTER (ok) AS hit FROM n GROUP BY item), f AS (SELECT n.item, n.error, n.k, row_number() OVER (PARTITION BY n.item ORDER BY k DESC) AS back FROM n JOIN b USING (item) WHERE NOT ok AND (hit IS NULL OR k < hit))
-        SELECT b.item, (SELECT url FROM n WHERE n.item = b.item AND n.k = b.hit) AS url, coalesce((SELECT string_agg(error, ' | ' ORDER BY k) FROM f WHERE f.item = b.item AND back <= 6), '') AS errors, CASE WHEN hit IS NULL THEN 'ERROR' ELSE 'OK' END AS status FROM b""",
 }
 
 #: The character references that the pages hold, cut-off ones too.
@@ -219,7 +216,20 @@ _BELOW = """g{0} AS (SELECT *, CASE WHEN ok THEN '' ELSE 'no response' END AS ow
         array_to_string(list(url || ' -> ' || status || ': ' || error ORDER BY place) FILTER (status LIKE 'ERROR%')[1:5], ' | ') AS told FROM g{0} GROUP BY parent),
     s{1} AS (SELECT *, {2}, concat_ws(' | ', CASE WHEN ok THEN NULL ELSE 'no response' END, CASE WHEN linked_errors > 0 THEN 'errors of links: ' || told END) AS error
         FROM (SELECT i.*, CAST(coalesce(ls, 0) AS BIGINT) AS linked_saved, coalesce(le, 0) AS linked_errors, told FROM i LEFT JOIN c{0} USING (path) WHERE depth = {1}))"""
+_PLACE = lambda x: f"({site.HOST_SQL.format(x)} || '/p/' || {x})"
 ORACLES |= {
+    "fetch_fallback": f"""WITH f AS (SELECT page_id AS item, html, unnest(range(2)) AS cand_ord, unnest(['http' || regexp_replace(url, '^[^:]+', ''), 'https' || regexp_replace(url, '^[^:]+', '')]) AS url FROM pages),
+        t AS (SELECT *, {site.ANSWER_SQL} AS http_status FROM f, unnest(range(1, 4)) AS x(try_no)),
+        n2 AS (SELECT *, coalesce(http_status < 400, false) AS ok, row_number() OVER (PARTITION BY item ORDER BY cand_ord, try_no) AS k FROM t),
+        h AS (SELECT item, min(k) FILTER (ok) AS hit FROM n2 GROUP BY item), m AS (SELECT n2.* FROM n2 JOIN h USING (item) WHERE k <= coalesce(hit, 6)),
+        e AS (SELECT *, url || ' attempt ' || try_no || '/3: ' || coalesce('HTTP ' || http_status, 'Timeout') AS error FROM m WHERE NOT ok)
+        SELECT item, max(url) FILTER (ok) AS url, coalesce(max(errors), '') AS errors, CASE WHEN bool_or(ok) THEN 'OK' ELSE 'ERROR' END AS status, count(*) AS requests, CAST(2 * count(*) FILTER (try_no > 1) AS DOUBLE) AS waited
+        FROM m LEFT JOIN (SELECT item, string_agg(error, ' | ' ORDER BY k) AS errors FROM e GROUP BY item) USING (item) GROUP BY item""",
+    "redirects": f"""WITH RECURSIVE g AS (SELECT page_id AS p, {site.HOP_SQL.format("page_id")} AS q FROM pages), h AS (SELECT {_PLACE("p")} AS place, CASE WHEN q IS NOT NULL THEN {_PLACE("q")} END AS next FROM g),
+        r AS (SELECT place AS url, place, 0 AS n, [place] AS seen, CAST(NULL AS VARCHAR) AS error FROM h UNION ALL
+            SELECT r.url, CASE WHEN list_contains(seen, next) AND n < 8 THEN r.place ELSE next END, CASE WHEN list_contains(seen, next) AND n < 8 THEN n ELSE n + 1 END, list_append(seen, next),
+                CASE WHEN list_contains(seen, next) AND n < 8 THEN 'redirect loop' WHEN n = 8 THEN 'too many redirects' END FROM r JOIN h USING (place) WHERE next IS NOT NULL AND error IS NULL)
+        SELECT url, place AS final_url, n AS n_hops, error, place LIKE 'http://sniprf.ru/%' AND url LIKE 'http://sniprf.ru/%' AS allowed FROM r QUALIFY row_number() OVER (PARTITION BY url ORDER BY len(seen) DESC) = 1""",
     "crawl_depth2": f"""WITH RECURSIVE {_SITE}, {_WALK.format("plan")}
         SELECT path, parent, depth, id, path AS num, title, folder, {site.URL_SQL.format("page")} AS original_url FROM walk""",
     "linked_saved": f"""WITH RECURSIVE {_SITE}, html AS (SELECT * FROM plan WHERE page_id % 11 <> 0 AND page_id % 6 <> 0), {_WALK.format("html")},

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, names, query, text, url
 from ..operators import crawl, lines, links, search
-from ..sources import encoding, html_tree
+from ..sources import encoding, fetch, html_tree
 from ..storage import stored
 from . import acquire, cases, site
 
@@ -375,7 +375,19 @@ def status_machine(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def fetch_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.fetch_fallback(cases.frame(spark, cases.ATTEMPTS, "item string, cand_ord int, try_no int, url string, ok boolean, error string"))
+    """Rounds of requests for every page by a script of answers, then each item's outcome with its last errors."""
+    pages = _t(spark, d, "pages")
+    answers = site.script(pages, retries=3).dropDuplicates(["url", "try_no"])
+    made = fetch.attempts(pages.select(F.col("page_id").alias("item"), "url"), lambda due: due.join(answers, ["url", "try_no"]))
+    waited = made.groupBy("item").agg(F.count(F.lit(1)).alias("requests"), F.sum("wait").alias("waited"))
+    return crawl.fetch_fallback(made).join(waited, "item")
+
+
+@register
+def redirects(spark: SparkSession, d: str) -> DataFrame:
+    hops = site.hops(_t(spark, d, "pages"))
+    found = fetch.redirect_chains(hops.select("url"), hops)
+    return found.withColumn("allowed", fetch.is_allowed(F.col("url"), F.col("final_url")))
 
 
 @register

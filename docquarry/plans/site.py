@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import url as U
 from ..operators import links
 
 #: Pages of another host, documents, and sections, which are portals.
@@ -39,3 +40,25 @@ def responses(pages: DataFrame) -> DataFrame:
         page_url("page_id").alias("url"), F.lit(None).cast("string").alias("final_url"), F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("http_status"), F.when(plain, "text/plain").otherwise("text/html").alias("content_type"),
         F.lit(None).cast("string").alias("content_disposition"), F.lit("utf-8").alias("http_encoding"), F.when(plain, F.lit("plain text")).otherwise(F.concat("html", F.coalesce(tail, F.lit("")))).cast("binary").alias("body"),
     )
+
+
+#: A chain of redirects through the pages, its ends, jumps back, and hosts: of page {0}.
+HOP_SQL = "CASE WHEN {0} % 13 = 0 THEN NULL WHEN {0} % 29 = 5 THEN {0} - 3 WHEN {0} % 31 = 30 THEN {0} - 12 ELSE {0} + 1 END"
+HOST_SQL = "CASE WHEN {0} % 19 = 7 THEN 'http://other.org' ELSE 'http://sniprf.ru' END"
+#: What the script of requests answers to a try of a page's form.
+ANSWER_SQL = "CASE WHEN (length(html) + 7 * cand_ord + 3 * try_no) % 9 < 2 THEN 200 WHEN (length(html) + try_no) % 5 = 0 THEN NULL ELSE 404 + (length(html) + try_no) % 3 END"
+
+
+def hops(pages: DataFrame) -> DataFrame:
+    """url, http_status, location: a redirect of each page but the last ones of chains; relative within a host."""
+    rows = pages.select("page_id", F.expr(HOP_SQL.format("page_id")).alias("to_page"), F.expr(HOST_SQL.format("page_id")).alias("host")).withColumn("to_host", F.expr(HOST_SQL.format("to_page")))
+    path = F.concat(F.lit("/p/"), F.col("to_page").cast("string"))
+    location = F.when(F.col("host") == F.col("to_host"), path).otherwise(F.concat("to_host", path))
+    return rows.select(F.concat("host", F.lit("/p/"), F.col("page_id").cast("string")).alias("url"), F.when(F.col("to_page").isNull(), 200).otherwise(301 + F.col("page_id") % 2).cast("int").alias("http_status"), location.alias("location"))
+
+
+def script(pages: DataFrame, retries: int) -> DataFrame:
+    """url, try_no, http_status, error: what each request for a form of a page's URL gets."""
+    rows = pages.select("html", F.posexplode(U.candidates(F.col("url"))).alias("cand_ord", "url")).withColumn("try_no", F.explode(F.sequence(F.lit(1), F.lit(retries))))
+    status = F.expr(ANSWER_SQL)
+    return rows.select("url", "try_no", status.cast("int").alias("http_status"), F.when(status.isNull(), "Timeout").alias("error"))
