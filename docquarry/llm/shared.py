@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,17 +43,31 @@ def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of a batch that goes to a Python worker: the JVM and the worker each hold some of them at a time.
+SENT, SENT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """While a step is written: its shuffle files go when it has ended, and batches for Python are small."""
+    ours = {CLEANUP: "true", SENT: str(SENT_BYTES)}
+    before = {k: spark.conf.get(k).removesuffix("b") for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives the loss of executors. The shuffle
     files of df aren't needed beyond that and are removed at once."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with lean(spark):
         df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,13 +75,11 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like materialise(), in buckets by a key: tables with equally many buckets are joined on it without a shuffle. The
     files stay in the work folder; the table's name is in the catalogue only while it is looked up."""
     spark, table = df.sparkSession, f"docquarry_{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
     try:
-        df.write.bucketBy(buckets, key).option("path", work_dir(spark, name)).saveAsTable(table)
+        with lean(spark):
+            df.write.bucketBy(buckets, key).option("path", work_dir(spark, name)).saveAsTable(table)
         return spark.table(table)
     finally:
-        spark.conf.set(CLEANUP, before)
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
