@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lexicons import ALLOWED_GENERIC, LEGAL_MARKERS, MOJIBAKE, SHELL_MARKERS
+from ..lexicons import ALLOWED_GENERIC, LEGAL_MARKERS, MOJIBAKE, REPLACED, SHELL_MARKERS
 
 #: White space with the no-break and other Unicode spaces, which \s alone leaves out.
 WHITE = r"[\s\p{Z}]+"
@@ -113,27 +113,29 @@ def _controls(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]"))
 
 
-def mojibake_features(c: Column) -> dict[str, Column]:
-    sample = F.substring(text(c), 1, 200_000)
+def mojibake_features(c: Column, sample: int | None = None) -> dict[str, Column]:
+    """Counts of signs of a wrong charset, in the first `sample` characters or in all."""
+    part = text(c) if sample is None else F.substring(text(c), 1, sample)
     return {
-        "replacements": count_of(sample, "�") + count_of(sample, "пїЅ"),
-        "controls": _controls(sample).cast("long"),
-        "tokens": F.regexp_count(sample, F.lit(MOJIBAKE)).cast("long"),
-        "cyrillic": F.regexp_count(sample, F.lit(r"[\x{400}-\x{4FF}]")).cast("long"),
+        "replacements": count_of(part, "\ufffd") + count_of(part, REPLACED),
+        "controls": _controls(part).cast("long"),
+        "tokens": F.regexp_count(part, F.lit(f"(?d){MOJIBAKE}")).cast("long"),
+        "cyrillic": F.regexp_count(part, F.lit(r"[\x{400}-\x{4FF}]")).cast("long"),
     }
 
 
-def looks_like_mojibake(c: Column) -> Column:
-    f = mojibake_features(c)
+def looks_like_mojibake(c: Column, sample: int | None = None) -> Column:
+    f = mojibake_features(c, sample)
     return (f["replacements"] > 5) | (f["controls"] > 3) | ((f["tokens"] > 20) & (f["cyrillic"] < f["tokens"] * 2))
 
 
-def looks_like_shell(c: Column, markers: Iterable[str] = SHELL_MARKERS) -> Column:
-    """A viewer's page around a document rather than the document: two markers, and neither articles nor five points."""
-    sample = F.substring(text(c), 1, 20_000)
-    found = F.size(F.filter(F.array(*(F.lit(m) for m in markers)), lambda m: F.contains(sample, m)))
-    articles = sample.rlike(r"(?iU)\bСтатья\s+\d+\b|\bГлава\s+[IVXLC0-9]+\b")
-    points = F.regexp_count(sample, F.lit(r"(?md)^\s*\d+[.)]\s+\S+")) >= 5
+def looks_like_shell(c: Column, markers: Iterable[str] = SHELL_MARKERS, sample: int | None = None) -> Column:
+    """A viewer's page around a document rather than the document: two markers, and neither articles nor five points, in
+    the first `sample` characters or in all."""
+    part = text(c) if sample is None else F.substring(text(c), 1, sample)
+    found = F.size(F.filter(F.array(*(F.lit(m) for m in markers)), lambda m: F.contains(part, m)))
+    articles = part.rlike(r"(?iU)\bСтатья\s+\d+\b|\bГлава\s+[IVXLC0-9]+\b")
+    points = F.regexp_count(part, F.lit(r"(?md)^\s*\d+[.)]\s+\S+")) >= 5
     return (found >= 2) & ~(articles | points)
 
 

@@ -39,6 +39,12 @@ SHELL_MARKERS = ("Текст документа:", "Загрузка докум
 CHARSETS = ("windows-1251", "cp1251", "utf-8", "utf-8-sig", "koi8-r", "iso-8859-5", "iso-8859-1", "latin-1")
 #: Two characters that show text decoded with the wrong charset.
 MOJIBAKE = r"Р.|С.|Ð.|Ñ.|Г.|Â.|вЂ.|В«|В»"
+#: UTF-8's replacement character, read as cp1251; control characters but tab, line feed and carriage return.
+REPLACED, CONTROLS = "пїЅ", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+#: How a document names its charset.
+CHARSET_NAMED = (r"<meta[^>]+charset\s*=\s*['\"]?\s*([A-Za-z0-9_\-]+)", r"charset\s*=\s*['\"]?\s*([A-Za-z0-9_\-]+)", r"<\?xml[^>]+encoding\s*=\s*['\"]([^'\"]+)")
+CHARSET_POINTS = {"domain": 10_000, "function": 120, "cyrillic": 2, "controls": -5000, "replaced": -4000, "tokens": -800}
+CHARSET_BONUS = {"windows-1251": 2500, "cp1251": 2500, "utf-8": 1500, "utf-8-sig": 1500}
 DOMAIN_WORDS = (
     "Российской", "Российская", "Россия", "Федерации", "Федерация", "Конституция", "документ", "документы", "постановление", "приказ", "закон",
     "кодекс", "суд", "суда", r"судебн\w*", r"эксперт\w*", r"экспертиз\w*", "Министерство", "Минюст", "юстиции", "правительство", "текст",

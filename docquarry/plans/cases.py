@@ -28,6 +28,10 @@ TYPES = (
     ("http://a.org/x", "image/png", "", ""), ("http://a.org/x.verylongextension", "unknown/unknown", "", ""), ("http://a.org/x", "", "  <!DocType HTML>", ""),
     ("http://a.org/x", "", "", "attachment; filename=b.doc"), ("http://a.org/x", "application/xhtml+xml", "", ""),
 )
+#: Letters for texts of the pages in Cyrillic, and charsets of one byte a letter to write them in.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхижклмнопярстувшчыз"
+TAIL = "\nзакон о порядке"
+ONE_BYTE = ("windows-1251", "koi8-r", "iso-8859-5")
 FOLDERS = (("05_Нормы\\01_Контрольные источники", "x"), ("a/b\\\\c", "Официальный раздел"), ("plain", "plain"), ("", ""))
 
 

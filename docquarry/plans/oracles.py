@@ -121,11 +121,11 @@ ORACLES: dict[str, str] = {
         f AS (SELECT doc_id, length(text) AS n, {counts("low", MARKERS)} AS legal, CAST(len(regexp_extract_all(text, '(?im)^\\s*(?:[0-9]+[.)]|[а-я]\\))\\s+\\S+')) AS BIGINT) AS numbered, CAST(len(regexp_extract_all(text, '(?im)^\\s*статья\\s+[0-9]+')) AS BIGINT) AS articles,
         CAST(len(list_filter(ls, lambda x: length(x) > 80)) AS BIGINT) AS long_lines, CAST(len(list_filter(ls, lambda x: length(x) < 35)) AS BIGINT) AS short_lines, {counts("low", BOILERPLATE_LINES)} AS menu FROM b)
         SELECT doc_id, legal, numbered, articles, long_lines, short_lines, menu, CAST(n + legal * 1200 + numbered * 220 + articles * 700 + long_lines * 70 - short_lines * 35 AS DOUBLE) - menu * 450 AS score FROM f""",
-    "mojibake_flag": f"""WITH f AS (SELECT doc_id, {counts("left(text, 200000)", ("�", "пїЅ"))} AS replacements, len(regexp_extract_all(left(text, 200000), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]')) AS controls,
-        len(regexp_extract_all(left(text, 200000), '{MOJIBAKE}')) AS tokens, len(regexp_extract_all(left(text, 200000), '[\\x{{400}}-\\x{{4FF}}]')) AS cyrillic FROM documents)
+    "mojibake_flag": f"""WITH f AS (SELECT doc_id, {counts("text", ("�", "пїЅ"))} AS replacements, len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]')) AS controls,
+        len(regexp_extract_all(text, '{MOJIBAKE}')) AS tokens, len(regexp_extract_all(text, '[\\x{{400}}-\\x{{4FF}}]')) AS cyrillic FROM documents)
         SELECT *, replacements > 5 OR controls > 3 OR (tokens > 20 AND cyrillic < 2 * tokens) AS mojibake FROM f""",
-    "shell_flag": """SELECT doc_id, len(list_filter(['the', 'ing', 'des'], lambda m: contains(left(text, 20000), m))) >= 2 AND NOT (regexp_matches(left(text, 20000), '(?i)(^|[^\\p{L}\\p{N}_])(Статья\\s+\\d+|Глава\\s+[IVXLC0-9]+)([^\\p{L}\\p{N}_]|$)')
-        OR len(regexp_extract_all(left(text, 20000), '(?m)^\\s*\\d+[.)]\\s+\\S+')) >= 5) AS shell FROM documents""",
+    "shell_flag": """SELECT doc_id, len(list_filter(['the', 'ing', 'des'], lambda m: contains(text, m))) >= 2 AND NOT (regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(Статья\\s+\\d+|Глава\\s+[IVXLC0-9]+)([^\\p{L}\\p{N}_]|$)')
+        OR len(regexp_extract_all(text, '(?m)^\\s*\\d+[.)]\\s+\\S+')) >= 5) AS shell FROM documents""",
     "wrapped_word_repair": f"""WITH RECURSIVE l AS ({LINES}), c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, line FROM (SELECT doc_id, pos, regexp_replace(line, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS line FROM l) WHERE line <> ''),
         r AS (SELECT doc_id, i, line AS last, '' AS done FROM c WHERE i = 1 UNION ALL
             SELECT c.doc_id, c.i, CASE WHEN j THEN last || c.line ELSE c.line END, CASE WHEN j THEN done ELSE done || last || chr(10) END
@@ -197,6 +197,8 @@ ORACLES |= {
         SELECT url, length(title_low) < 3 OR {anyof("url_low", BAD_URL_PARTS)} OR title_low IN ({_in(BAD_TITLES)}) OR (NOT (regexp_matches(path_low, '/sp[0-9]') OR regexp_matches(title_low, '(^|[^\\p{{L}}\\p{{N}}_])сп\\s*[0-9]')) AND {SNIP}) AS bad,
             CASE WHEN regexp_matches(txt, '(^|[^\\p{{L}}\\p{{N}}_])сп\\s*[0-9]|/sp[0-9]') THEN 'СП' WHEN regexp_matches(txt, '(^|[^\\p{{L}}\\p{{N}}_])(гост|gost)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'ГОСТ' WHEN suffix = '.pdf' THEN 'PDF' WHEN suffix IN ('.doc', '.docx', '.rtf') THEN 'WORD' WHEN suffix IN ('.xls', '.xlsx') THEN 'EXCEL' ELSE 'HTML' END AS document_type FROM t""",
     "decoded_pages": "SELECT page_id, html AS text, 'utf-8' AS charset FROM pages",
+    "decoded_charsets": f"""SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', ' ', 'g') || chr(10) || translate(lower(regexp_replace(html, '[^\\x00-\\x7F]', ' ', 'g')), '{cases.LATIN}', '{cases.CYRILLIC}') || '{cases.TAIL}' AS text,
+        ['windows-1251', 'koi8-r', 'iso-8859-5'][1 + page_id % 3] AS charset FROM pages""",
     "page_titles": f"SELECT page_id, {norm(_plain('''regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)'''))} AS title FROM pages",
 }
 

@@ -413,3 +413,16 @@ def page_candidates(spark: SparkSession, d: str) -> DataFrame:
 @register
 def decoded_pages(spark: SparkSession, d: str) -> DataFrame:
     return encoding.decode(_t(spark, d, "pages").select("page_id", F.encode("html", "utf-8").alias("body")), "page_id")
+
+
+@register
+def decoded_charsets(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pages, followed by their text in Cyrillic letters, as bytes in three charsets by turns; each names UTF-8 and
+    has to be told by its letters. Java's latin 1 writes each character as the byte of its number."""
+    plain = F.regexp_replace("html", r"[^\x00-\x7F]", " ")
+    whole = F.concat(plain, F.lit("\n"), F.translate(F.lower(plain), cases.LATIN, cases.CYRILLIC), F.lit(cases.TAIL))
+    written = [F.translate(whole, cases.CYRILLIC, cases.CYRILLIC.encode(c).decode("latin-1")) for c in cases.ONE_BYTE]
+    body = F.when(F.col("page_id") % 3 == 0, written[0]).when(F.col("page_id") % 3 == 1, written[1]).otherwise(written[2])
+    got = encoding.decode(_t(spark, d, "pages").select("page_id", F.encode(body, "ISO-8859-1").alias("body")), "page_id")
+    # Detectors call the same charsets by other names.
+    return got.withColumn("charset", F.regexp_replace(F.regexp_replace(F.replace("charset", F.lit("_"), F.lit("-")), "^iso8859", "iso-8859"), "^cp", "windows-"))

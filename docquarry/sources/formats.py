@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_extracted, repair_wrapped_words
 from ..lexicons import RTF_SIGNS, RTF_SKIPPED
-from .encoding import TRIES, TRIES_DDL, attempts, best
+from .encoding import decode
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -170,24 +170,26 @@ LEGACY = {".doc": "legacy .doc isn't supported", ".xls": "legacy .xls isn't supp
 
 
 def _read(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """tries: the decodings of a CSV file, which isn't taken apart into columns; of other files the one text."""
     for batch in rows:
-        tries, errors = [], []
+        texts, errors = [], []
         for ext, body in zip(batch["ext"].to_pylist(), batch["body"].to_pylist(), strict=True):
             try:
                 reader = READERS.get(ext or "")
-                tries.append(attempts(body or b"") if ext == ".csv" else [{"charset": "", "decoded": reader(body or b"") if reader else ""}])
-                errors.append("" if reader or ext == ".csv" else LEGACY.get(ext or "", f"no text of {ext or 'unknown'} files"))
+                texts.append(reader(body or b"") if reader else "")
+                errors.append("" if reader else LEGACY.get(ext or "", f"no text of {ext or 'unknown'} files"))
             except Exception as e:  # noqa: BLE001  a broken file is a row with an error
-                tries.append([{"charset": "", "decoded": ""}])
+                texts.append("")
                 errors.append(f"{type(e).__name__}: {e}")
-        yield pa.RecordBatch.from_arrays([batch[key], batch["ext"], pa.array(tries, TRIES), pa.array(errors, pa.string())], names=[key, "ext", "tries", "error"])
+        yield pa.RecordBatch.from_arrays([batch[key], batch["ext"], pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[key, "ext", "text", "error"])
 
 
 def texts(files: DataFrame, key: str, ext: str = "ext", body: str = "body") -> DataFrame:
-    """key, ext, text, error: text of each file by its extension; broken and unknown ones have an error."""
+    """key, ext, text, error: text of each file by its extension; broken and unknown ones have an error. A CSV file is
+    decoded and isn't taken apart into columns."""
     kind = files.schema[key].dataType.simpleString()
-    got = files.select(key, F.lower(ext).alias("ext"), F.col(body).alias("body")).mapInArrow(lambda it: _read(it, key), f"{key} {kind}, ext string, tries {TRIES_DDL}, error string")
-    got = got.select(key, "ext", best(F.col("tries"))["decoded"].alias("text"), "error")
+    rows = files.select(key, F.lower(ext).alias("ext"), F.col(body).alias("body"))
+    table = F.col("ext").eqNullSafe(".csv")
+    got = rows.where(~table).mapInArrow(lambda it: _read(it, key), f"{key} {kind}, ext string, text string, error string")
+    got = got.unionByName(decode(rows.where(table), key).select(key, F.lit(".csv").alias("ext"), "text", F.lit("").alias("error")))
     repaired = F.when(F.col("ext") == ".rtf", repair_wrapped_words(F.col("text"))).otherwise(F.col("text"))
     return got.withColumn("text", normalize_extracted(repaired))
