@@ -31,11 +31,11 @@ from .shared import materialise, shuffle_parts, small
 U = np.uint64
 NUM, DEN = 90, 100
 SHINGLE = 3
-BATCH = 2 << 20
+BATCH = 1 << 20
 SKETCH, WIDE = 16, 128  #: longs of a parity sketch, and of the wider one for pairs that the first leaves
 FP = 48  #: bits of a signature by which shared ones are found; chance agreements only send a signature more
 #: Signatures that a task codes at once, and that an owner of fingerprints gets, on average.
-SENT, OWNED = 2_000_000, 3_000_000
+SENT, OWNED = 1_000_000, 2_000_000
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -191,6 +191,7 @@ def _coded(parts: Iterator, owners: int) -> Iterator[pa.RecordBatch]:
 def _repeated(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
     """Fingerprints that an owner was sent more than once, and how often."""
     fp, times = np.unique(np.concatenate([golomb.decode(b) for b in blobs["blob"]]), return_counts=True)
+    words.trim()
     return pd.DataFrame({"fp": fp[times > 1].astype(np.int64), "size": times[times > 1]})
 
 

@@ -7,7 +7,9 @@ probability near 2^-64 for a pair. Users that need certainty compare the bytes w
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -176,11 +178,28 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     return Words(h, doc, s, e, np.bincount(doc, minlength=len(offsets) - 1).astype(np.int64))
 
 
+@lru_cache(1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library, which has no such call
+        return None
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, instead of keeping it until the worker ends."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
 def batches(texts: pa.Array, most: int = 8 << 20):
-    """Ranges of rows with at most `most` bytes of text each, or one row."""
+    """Ranges of rows with at most `most` bytes of text each, or one row. What a range took is given back after it."""
     _, offsets = buffers(texts)
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
+        trim()
         i = j
