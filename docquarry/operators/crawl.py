@@ -11,6 +11,7 @@ from ..functions import url as U
 from ..functions.names import child_folder, join_errors
 from ..functions.text import text
 from ..storage import stored
+from .ranks import slice_of
 
 
 ITEM = ("path", "parent", "depth", "id", "num", "title", "folder", "original_url")
@@ -127,13 +128,7 @@ def outcome_totals(results: DataFrame) -> DataFrame:
 
 
 def select_items(items: DataFrame, numbers: list[str] | None = None, start: int = 1, limit: int = 0) -> DataFrame:
-    """items: ord, num. Those with one of the numbers, from the start-th on, at most limit; order stays. Ranks come from
-    counts of row ranges, not from one sorted task."""
+    """items: ord, num. Those with one of the numbers, from the start-th on, at most limit; order stays."""
     rows = items.where(F.col("num").isin(numbers)) if numbers else items
-    lo, hi = start, (start + limit - 1 if limit else 1 << 62)
-    width = 1 << 16
-    block = F.floor(F.col("ord") / width)
-    sizes = rows.groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_block").orderBy("ord")) + F.col("_before")
-    return rows.withColumn("_block", block).join(before, "_block").withColumn("_place", place).where(F.col("_place").between(lo, hi)).drop("_block", "_before", "_place")
+    first = max(start - 1, 0)
+    return slice_of(rows, [F.col("ord")], first, first + limit if limit else None) if first or limit else rows

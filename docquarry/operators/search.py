@@ -11,6 +11,7 @@ from ..functions import query as Q
 from ..functions.text import norm_space
 from ..functions.url import force_http, host, is_binary, strip_fragment
 from ..lexicons import ALLOWED_HOSTS, DOCUMENT_MARKERS
+from .ranks import slice_of
 
 MODES = ("direct", "catalog", "site_search")
 
@@ -32,12 +33,18 @@ def candidates(anchors: DataFrame, words: Column, min_score: float = 0.15, hosts
     return passed.withColumn("mode_ord", mode).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+#: Places up to which a page is the end of a list of the best rows, which each task keeps; beyond, it is found by ranges.
+NEAR = 10_000
+
+
 def page_of(found: DataFrame, iteration: int | str | None = 1, limit: int = 5) -> DataFrame:
     """A page of results, best first; ties stay in the order they were found. Bad page numbers count as 1."""
     i = iteration if isinstance(iteration, int) and iteration >= 1 else 1
     order = [F.col("points").desc(), "mode_ord", "page_ord", "anchor_ord"]
     clipped = found.withColumn("points", F.least(F.lit(100), F.greatest(F.lit(0), F.col("points"))))
-    return clipped.orderBy(*order).offset((i - 1) * limit).limit(limit)
+    if i * limit <= NEAR:
+        return clipped.orderBy(*order).offset((i - 1) * limit).limit(limit)
+    return slice_of(clipped, order, (i - 1) * limit, i * limit).orderBy(*order)
 
 
 def page_reports(pages: DataFrame, found: DataFrame) -> DataFrame:

@@ -167,6 +167,7 @@ ORACLES: dict[str, str] = {
     "candidate_score": f"WITH {SCORED} SELECT page_ord, CAST(anchor_ord AS INTEGER) AS anchor_ord, points, least(100, greatest(0, points)) / 100 AS score FROM t",
     "search_topk": _page(0),
     "search_page2": _page(10),
+    "search_deep_page": "SELECT CAST(greatest(0, least(100, trunc(l_quantity))) AS INTEGER) AS points, 1 AS mode_ord, l_orderkey AS page_ord, l_linenumber AS anchor_ord FROM lineitem ORDER BY 1 DESC, 3, 4 LIMIT 5 OFFSET 49995",
     "page_reports": f"WITH {FOUND} SELECT a.mode, a.page_ord, count(k.url) AS candidates_found FROM (SELECT DISTINCT mode, page_ord FROM c) a LEFT JOIN kept k ON k.mode = a.mode AND k.page_ord = a.page_ord GROUP BY a.mode, a.page_ord",
     "search_totals": f"WITH {FOUND} SELECT count(*) AS total_candidates_found, least(10, greatest(0, count(*) - 10)) AS documents_returned, count(*) > 20 AS has_more_documents FROM kept",
     "status_rollup": f"WITH {RESULTS} SELECT status, count(*) AS n FROM r GROUP BY status",

@@ -296,6 +296,13 @@ def search_page2(spark: SparkSession, d: str) -> DataFrame:
     return search.page_of(_found(spark, d), 2, 10).select("page_ord", "anchor_ord", "url", "points")
 
 
+@register
+def search_deep_page(spark: SparkSession, d: str) -> DataFrame:
+    """Page 10,000 of all lines of the orders, the largest quantities first."""
+    rows = _t(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("points"), F.lit(1).alias("mode_ord"), F.col("l_orderkey").alias("page_ord"), F.col("l_linenumber").alias("anchor_ord"))
+    return search.page_of(rows, 10_000, 5)
+
+
 @register
 def page_reports(spark: SparkSession, d: str) -> DataFrame:
     a = _anchors(spark, d).select("mode", "page_ord").distinct().withColumns({"page_url": F.lit(""), "status": F.lit("ok"), "error": F.lit("")})
