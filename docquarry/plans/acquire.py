@@ -112,7 +112,7 @@ def acquire(items: DataFrame, responses: DataFrame, existing: DataFrame | None =
     body = F.coalesce(F.col("main"), F.col("decoded"), F.when(F.lit(options.extract_text or options.readable_text), F.col("file_text")), F.lit(""))
     error = F.when(F.col("file_type").isNull(), "no response").when(broken_pdf, "not a PDF").when(F.lit(options.extract_text or options.readable_text), F.col("file_error"))
     turns = rows.select(
-        *ITEM, "place", text.text(F.col("file_type")).alias("file_type"), "saved_to", text.text(F.col("encoding")).alias("encoding"), body.alias("text"), text.text(error).alias("error"), found.alias("found"), bad.alias("bad"),
+        *ITEM, "place", "attempted_url", text.text(F.col("file_type")).alias("file_type"), "saved_to", text.text(F.col("encoding")).alias("encoding"), body.alias("text"), text.text(error).alias("error"), found.alias("found"), bad.alias("bad"),
         F.startswith(text.text(F.col("old_text")), F.lit("\ufeff")).alias("bom"), url.is_generic(u).alias("generic"), needs.alias("needs"), failed.alias("failed"), F.coalesce(F.col("file_text") != "", F.lit(False)).alias("wrote"),
     )
 
@@ -125,4 +125,4 @@ def acquire(items: DataFrame, responses: DataFrame, existing: DataFrame | None =
         )
 
     done = settled(stored(turns, "turns"), status, options.max_depth if follow else 0)
-    return done.select("id", "path", "depth", "num", "original_url", "status", "file_type", "saved_to", "encoding", "text", "error", "linked_saved", "linked_errors")
+    return done.select("id", "path", "depth", "num", "title", "folder", "original_url", "attempted_url", "status", "file_type", "saved_to", "encoding", "text", "error", "linked_saved", "linked_errors")

@@ -4,6 +4,9 @@ already there."""
 from __future__ import annotations
 
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,6 +42,37 @@ def fetch(urls: DataFrame, fetcher: Fetcher, url: str = "url") -> DataFrame:
     return urls.select(url, waits.alias("wait")).mapInPandas(run, RESPONSE)
 
 
+def http_fetcher(connect: float = 60, read: float = 90, most: int = 8, headers: dict[str, str] | None = None) -> Fetcher:
+    """A fetcher by HTTP, which follows redirects itself: loops, more than `most` of them and statuses from 400 on are
+    errors. The longer of the two times limits each wait."""
+
+    class Stay(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *a: object) -> None:
+            return None
+
+    def get(first: str) -> dict:
+        opener, at, seen = urllib.request.build_opener(Stay), first, set()
+        for _ in range(most + 1):
+            if at in seen:
+                raise ValueError(f"redirect loop: {at}")
+            seen.add(at)
+            try:
+                answer = opener.open(urllib.request.Request(urllib.parse.quote(at, safe="%/:=&?~#+!$,;'@()*[]"), headers=headers or {}), timeout=max(connect, read))
+            except urllib.error.HTTPError as e:
+                if e.code not in (301, 302, 303, 307, 308) or not e.headers.get("Location"):
+                    raise
+                at = urllib.parse.urljoin(at, e.headers["Location"])
+                continue
+            with answer:
+                kind = answer.headers.get("Content-Type")
+                return {
+                    "final_url": at, "http_status": answer.status, "content_type": kind, "content_disposition": answer.headers.get("Content-Disposition"), "http_encoding": answer.headers.get_content_charset(), "body": answer.read(),
+                }
+        raise ValueError(f"too many redirects: {first}")
+
+    return get
+
+
 def attempts(items: DataFrame, ask: Callable[[DataFrame], DataFrame], retries: int = 3, pause: float = 2.0) -> DataFrame:
     """items: item, url. Every request that is made: item, cand_ord, try_no, url, ok, error, wait.
 
