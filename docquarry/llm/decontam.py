@@ -138,7 +138,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 2, text: str = "text") -> DataFrame:
-    """The rows of docs that hold no window of an item, with their columns (none of them may be called _row or _words).
-    Odd rows and tables are treated as contamination() says."""
-    texts, hits = _searched(docs, items.select("item_id", "text"), size, rarest, text)
-    return texts.join(small(hits, hits.count(), 160), "_row", "left_anti").select(docs.columns)
+    """The rows of docs that hold no window of an item, with their columns, whatever these are called. Odd rows and tables
+    are treated as contamination() says."""
+    others = [c for c in docs.columns if c != text]
+    own = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    texts, hits = _searched(docs.select(F.col(text).alias("text"), own.alias("own")), items.select("item_id", "text"), size, rarest, "text")
+    kept = texts.join(small(hits, hits.count(), 160), "_row", "left_anti")
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb, words
-from .shared import fold, shuffle_parts, work_dir
+from .shared import fold, shuffle_parts, store, work_dir
 
 U = np.uint64
 END = U(0xE5D0F7A3C1B29684)  #: hash of the token after a text's last word
@@ -60,7 +60,7 @@ def _range_of(mixed: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _save(base: str, name: str, *arrays: np.ndarray) -> None:
-    fs, root = pyarrow.fs.FileSystem.from_uri(base)
+    fs, root = store(base)
     tmp = f"{root}/{uuid4().hex}.tmp"
     with fs.open_output_stream(tmp) as f:
         for a in arrays:
@@ -76,7 +76,7 @@ def _load(base: str, name: str, kind: type) -> np.ndarray:
     if (key := f"{base}/{name}") not in _OPEN:
         if len(_OPEN) > 4096 or any(not k.startswith(base) for k in _OPEN):
             _OPEN.clear()
-        fs, root = pyarrow.fs.FileSystem.from_uri(base)
+        fs, root = store(base)
         if fs.get_file_info(f"{root}/{name}").size in (0, None):
             _OPEN[key] = np.zeros(0, kind)
         elif isinstance(fs, pyarrow.fs.LocalFileSystem):
@@ -266,7 +266,7 @@ def train(docs: DataFrame, size: int) -> Model:
     """docs: text, train. size: bytes of all texts."""
     spark = docs.sparkSession
     base = work_dir(spark, "kneser-ney")
-    fs, root = pyarrow.fs.FileSystem.from_uri(base)
+    fs, root = store(base)
     fs.create_dir(root, recursive=True)
     ranges = max(shuffle_parts(spark), -(-size // RANGE_BYTES))
     blocks = docs.mapInArrow(lambda it: count_words(it, ranges), BLOCK_DDL)

@@ -176,7 +176,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Net | None:
         b = np.frombuffer(bytes(r["window"]), np.uint8)
         x[i, : len(b)] = CLASS[b]
     y = np.array([langs.index(r["lang"]) for r in got])
-    order = np.lexsort((y, *x[:, :8].T))  # whatever order the rows came in
+    order = np.lexsort((y, *x.T))  # whatever order the rows came in; rows that are still equal are the same
     return fit(x[order], y[order], langs)
 
 

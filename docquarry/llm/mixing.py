@@ -96,14 +96,17 @@ def mix(docs: DataFrame, total: int | Fraction, domain: Column, weights: dict[st
     are below the leaf's budget for the epoch, so that a leaf exceeds its budget by less than one document. Documents without words cost
     nothing and are taken with the prefix they stand in. Order: md5 of seed, epoch and id; rows with
     equal ids are taken together. Leaves with weight 0 give nothing. An empty table gives an empty result. Columns
-    of docs named epoch or mix_tokens are replaced, others are kept.
+    of docs named epoch or mix_tokens are replaced, others are kept, whatever they are called.
     """
     names = [F.coalesce(c.cast("string"), F.lit("")) for c in (domain, F.col(lang), F.col(source))]
     keys = ["_domain", "_lang", "_source"]
     spark = docs.sparkSession
     tag = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    base = docs.drop("epoch", "mix_tokens").select("*", *(c.alias(k) for c, k in zip(names, keys, strict=True)), tag.alias("_tag"))
-    light = materialise(base.select(*keys, "_tag", n_tokens(F.col(text)).alias("mix_tokens")), "mix-sizes")
+    # The columns of docs in one, so that none of their names meets one of these.
+    own = F.struct(*(c for c in docs.columns if c not in ("epoch", "mix_tokens")))
+    base = docs.select(own.alias("own"), *(c.alias(k) for c, k in zip(names, keys, strict=True)), tag.alias("_tag"))
+    tokens = n_tokens(F.col("own")[text])
+    light = materialise(base.select(*keys, "_tag", tokens.alias("mix_tokens")), "mix-sizes")
     leaves = [tuple(r) for r in light.groupBy(*keys).agg(F.sum("mix_tokens")).collect()]
     if isinstance(total, Fraction):
         total = int(total * sum(x[3] for x in leaves))
@@ -128,4 +131,4 @@ def mix(docs: DataFrame, total: int | Fraction, domain: Column, weights: dict[st
     last = placed.join(small(border, len(rows), 200), [*leaf, "_block"]).withColumn("_upto", upto - own).where(F.col("_before") + F.col("_upto") < F.col("_budget"))
     ends = materialise(last.groupBy(*leaf).agg(F.max("_place").alias("_end")), "mix-ends")
     picked = base.join(small(ends, len(rows), 250), keys).where(place <= F.col("_end"))
-    return picked.withColumn("mix_tokens", n_tokens(F.col(text))).drop(*keys, "_tag", "_end")
+    return picked.select("own.*", "epoch", tokens.alias("mix_tokens"))
