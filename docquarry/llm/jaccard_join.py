@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import golomb, words
 from .components import components
-from .shared import materialise, shuffle_parts, small
+from .shared import forget, materialise, shuffle_parts, small
 
 U = np.uint64
 NUM, DEN = 90, 100
@@ -248,11 +248,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, size: int,
     ids = materialise(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "likely-ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = materialise(_of(docs, ids).mapInArrow(lambda it: _sets(it, size), f"id {kind}, n long, sketch array<long>, shingles array<long>"), "sets")
-    likely = _sketched(likely, sets, num, den, WIDE)
+    forget(ids)
+    first, likely = likely, _sketched(likely, sets, num, den, WIDE)
+    forget(first)
     x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in ("a", "b"))
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     reach = both * den >= (F.size("shingles_a") + F.size("shingles_b") - both) * num
-    return materialise(likely.join(x, "a").join(y, "b").where(reach).select("a", "b"), "links")
+    links = materialise(likely.join(x, "a").join(y, "b").where(reach).select("a", "b"), "links")
+    forget(likely, sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -277,6 +281,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     several = materialise(classes.where("copies > 1").drop("copies"), "classes")
     n_several = several.count()
     known = materialise(light.join(small(several, n_several, 48), ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id")), "members")
+    forget(light, several)
     others = known.where("class_id is not null and class_id <> doc_id").select(F.col("doc_id").alias("id"))
     lows = bands(top, num, den)
     # Documents of each group: those of its band and of the band below.
@@ -295,8 +300,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     signed = one_each.mapInArrow(lambda it: _signed(_signatures(it, size, lows, plans, spare)), f"id {kind}, n long, sigs array<long>")
     sigs = signed.select("id", "n", F.explode("sigs").alias("sig")).withColumn("fp", F.shiftrightunsigned("sig", 64 - FP))
     buckets = materialise(sigs.join(shared.hint("shuffle_hash"), "fp").drop("fp"), "buckets")
+    forget(shared)
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     members = materialise(buckets.drop("size").join(degree, "id"), "bucket-members")
+    forget(buckets)
     ids = materialise(members.select("id").distinct(), "candidates")
     sketches = materialise(_of(docs, ids).mapInArrow(lambda it: _sketches(it, size), f"id {kind}, n long, sketch array<long>"), "sketches")
     central = F.max(F.struct("degree", "id", "n"))
@@ -331,6 +338,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         pairs = x.join(y, (x["sig"] == y["sig"]) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
         links = links.union(_verified(pairs, docs, sketches, size, num, den))
         comps = components(links)
+    forget(members, sketches)
     node = F.coalesce("class_id", "doc_id")
     found = comps.select(F.col("id").alias("node"), "comp")
     return known.withColumn("node", node).join(small(found, found.count(), 24), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"), F.col("node").alias("class_id"))

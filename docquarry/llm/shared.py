@@ -68,7 +68,17 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = work_dir(spark, name)
     with lean(spark):
         df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.work_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing is going to read again: what was made of them is stored itself."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.work_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:

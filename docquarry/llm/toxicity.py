@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .channel import END, GLUE, SHORT, CharModel, PairCounter, glued, noisy, respaced, restorer, short
-from .shared import fold, materialise
+from .shared import fold, forget, materialise
 
 U = np.uint64
 BITS = 22
@@ -197,7 +197,9 @@ def char_model(docs: DataFrame, chars: int = CHARS) -> CharModel:
     top = [r["b"] for r in pairs.where(F.col("b") != END).groupBy("b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "b").limit(chars).collect()]
     known = [*top, END]
     # At most (chars + 1) squared rows.
-    return CharModel({(r["a"], r["b"]): r["n"] for r in pairs.where(F.col("a").isin(known) & F.col("b").isin(known)).collect()})
+    counts = {(r["a"], r["b"]): r["n"] for r in pairs.where(F.col("a").isin(known) & F.col("b").isin(known)).collect()}
+    forget(pairs)
+    return CharModel(counts)
 
 
 def _featured(rows: Iterator[pa.RecordBatch], chars: CharModel) -> Iterator[pa.RecordBatch]:
@@ -247,6 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
         return None
     chars = char_model(docs)
     feats = materialise(rows.mapInArrow(lambda it: _featured(it, chars), "label int, features array<int>"), "toxic-features")
+    forget(rows)
     counts = feats.select("label", F.explode("features").alias("bucket")).groupBy("bucket").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("seen"))
     stat = counts.select("bucket", g2(F.col("toxic"), F.col("seen"), n_toxic, n_toxic + n_clean).alias("g2"))
     best = stat.where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "bucket").limit(FEATURES).collect()
@@ -254,6 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     if not len(buckets):
         return Toxic((), (), float(np.log(n_toxic / n_clean)), chars)
     seen = feats.select("label", F.filter("features", lambda x: x.isin(buckets.tolist())).alias("features")).collect()
+    forget(feats)
     seen.sort(key=lambda r: (r["label"], r["features"]))  # sums of weights are the same whatever order the rows came in
     x = [np.searchsorted(buckets, np.array(r["features"], np.int64)) for r in seen]
     weights, bias = logistic(x, np.array([r["label"] for r in seen], float), len(buckets))
