@@ -44,6 +44,7 @@ def score(title: Column, url: Column, snippet: Column, words: Column, markers: I
     marks = F.size(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(blob, m)))
     ext = suffix(url)
     n = lambda cond, points: F.when(cond, points).otherwise(0)
+    # The points of each sign.
     shape = F.when(ext.isin(".pdf", ".doc", ".docx", ".rtf"), 18).when(ext == ".html", 10).when(u.rlike(r"/sp\d|/gost|/document|/docs?"), 16).otherwise(0)
     points = (
         14 * F.size(matched) + 10 * marks + n(blob.rlike(r"(?U)\bсп\s*\d+(?:\.\d+)*|/sp\d"), 30) + n(blob.rlike(r"(?U)\bгост\b|\bgost\b"), 25)

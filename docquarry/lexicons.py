@@ -22,7 +22,7 @@ BOILERPLATE_LINES = (
 )
 #: Starts of short boilerplate lines; a word ends there.
 BOILERPLATE_STARTS = ("открыть панель", "поделиться", "версия для слабовидящих", "version for visually impaired", "личный кабинет", "выполняется запрос")
-BOILERPLATE_PATTERNS = (r"^помним и гордимся победой!?$", r"^[0-9]{1,2}\s*:\s*[0-9]{1,2}(\s*:\s*[0-9]{1,2})?$", r"^99\s*:\s*99")
+BOILERPLATE_PATTERNS = (r"^помним и гордимся победой!?$", r"^\d{1,2}\s*:\s*\d{1,2}(\s*:\s*\d{1,2})?$", r"^99\s*:\s*99")
 CANDIDATE_SELECTORS = (
     "main", "article", "[role=main]", ".content", ".main", ".article", ".document", ".doc", ".text", ".page-content", ".news-detail",
     ".detail", ".material", "#content", "#main", "#article", "#document", "#docContent",

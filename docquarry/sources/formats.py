@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_extracted, repair_wrapped_words
 from ..lexicons import RTF_SIGNS, RTF_SKIPPED
 from .encoding import decode
+from .pdf import page_texts
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -150,19 +151,8 @@ def rtf_text(body: bytes) -> str:
 
 
 def pdf_text(body: bytes) -> str:
-    try:
-        import pypdf
-    except ImportError as e:
-        raise ValueError("no PDF reader is installed") from e
-    out = []
-    for i, page in enumerate(pypdf.PdfReader(io.BytesIO(body)).pages, 1):
-        try:
-            text = page.extract_text() or ""
-        except Exception as e:  # noqa: BLE001  one bad page doesn't spoil the others
-            text = f"[page {i}: {type(e).__name__}]"
-        if text.strip():
-            out += [f"[Страница {i}]", text]
-    return "\n".join(out)
+    """The pages' texts, each under its number; pages without text are left out."""
+    return "\n".join(f"[Страница {k}]\n{t}" for k, t in enumerate(page_texts(body), 1) if t.strip())
 
 
 READERS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".xlsx": xlsx_text, ".rtf": rtf_text, ".pdf": pdf_text}
