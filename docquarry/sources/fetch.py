@@ -13,9 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import link_text
 from ..functions.url import candidates, host, join
 from ..lexicons import ALLOWED_HOSTS
+from ..operators.links import followable
 from ..storage import stored
+from .html_tree import anchored
 
 RESPONSE = "url string, final_url string, http_status int, content_type string, content_disposition string, http_encoding string, body binary, error string"
 Fetcher = Callable[[str], dict]
@@ -140,3 +143,13 @@ def ajax_fragments(answers: DataFrame) -> DataFrame:
     n = F.coalesce(F.size("_j.list"), F.lit(-1))
     best = parsed.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy(n.desc(), F.col("full").desc()))).where("_n = 1")
     return best.select("url", F.posexplode("_j.list").alias("ord", "fragment"))
+
+
+def ajax_links(answers: DataFrame) -> DataFrame:
+    """answers of sections, url being the section's page: the documents that their lists lead to, in the lists' order, as
+    links.plan() takes them: page_id and base (the section), ord, url, title, link_key."""
+    fragments = ajax_fragments(answers).select(F.struct("url", "ord").alias("page_id"), "url", F.col("fragment").alias("html"))
+    rows = anchored(fragments).select(
+        F.col("base").alias("page_id"), "base", F.struct(F.col("page_id.ord").alias("part"), F.col("ord").alias("anchor")).alias("ord"), "url", link_text(F.col("title")).alias("title"),
+    )
+    return followable(rows)

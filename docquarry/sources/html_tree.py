@@ -375,7 +375,8 @@ def _found(html: str) -> list[dict]:
     return out
 
 
-def _anchored(pages: DataFrame) -> DataFrame:
+def anchored(pages: DataFrame) -> DataFrame:
+    """page_id, base, ord, href, title (the anchor's own text), around, near, url of the anchors that lead somewhere."""
     got = _parsed(pages.withColumn("base", F.col("url")), _found, pa.list_(_ANCHOR), "array<struct<ord int, href string, title string, around string, near string>>", "page_id", "base")
     return got.select("page_id", "base", F.inline("found")).where(~U.is_skipped_href(F.col("href"))).withColumn("url", U.join(F.col("base"), F.col("href")))
 
@@ -384,7 +385,7 @@ def anchors(pages: DataFrame) -> DataFrame:
     """page_id, base, ord, href, url, title, snippet. title: the anchor's text; where it is short, what stands around it."""
     own, near = link_text(F.col("title")), norm_space(F.col("near"))
     title = F.when((F.length(own) < 8) & (near != ""), F.left(near, F.lit(180))).otherwise(own)
-    return _anchored(pages).select("page_id", "base", "ord", "href", "url", title.alias("title"), F.left(near, F.lit(500)).alias("snippet"), norm_space(F.col("around")).alias("around"))
+    return anchored(pages).select("page_id", "base", "ord", "href", "url", title.alias("title"), F.left(near, F.lit(500)).alias("snippet"), norm_space(F.col("around")).alias("around"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -392,7 +393,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     anchor's text and is short enough, else that text."""
     own, around = link_text(F.col("title")), norm_space(F.col("around"))
     fits = (own != "") & F.contains(around, own) & (F.length(around) <= 260) & (U.pravo_nd(F.col("url")) == "")
-    return _anchored(pages).select("page_id", "base", "ord", "url", F.when(fits, link_text(around)).otherwise(own).alias("title"))
+    return anchored(pages).select("page_id", "base", "ord", "url", F.when(fits, link_text(around)).otherwise(own).alias("title"))
 
 
 def _title(html: str) -> str:

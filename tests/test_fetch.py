@@ -96,3 +96,15 @@ def test_hosts_are_checked_before_and_after(spark):
     rows = [("http://sniprf.ru/a", "http://www.sniprf.ru/b"), ("http://sniprf.ru/a", "http://evil.org/"), ("http://evil.org/", "http://sniprf.ru/"), ("http://sniprf.ru/", None)]
     got = spark.createDataFrame(rows, "u string, f string").select(fetch.is_allowed(F.col("u"), F.col("f")).alias("a")).collect()
     assert [x["a"] for x in got] == [True, False, False, False]
+
+
+def test_lists_of_sections_lead_to_documents(spark):
+    """The whole list counts if it isn't shorter; fragments' links in order, each key once, other hosts left out."""
+    import json
+
+    base = "http://vsrf.ru/documents/own"
+    part = json.dumps({"pages": {"before": 2}, "list": ['<a href="/documents/own/9">Девять</a>']})
+    whole = json.dumps({"list": ['<div><a href="/documents/own/2">Второй</a><a href="#x">нет</a></div>', '<a href="http://www.vsrf.ru/documents/own/2">снова</a><a href="http://a.org/1.pdf">чужой</a><a href="/documents/own/3"></a>', "<a name=x>"]})
+    rows = [(base, False, part), (base, True, whole), ("http://vsrf.ru/documents/reviews", False, "no json"), ("http://vsrf.ru/documents/reviews/", False, json.dumps({"list": []}))]
+    got = fetch.ajax_links(spark.createDataFrame(rows, "url string, full boolean, body string")).orderBy("ord").collect()
+    assert [(r["page_id"], r["url"], r["title"]) for r in got] == [(base, "http://vsrf.ru/documents/own/2", "Второй"), (base, "http://vsrf.ru/documents/own/3", "linked_document")]
