@@ -66,3 +66,15 @@ def test_limits_are_parameters():
     assert encoding.candidates(named)[0] == "x-made-up" and "x-made-up" not in encoding.candidates(named, head=50)
     text, name = encoding.choose(body, sample=0)
     assert encoding.choose(body)[0] == body.decode("koi8-r") and text == body.decode(name, "replace")
+
+
+@pytest.mark.parametrize("text", ["<meta charset=utf-8>" + "EspaÑa, mañana y Ñandú. " * 30, "\ufffd и ещё " * 9, "ÐÑ " * 40 + "\x85" * 5, "Рис и Сыр " * 30])
+def test_strict_utf8_is_never_read_as_another_charset(text):
+    """Whatever signs of a wrong charset it has: Spanish capitals, C1 controls, replacement characters, Р and С."""
+    got, name = encoding.choose(text.encode())
+    assert got == text and encoding.normalized(name) == "utf-8"
+
+
+def test_utf16_without_a_mark_is_no_utf8():
+    text = "plain text of a page " * 10
+    assert encoding.points(text, "utf-16-le") > encoding.points(text.encode("utf-16-le").decode(), "utf-8")
