@@ -76,7 +76,7 @@ def http_fetcher(connect: float = 60, read: float = 90, most: int = 8, headers:
     return get
 
 
-def attempts(items: DataFrame, ask: Callable[[DataFrame], DataFrame], retries: int = 3, pause: float = 2.0) -> DataFrame:
+def attempts(items: DataFrame, ask: Callable[[DataFrame], DataFrame], retries: int = 3, pause: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
     """items: item, url. Every request that is made: item, cand_ord, try_no, url, ok, error, wait.
 
     A URL's forms are tried in order, each up to `retries` times, until one goes well. A round asks what every open item
@@ -84,23 +84,26 @@ def attempts(items: DataFrame, ask: Callable[[DataFrame], DataFrame], retries: i
     others move to their next try, after a pause, or to the next form. ask gets url, try_no and wait (seconds that the
     request has to hold back) and returns url, try_no, http_status and error; no row, an error or a status beyond
     399 is a failure. A round is a stored table; there are at most forms x retries of them.
+    by: columns of items, not null, that an answer depends on besides its URL; a URL is then asked once for each of their
+    values, ask gets and returns them too, and so does the result.
     """
-    forms = stored(items.select("item", candidates(F.col("url")).alias("forms")), "forms")
-    open_ = forms.select("item", "forms", F.lit(0).alias("cand_ord"), F.lit(1).alias("try_no"), F.lit(0.0).alias("wait")).where(F.size("forms") > 0)
+    kept = [c for c in by if c != "item"]
+    forms = stored(items.select("item", *kept, candidates(F.col("url")).alias("forms")), "forms")
+    open_ = forms.select("item", *kept, "forms", F.lit(0).alias("cand_ord"), F.lit(1).alias("try_no"), F.lit(0.0).alias("wait")).where(F.size("forms") > 0)
     out = None
     while True:
         due = open_.withColumn("url", F.get("forms", F.col("cand_ord")))
-        asked = due.groupBy("url", "try_no").agg(F.max("wait").alias("wait"))
-        got = ask(asked).select("url", "try_no", "http_status", F.col("error").alias("_error"))
+        asked = due.groupBy("url", "try_no", *by).agg(F.max("wait").alias("wait"))
+        got = ask(asked).select("url", "try_no", *by, "http_status", F.col("error").alias("_error"))
         ok = F.col("_error").isNull() & F.coalesce(F.col("http_status") < 400, F.lit(False))
         what = F.coalesce(F.col("_error"), F.concat(F.lit("HTTP "), F.col("http_status").cast("string")), F.lit("no answer"))
         error = F.when(~ok, F.format_string(f"%s attempt %d/{retries}: %s", "url", "try_no", what)).otherwise("")
-        turn = stored(due.join(got, ["url", "try_no"], "left").select("item", "forms", "cand_ord", "try_no", "url", ok.alias("ok"), error.alias("error"), "wait"), "attempts")
+        turn = stored(due.join(got, ["url", "try_no", *by], "left").select("item", *kept, "forms", "cand_ord", "try_no", "url", ok.alias("ok"), error.alias("error"), "wait"), "attempts")
         out = turn if out is None else out.unionByName(turn)
         again = F.col("try_no") < retries
         after = turn.where(~F.col("ok") & (again | (F.col("cand_ord") + 1 < F.size("forms"))))
         open_ = after.select(
-            "item", "forms", F.when(again, F.col("cand_ord")).otherwise(F.col("cand_ord") + 1).alias("cand_ord"), F.when(again, F.col("try_no") + 1).otherwise(1).alias("try_no"), F.when(again, pause).otherwise(0.0).alias("wait"),
+            "item", *kept, "forms", F.when(again, F.col("cand_ord")).otherwise(F.col("cand_ord") + 1).alias("cand_ord"), F.when(again, F.col("try_no") + 1).otherwise(1).alias("try_no"), F.when(again, pause).otherwise(0.0).alias("wait"),
         )
         if open_.isEmpty():
             return out.drop("forms")

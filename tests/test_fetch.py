@@ -46,6 +46,24 @@ def test_rounds_equal_a_loop_over_items(spark):
     assert max(asked.values()) == 1 and len(rounds) <= 6 and rounds == sorted(rounds, reverse=True)
 
 
+def test_items_that_share_a_url_get_answers_of_their_own(spark, tmp_path):
+    """Pages of one URL, whose script follows from their own html; and a URL asked once for each user."""
+    import duckdb
+
+    from docquarry.plans.oracles import ORACLES
+    from docquarry.plans.queries import QUERIES
+
+    spark.createDataFrame([(k, "http://a.org/x", "h" * k) for k in range(1, 8)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["item", "url", "errors", "status", "requests", "waited"]
+    want = con.execute(f"select {', '.join(names)} from ({ORACLES['fetch_fallback']}) order by item").fetchall()
+    assert [tuple(x) for x in QUERIES["fetch_fallback"](spark, str(tmp_path)).select(names).orderBy("item").collect()] == want
+    items = spark.createDataFrame([(1, "http://b.org/", "u"), (2, "http://b.org/", "u"), (3, "http://b.org/", "v")], "item long, url string, user string")
+    made = fetch.attempts(items, lambda due: due.select("url", "try_no", "user", F.when(F.col("user") == "v", 403).otherwise(200).alias("http_status"), F.lit(None).cast("string").alias("error")), 1, by=("user",))
+    assert sorted((x["item"], x["user"], x["ok"]) for x in made.collect()) == [(1, "u", True), (2, "u", True), (3, "v", False), (3, "v", False)]
+
+
 def test_no_items_make_no_requests(spark):
     none = spark.createDataFrame([], "item long, url string")
     assert fetch.attempts(none, lambda due: due.withColumns({"http_status": F.lit(200), "error": F.lit(None).cast("string")})).count() == 0
