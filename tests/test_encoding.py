@@ -78,3 +78,10 @@ def test_strict_utf8_is_never_read_as_another_charset(text):
 def test_utf16_without_a_mark_is_no_utf8():
     text = "plain text of a page " * 10
     assert encoding.points(text, "utf-16-le") > encoding.points(text.encode("utf-16-le").decode(), "utf-8")
+
+
+def test_small_letters_that_are_capitals_elsewhere_make_no_words():
+    """KOI8-R read as windows-1251: each "он" is "ПО"."""
+    text = "<meta charset=utf-8>" + "он даст хлеб " * 800 + "закон о порядке"
+    got, name = encoding.choose(text.encode("koi8-r"))
+    assert got == text and encoding.normalized(name) == "koi8-r"
