@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from . import words
-from .shared import shuffle_parts, store, work_dir
+from .shared import lean, shuffle_parts, store, work_dir
 
 LENGTH, CRC, HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB")
 INDEX = np.dtype([("offset", "<u8"), ("before", "<u8")])
@@ -39,6 +39,9 @@ INDEX = np.dtype([("offset", "<u8"), ("before", "<u8")])
 KEPT_BYTES = 48 << 20
 #: Bytes of text for each file, on average.
 FILE_BYTES = 64 << 20
+#: Words that the tokenizer gets at a time as one text, with MARK between them. Words near one of more than words.LONG
+#: bytes, or near one with a mark's first character, go alone.
+GROUP, MARK = 128, "\x00|word|\x00"
 NULL, WIDE, TEXT = 1, 2, 4  #: flags of a record
 
 
@@ -72,10 +75,15 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.load = lambda: Tokenizer.from_file(path)
+        self.plain, self.tokenizer = None, self.load()
+        self.tokenizer.no_truncation()  # whole texts, and nothing else
+        self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size()
+        self.tokenizer.add_special_tokens([AddedToken(MARK, special=True, normalized=False)])
+        self.mark = self.tokenizer.token_to_id(MARK)
         self.clear()
 
     def clear(self) -> None:
@@ -87,14 +95,28 @@ class WordIds:
         return sum(x.nbytes for x in (self.keys, self.at, self.n, self.start, self.end, self.pool, self.bytes))
 
     def tokenised(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Adds the ids of spans of data to the pool; where they begin, and how many they are."""
-        ids: list[np.ndarray] = []
+        """Adds the ids of spans of data to the pool; where they begin, and how many they are. Words go to the tokenizer in
+        groups with MARK between them: what stands between marks is a text of its own for it, and their id ends a word."""
+        ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        alone = end - start > words.LONG
         for i in range(0, len(start), 4096):
             texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start[i : i + 4096].tolist(), end[i : i + 4096].tolist(), strict=True)]
-            ids += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.array([len(x) for x in ids], np.int64)
-        at = np.cumsum(n) - n + len(self.pool)
-        self.pool = np.concatenate([self.pool, *ids])
+            marked = any(MARK[0] in t for t in texts)
+            group = 1 if marked or alone[i : i + 4096].any() else GROUP
+            if marked and self.plain is None:  # rarely needed, so that a worker seldom holds two
+                self.plain = self.load()
+                self.plain.no_truncation()
+                self.plain.no_padding()
+            joined = [MARK.join(texts[k : k + group]) for k in range(0, len(texts), group)]
+            ids += [np.array([*x.ids, self.mark], np.uint32) for x in (self.plain if marked else self.tokenizer).encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate(ids)
+        mark = flat == self.mark
+        ends = np.flatnonzero(mark) - np.arange(int(mark.sum()))  # ids before each mark
+        n = np.diff(ends, prepend=0)
+        if len(n) != len(start):
+            raise ValueError("the tokenizer lost a mark between words")
+        at = ends - n + len(self.pool)
+        self.pool = np.concatenate([self.pool, flat[~mark]])
         return at, n
 
     def look_up(self, data: np.ndarray, w: words.Words) -> tuple[np.ndarray, np.ndarray]:

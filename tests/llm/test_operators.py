@@ -762,3 +762,33 @@ def test_viterbi_finds_the_cheapest_of_all_paths():
         ways = list(product(*parts))
         best = min(cost(p) for p in ways)
         assert min(cost(p) for p in ways if "".join(x for x, _ in p) == got) == pytest.approx(best), word
+
+
+def test_words_go_to_the_tokenizer_in_groups():
+    """Few sequences for many words, with the ids that the tokenizer gives each word alone; odd words as well."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, calls = Tokenizer.from_file(path), []
+
+    class Counted:
+        def __init__(self, real):
+            self.real = real
+
+        def encode_batch_fast(self, batch, **k):
+            calls.append(len(batch))
+            return self.real.encode_batch_fast(batch, **k)
+
+    many = [f"word{k}'s-Été{k % 7}" for k in range(900)] + ["<|endoftext|>", "e\u0301", "\u0301x", "\u00a0", "日本語", "\u200b", "|word|", "'s", "\u00a0\u0301"]
+    for listed, most in ((many, 10), ([*many, "x" * 700 + "é"], 1000), ([*many, records.MARK, "a\x00", "\x00|word|"], 1000)):
+        ids_of = records.WordIds(path)
+        ids_of.tokenizer = Counted(ids_of.tokenizer)
+        raw = [w.encode() for w in listed]
+        size = np.array([len(x) for x in raw])
+        end = np.cumsum(size)
+        at, n = ids_of.tokenised(np.frombuffer(b"".join(raw), np.uint8), end - size, end)
+        assert [ids_of.pool[a : a + k].tolist() for a, k in zip(at, n, strict=True)] == [plain.encode(w, add_special_tokens=False).ids for w in listed]
+        assert ids_of.size == plain.get_vocab_size() and sum(calls) <= most
+        calls.clear()
