@@ -246,7 +246,8 @@ def write_records(docs: DataFrame, base: str, tokenizer_path: str, end_id: int |
         files = max(shuffle_parts(spark), -(-size // FILE_BYTES))
     ordered = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
     # A row for each file of FILE_BYTES.
-    done = ordered.mapInArrow(lambda it: _write(it, base, tokenizer_path, end_id), "part int, records long, tokens long, bytes long").collect()
+    with lean(spark):
+        done = ordered.mapInArrow(lambda it: _write(it, base, tokenizer_path, end_id), "part int, records long, tokens long, bytes long").collect()
     manifest, start = [], 0
     for r in sorted(done, key=lambda r: r["part"]):
         manifest.append(r.asDict() | {"start": start, "text_ids": named})

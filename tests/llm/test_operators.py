@@ -792,3 +792,16 @@ def test_words_go_to_the_tokenizer_in_groups():
         assert [ids_of.pool[a : a + k].tolist() for a, k in zip(at, n, strict=True)] == [plain.encode(w, add_special_tokens=False).ids for w in listed]
         assert ids_of.size == plain.get_vocab_size() and sum(calls) <= most
         calls.clear()
+
+
+def test_records_are_written_from_small_batches(spark, tmp_path, monkeypatch):
+    """As stored steps are: a worker and the JVM hold a few MB of texts at a time."""
+    import public_tokenizers
+
+    from docquarry.llm.shared import SENT, SENT_BYTES
+
+    docs, seen = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), []
+    real, before = type(docs).collect, spark.conf.get(SENT)
+    monkeypatch.setattr(type(docs), "collect", lambda self: seen.append(spark.conf.get(SENT)) or real(self))
+    records.write_records(docs, f"file://{tmp_path}/r", public_tokenizers.path("word_bpe_49k.json"), files=1)
+    assert seen[-1].removesuffix("b") == str(SENT_BYTES) and spark.conf.get(SENT) == before
