@@ -85,3 +85,14 @@ def test_small_letters_that_are_capitals_elsewhere_make_no_words():
     text = "<meta charset=utf-8>" + "он даст хлеб " * 800 + "закон о порядке"
     got, name = encoding.choose(text.encode("koi8-r"))
     assert got == text and encoding.normalized(name) == "koi8-r"
+
+
+def test_links_of_a_spanish_page_keep_their_titles(spark):
+    """Their places follow from the titles' lengths."""
+    from docquarry.plans import acquire
+
+    html = "<html><p>" + "Ñandú mañana " * 30 + '</p><p><a href="/documents/own?page=1">ééelle</a></p><p><a href="/documents/own?page=2">oueuxen</a></p></html>'
+    row = ("http://www.vsrf.ru/documents/own?page=9", None, 200, "text/html", None, "utf-8", html.encode())
+    answers = spark.createDataFrame([row], "url string, final_url string, http_status int, content_type string, content_disposition string, http_encoding string, body binary")
+    plan = acquire.planned_links(answers, acquire.Options()).orderBy("place").collect()
+    assert [r["title"] for r in plan] == ["ééelle", "oueuxen"]
