@@ -64,6 +64,23 @@ def test_items_that_share_a_url_get_answers_of_their_own(spark, tmp_path):
     assert sorted((x["item"], x["user"], x["ok"]) for x in made.collect()) == [(1, "u", True), (2, "u", True), (3, "v", False), (3, "v", False)]
 
 
+def test_links_of_odd_pages(spark, tmp_path):
+    """Ids with gaps, which links may lead into, and a page that leaves a script open."""
+    import duckdb
+
+    from docquarry.plans.oracles import ORACLES
+    from docquarry.plans.queries import QUERIES
+
+    a = '<p><a href="/x">{}</a></p>'
+    html = [a.format("one") + a.format("two three") * 2 + ("<script>" if k % 5 == 1 else "") for k in range(12)]
+    spark.createDataFrame([(k if k < 8 else k + 93, "http://a.org/x", h) for k, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["path", "depth", "num", "original_url", "file_type", "status", "linked_saved", "linked_errors", "error"]
+    want = con.execute(f"select {', '.join(names)} from ({ORACLES['linked_saved']}) order by path").fetchall()
+    assert len(want) > 12 and [tuple(x) for x in QUERIES["linked_saved"](spark, str(tmp_path)).select(names).orderBy("path").collect()] == want
+
+
 def test_no_items_make_no_requests(spark):
     none = spark.createDataFrame([], "item long, url string")
     assert fetch.attempts(none, lambda due: due.withColumns({"http_status": F.lit(200), "error": F.lit(None).cast("string")})).count() == 0
